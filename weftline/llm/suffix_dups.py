@@ -415,8 +415,8 @@ def whole(window: int) -> Callable[[Iterator[tuple[bytes, int]]], Iterator[pa.Re
         rows, last = [], None
         for rec, shared in records:
             tie = rec[window + 1 : window + 1 + TIE_SIZE]
-            if last is not None and shared >= window:
-                rows += [_span(x, 0, window) for x in {last, tie}]
+            if last is not None and shared >= window and tie != last:  # two anchors may have named one string
+                rows += [_span(x, 0, window) for x in (last, tie)]
             last = tie
         for a in range(0, len(rows), 5000):
             yield _found(rows[a : a + 5000])
