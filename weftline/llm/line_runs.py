@@ -86,16 +86,15 @@ def runs(docs: DataFrame, min_lines: int) -> DataFrame:
     return starts.select("r_doc", "r_version", merged.alias("runs"))
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (what is kept), n_lines, n_removed, n_runs, longest_run."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = runs(chosen, min_lines)
-    rows = chosen.withColumn("version", F.xxhash64("text"))
-    joined = rows.join(found, (rows["doc_id"] == found["r_doc"]) & (rows["version"] == found["r_version"]), "left")
-    # Each line with the ordinal it has if it holds a word; -1 otherwise.
-    lines = F.split("text", "\n", -1)
+def _marked(docs: DataFrame, min_lines: int, id_col: str, text_col: str) -> DataFrame:
+    """text (what is kept), n_lines, n_removed, n_runs, longest_run, rest (all columns but the text)."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest"))
+    found = runs(rows.select("doc_id", "text"), min_lines)
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["r_doc"]) & (rows["version"] == found["r_version"]), "left")
+    # Each line with the ordinal it has if it holds a word.
     numbered = F.aggregate(
-        lines,
+        F.split("text", "\n", -1),
         F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("kept")),
         lambda s, x: F.struct(
             (s["n"] + x.rlike(WORD).cast("int")).alias("n"),
@@ -104,15 +103,27 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", t
     )
     size = lambda r: r["last"] - r["first"] + 1
     return joined.select(
-        "doc_id",
         F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(numbered["kept"], "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(_sequence(F.col("text")))).cast("long").alias("n_lines"),
         F.coalesce(F.aggregate("runs", F.lit(0), lambda n, r: n + size(r)), F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs")).cast("long").alias("n_runs"),
         F.coalesce(F.array_max(F.transform("runs", size)), F.lit(0)).cast("long").alias("longest_run"),
+        "rest",
     )
 
 
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text (what is kept), n_lines, n_removed, n_runs, longest_run."""
+    out = _marked(docs, min_lines, id_col, text_col)
+    return out.select(F.col(f"rest.`{id_col}`").alias("doc_id"), "text", "n_lines", "n_removed", "n_runs", "longest_run")
+
+
+def clean(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without later copies of runs; documents that lose every line are left out."""
+    out = _marked(docs, min_lines, id_col, text_col).where("n_removed = 0 OR n_removed < n_lines")
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

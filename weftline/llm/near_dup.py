@@ -281,5 +281,11 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, coordinates:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their component (smallest id), with all their columns; rows without an id stay."""
+    gone = components(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), width=3, percent=85)

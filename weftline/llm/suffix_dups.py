@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from weftline.llm.common import as_bytes, chunks, mixed, partitions, spool, table
 from weftline.llm.near_dup import _byte_values, powers
@@ -537,18 +538,21 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return out.select("doc", "version", "start", "stop")
 
 
-def pack_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, version (of the text), packed: compressed UTF-8, so that exchanges carry less."""
+def pack_text(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
+    """doc, version (of the text), packed: compressed UTF-8, so that exchanges carry less; ``rest``: all other columns in one."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")] if rest else []))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress((x or "").encode("utf-8", "surrogatepass")) for x in b.column(2).to_pylist()], pa.binary())], ["doc", "version", "packed"])
+            packed = pa.array([z.compress((x or "").encode("utf-8", "surrogatepass")) for x in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed, *([b.column(3)] if rest else [])], ["doc", "version", "packed", *(["rest"] if rest else [])])
 
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
-    return rows.mapInArrow(run, "doc long, version long, packed binary")
+    schema = StructType([rows.schema["doc"], rows.schema["version"], StructField("packed", BinaryType())] + ([rows.schema["rest"]] if rest else []))
+    return rows.mapInArrow(run, schema)
 
 
 def unpacked(packed: bytes) -> bytes:
@@ -565,35 +569,60 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list
             yield docs[i:j], versions[i:j], texts[i:j]
 
 
+def without(raw: bytes, starts: list[int] | None, stops: list[int] | None) -> tuple[bytes, int, int]:
+    """What is left of ``raw``, how many bytes went, and in how many runs."""
+    kept, removed, n, end = [], 0, 0, 0
+    for s, e in sorted(zip(starts or (), stops or (), strict=True)):
+        if s > end or n == 0:
+            kept.append(raw[end:s])
+            removed, n, end = removed + e - s, n + 1, e
+        elif e > end:
+            removed, end = removed + e - end, e
+    kept.append(raw[end:])
+    return b"".join(kept), removed, n
+
+
+def _with_spans(packed: DataFrame, window: int, gram: int) -> DataFrame:
+    found = spans(packed.select("doc", "version", "packed"), window, gram)
+    gone = found.groupBy(F.col("doc").alias("g_doc"), F.col("version").alias("g_version")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    rows = packed.join(gone, (packed["doc"] == gone["g_doc"]) & (packed["version"] == gone["g_version"]), "left")
+    return rows.select(*(c for c in packed.columns if c != "version"), F.col("gone.start").alias("starts"), F.col("gone.stop").alias("stops"))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept binary: what is left of each text."""
-    packed = pack_text(docs, id_col, text_col)
-    found = spans(packed, window, gram)
-    gone = found.groupBy(F.col("doc").alias("g_doc"), F.col("version").alias("g_version")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
-    rows = packed.join(gone, (packed["doc"] == gone["g_doc"]) & (packed["version"] == gone["g_version"]), "left").select("doc", "packed", F.col("gone.start").alias("starts"), F.col("gone.stop").alias("stops"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
-                out: list[list] = [[], [], [], [], []]
-                for doc, packed_, starts, stops in zip(*(some.column(i).to_pylist() for i in range(4)), strict=True):
-                    raw = unpacked(packed_)
-                    kept, removed, n, end = [], 0, 0, 0
-                    if starts:
-                        for s, e in sorted(zip(starts, stops, strict=True)):
-                            if s > end or n == 0:
-                                kept.append(raw[end:s])
-                                removed, n, end = removed + e - s, n + 1, e
-                            elif e > end:
-                                removed, end = removed + e - end, e
-                    kept.append(raw[end:])
-                    for o, v in zip(out, (None if doc == NO_ID else doc, len(raw), removed, n, b"".join(kept)), strict=True):
-                        o.append(v)
+                rows = []
+                for doc, packed, starts, stops in zip(*(b.column(i).slice(at, 512).to_pylist() for i in range(4)), strict=True):
+                    raw = unpacked(packed)
+                    kept, removed, n = without(raw, starts, stops)
+                    rows.append((None if doc == NO_ID else doc, len(raw), removed, n, kept))
                 kinds = [pa.int64()] * 4 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return _with_spans(pack_text(docs, id_col, text_col), window, gram).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def clean(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with what is left of each text (characters that a cut splits go whole); texts that lose all are left out."""
+    rows = _with_spans(pack_text(docs, id_col, text_col, rest=True), window, gram)
 
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                some = b.slice(at, 512)
+                texts, removed = [], []
+                for packed, starts, stops in zip(*(some.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
+                    kept, n, _ = without(unpacked(packed), starts, stops)
+                    texts.append(kept.decode("utf-8", "ignore"))
+                    removed.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int64()), some.column(2)], ["text", "removed", "rest"])
+
+    cleaned = rows.mapInArrow(cut, StructType([StructField("text", StringType()), StructField("removed", LongType()), rows.schema["rest"]]))
+    return cleaned.where("removed = 0 OR trim(text) <> ''").select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
