@@ -10,10 +10,10 @@ Groups of copies are never expanded into their pairs. In each posting list the
 set that shares most of its pairs is the hub, and only (hub, member) pairs are
 compared: collisions of the two signatures are counted, and pairs at or above
 the match threshold are confirmed on the full sets. Linked sets form
-components. Lists that still span several components are then settled exactly:
-a short list by its pairs across components; the sets of long lists by a second
-inverted join, on their shingles, whose prefix filter loses nothing, again with
-hubs first and pairs across components last.
+components. The sets of lists that still span several components are then settled
+exactly, by a second inverted join on their shingles, whose prefix filter loses
+nothing: hubs first, then pairs across components, each only where the counts of
+shingles that the two sets have in common with anyone allow the similarity.
 
 Defined results: a null, empty or blank text has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; equal sets are
@@ -37,8 +37,6 @@ from pyspark.sql import functions as F
 from weftline.llm.common import as_bytes, id_text, mixed, spool, table, text_batches
 
 COORDINATES, LEAST = 32, 18
-#: Members of a posting list whose pairs across components are written out at once.
-SHORT_LIST = 32
 #: Members compared with one copy of their hub's set by one task.
 HUB_MEMBERS = 512
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -147,11 +145,22 @@ def rarest_first(posts: DataFrame, prefix: str) -> DataFrame:
     return kept.select("doc", "n", "shared", F.explode(F.expr("slice(keys, 1, keep)")).alias("p")).select("p.key", "doc", "n", "shared")
 
 
-def hub_pairs(posts: DataFrame, percent: int) -> DataFrame:
+def possible(percent: int, exact: bool) -> str:
+    """Whether sizes allow the similarity of a row and its hub.
+
+    With ``exact`` posts, ``shared`` counts the shingles that a set has in common with any other: two sets
+    have no more in common than the lesser count, and all else of both is in their union.
+    """
+    if exact:
+        return f"100 * least(shared, hub_shared) >= {percent} * (n + hub_n - least(shared, hub_shared))"
+    return f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
+
+
+def hub_pairs(posts: DataFrame, percent: int, exact: bool = False) -> DataFrame:
     """(hub, doc) for the members of each posting list whose sizes allow the similarity."""
     hubs = posts.groupBy("key").agg(F.max(F.struct("shared", (-F.col("doc")).alias("neg"), F.col("n").alias("hub_n"))).alias("h"))
-    hubs = hubs.select(F.col("key").alias("key_"), (-F.col("h.neg")).alias("hub"), F.col("h.hub_n").alias("hub_n"))
-    pairs = posts.join(hubs, posts["key"] == hubs["key_"]).where("doc <> hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+    hubs = hubs.select(F.col("key").alias("key_"), (-F.col("h.neg")).alias("hub"), F.col("h.hub_n").alias("hub_n"), F.col("h.shared").alias("hub_shared"))
+    pairs = posts.join(hubs, posts["key"] == hubs["key_"]).where("doc <> hub").where(possible(percent, exact))
     return pairs.select(F.greatest("hub", "doc").alias("x"), F.least("hub", "doc").alias("y"), "hub", "doc").dropDuplicates(["x", "y"]).select("hub", "doc")
 
 
@@ -208,19 +217,19 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _spread(posts: DataFrame, comps: DataFrame) -> DataFrame:
-    """posts with comp and m (members), of the lists that span several components."""
+    """posts with comp, of the lists that span several components."""
     c = comps.withColumnRenamed("comp", "comp_")
     with_comp = posts.join(c, posts["doc"] == c["node"], "left").select("key", "doc", "n", "shared", F.coalesce("comp_", "doc").alias("comp"))
-    wide = with_comp.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("key_"), "m")
-    return with_comp.join(wide, with_comp["key"] == wide["key_"]).select("key", "doc", "n", "shared", "comp", "m")
+    wide = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("key_"))
+    return with_comp.join(wide, with_comp["key"] == wide["key_"], "left_semi")
 
 
 def _across(spread: DataFrame, percent: int) -> DataFrame:
-    """(hub, doc): pairs of a list whose components differ and whose sizes allow the similarity."""
-    one = spread.select("key", "doc", "n", "comp")
-    other = spread.select(F.col("key").alias("key_"), F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-    pairs = one.join(other, (one["key"] == other["key_"]) & (one["doc"] > other["hub"]) & (one["comp"] != other["hub_comp"]))
-    return pairs.where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("hub", "doc").distinct()
+    """(hub, doc): pairs of a list whose components differ and whose counts allow the similarity."""
+    one = spread.select("key", "doc", "n", "shared", "comp")
+    other = spread.select(F.col("key").alias("key_"), F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("comp").alias("hub_comp"))
+    same = (one["key"] == other["key_"]) & (one["doc"] > other["hub"]) & (one["comp"] != other["hub_comp"]) & F.expr(possible(percent, True))
+    return one.join(other, same).select("hub", "doc").distinct()
 
 
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -262,19 +271,15 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, coordinates:
     sets = spool(candidates.mapInArrow(build, "doc long, sig array<long>, shingles array<long>").dropDuplicates(["doc"]), "sets")
     links = spool(confirm(stars, sets, percent, least), "links")
     comps = connected(links, "hub", "doc")
-    spread = spool(_spread(posts, comps), "spread")
-    if not spread.isEmpty():
-        # Short lists: their pairs across components.
-        more = _across(spread.where(F.col("m") <= SHORT_LIST), percent)
-        comps = _merge(comps, spool(confirm(more, sets, percent, least), "links"))
-        # Long lists: a prefix of each set's own shingles, rarest among these sets first.
-        long_ = spread.where(F.col("m") > SHORT_LIST).select(F.col("doc").alias("wanted"), "n").distinct()
-        shingles = sets.join(long_, sets["doc"] == long_["wanted"]).select("doc", "n", F.col("n").alias("size"), F.explode("shingles").alias("key"))
-        posts2 = spool(rarest_first(shingles, f"n - cast(ceil(n * {percent} / 100) as int) + 1"), "posts")
-        if not posts2.isEmpty():
-            again = _spread(posts2, comps)
-            comps = _merge(comps, spool(confirm(hub_pairs(again.select("key", "doc", "n", "shared"), percent), sets, percent, least), "links"))
-            comps = _merge(comps, spool(confirm(_across(_spread(posts2, comps), percent), sets, percent, least), "links"))
+    mixed_lists = spool(_spread(posts, comps).select(F.col("doc").alias("wanted")).distinct(), "spread")
+    if not mixed_lists.isEmpty():
+        # Their sets meet again on a prefix of their own shingles, rarest among these sets first.
+        members = sets.join(mixed_lists, sets["doc"] == mixed_lists["wanted"], "left_semi")
+        shingles = members.select("doc", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key")).withColumn("size", F.col("n"))
+        exact = spool(rarest_first(shingles, f"n - cast(ceil(n * {percent} / 100) as int) + 1"), "posts")
+        first = hub_pairs(_spread(exact, comps), percent, exact=True)
+        comps = _merge(comps, spool(confirm(first, sets, percent, least), "links"))
+        comps = _merge(comps, spool(confirm(_across(_spread(exact, comps), percent), sets, percent, least), "links"))
     own = rows.join(classes, (rows["k1"] == classes["c1"]) & (rows["k2"] == classes["c2"]) & (rows["n"] > 0), "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     final = comps.withColumnRenamed("comp", "comp_")
     out = own.join(final, own["rep"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp_", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
