@@ -61,9 +61,10 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
 def text_batches(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str | None]]]:
     """(ids, texts) in pieces of bounded size."""
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, j in chunks([x or "" for x in texts], limit):
-            yield ids[i:j], texts[i:j]
+        for at in range(0, b.num_rows, 512):
+            ids, texts = b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist()
+            for i, j in chunks([x or "" for x in texts], limit):
+                yield ids[i:j], texts[i:j]
 
 
 def as_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

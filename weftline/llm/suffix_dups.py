@@ -204,54 +204,38 @@ def drawn(keys: DataFrame, parts: int) -> list[bytes]:
 # ---- anchors ----
 
 
-def anchors(texts: list[str], window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
-    """Of each text: hashes of its minimisers' grams, their places, its bytes."""
+def anchors(texts: list[str], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """Minimisers of all texts: gram hashes, texts they belong to, places in those; all bytes, and where each text starts.
+
+    A gram is ranked by the high bits of its hash, then by place, so the least rank of a window holds the leftmost
+    least gram's place itself.
+    """
     data, starts = as_bytes(texts)
     n, w = len(data), window - gram + 1
+    none = np.zeros(0, np.int64)
     if n <= window:
-        for a, b in zip(starts, starts[1:], strict=False):
-            yield np.zeros(0, np.uint64), np.zeros(0, np.int64), data[a : b - 1].tobytes()
-        return
+        return none.view(np.uint64), none, none, data.tobytes(), starts
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_values()[data] * up[:-1], out=total[1:])
     g = n - gram + 1
     h = mixed((total[gram:] - total[:g]) * down[:g])
-    # Least hash of w neighbouring grams: running minima of blocks of w, from both sides.
+    bits = np.uint64(n.bit_length())
+    # Least rank of w neighbouring grams: running minima of blocks of w, from both sides.
     x = np.full(-(-g // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    x[:g] = h
+    x[:g] = (h >> bits << bits) | np.arange(g, dtype=np.uint64)
     x = x.reshape(-1, w)
     right, left = np.minimum.accumulate(x, 1).reshape(-1), np.minimum.accumulate(x[:, ::-1], 1)[:, ::-1].reshape(-1)
-    least = np.minimum(left[: n - window + 1], right[w - 1 : w - 1 + n - window + 1])
-    flat = data.tobytes()
-    for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
-        m = b - 1 - a - window + 1
-        if m <= 0:
-            yield np.zeros(0, np.uint64), np.zeros(0, np.int64), flat[a : b - 1]
-            continue
-        low = least[a : a + m]
-        # A gram is an anchor if it is the leftmost least one of some window.
-        own = h[a : b - gram]
-        first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-        places = _leftmost(own, low, first, w)
-        yield own[places], places, flat[a : b - 1]
-
-
-def _leftmost(own: np.ndarray, low: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
-    """Places of the leftmost least gram of every window."""
-    at = np.full(len(own), False)
-    ends = np.append(first[1:], len(low))
-    hits = np.flatnonzero(np.isin(own, low[first]))
-    values = own[hits]
-    for s, e in zip(first.tolist(), ends.tolist(), strict=True):
-        v, x = low[s], s
-        i = int(np.searchsorted(hits, s))
-        while x < e:  # windows s .. e - 1 have the same least value; its place may move right as equals leave on the left
-            while hits[i] < x or values[i] != v:
-                i += 1
-            at[hits[i]] = True
-            x = int(hits[i]) + 1
-    return np.flatnonzero(at)
+    m = n - window + 1
+    least = np.minimum(left[:m], right[w - 1 : w - 1 + m])
+    ends = np.zeros(n + 1, np.int32)
+    ends[starts[1:]] = 1  # after each text's last byte comes one that is not its own
+    ends = np.cumsum(ends)
+    whole = ends[window : window + m] == ends[:m]
+    places = (least[whole] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    places = places[np.diff(places, prepend=-1) != 0]
+    doc = np.searchsorted(starts, places, "right") - 1
+    return h[places], doc, places - starts[doc], data.tobytes(), starts
 
 
 def key_at(raw: bytes, pos: int, window: int, gram: int, tie: bytes) -> bytes:
@@ -484,29 +468,33 @@ def routed(blocks_: DataFrame, splitters: list[bytes]) -> DataFrame:
     return blocks_.select("data").mapInArrow(run, ROUTED)
 
 
-def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """docs (doc, version, packed) -> doc, version, start, stop of strings to remove; they may overlap."""
-    spark = docs.sparkSession
+def spans(texts: DataFrame, packed: DataFrame, window: int, gram: int) -> DataFrame:
+    """texts (doc, version, text), packed (doc, version, packed) -> doc, version, start, stop of strings to remove; they may overlap."""
+    spark = texts.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, versions, texts in _texts(batches):
-            out: list[list] = [[], [], [], [], []]
-            for doc, version, (h, at, raw) in zip(keys, versions, anchors(texts, window, gram), strict=True):
-                out[0].append(h.view(np.int64))
-                out[1].append(np.full(len(h), doc))
-                out[2].append(np.full(len(h), version))
-                out[3].append(at.astype(np.int32))
-                lot = (mixed(at.astype(np.uint64) + np.uint64(version & 0xFFFFFFFF)) % np.uint64(SAMPLED) == 0).tolist()
-                out[4] += [key_at(raw, p, window, gram, _tie(doc, version, p)) if x else None for p, x in zip(at.tolist(), lot, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:4]), pa.array(out[4], pa.binary())], ["h", "doc", "version", "pos", "key"])
-
-    found = docs.mapInArrow(find, "h long, doc long, version long, pos int, key binary")
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                docs, versions, some = (b.column(i).slice(at, 512).to_pylist() for i in range(3))
+                some = [x or "" for x in some]
+                docs, versions = np.array(docs, np.int64), np.array(versions, np.int64)
+                for i, j in chunks(some):
+                    h, doc, place, flat, starts = anchors(some[i:j], window, gram)
+                    own, version = docs[i:j][doc], versions[i:j][doc]
+                    lot = mixed((place.astype(np.uint64) << np.uint64(20)) ^ version.view(np.uint64)) % np.uint64(SAMPLED) == 0
+                    keys: list[bytes | None] = [None] * len(h)
+                    for k in np.flatnonzero(lot).tolist():
+                        a, e = int(starts[doc[k]]), int(starts[doc[k] + 1]) - 1
+                        keys[k] = key_at(flat[a:e], int(place[k]), window, gram, _tie(int(own[k]), int(version[k]), int(place[k])))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(version), pa.array(place.astype(np.int32)), pa.array(keys, pa.binary())], ["h", "doc", "version", "pos", "key"])
+
+    found = spool(texts.mapInArrow(find, "h long, doc long, version long, pos int, key binary"), "grams")
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h_"))
     shared = spool(found.join(twice, found["h"] == twice["h_"], "left_semi").select("doc", "version", "pos", "key"), "anchors")
     parts = max(2 * partitions(spark), shared.count() // 100_000)
     splitters = drawn(shared.where("key IS NOT NULL"), parts)
     places = shared.groupBy(F.col("doc").alias("p_doc"), F.col("version").alias("p_version")).agg(F.collect_list("pos").alias("places"))
-    wanted = docs.join(places, (docs["doc"] == places["p_doc"]) & (docs["version"] == places["p_version"])).select("doc", "version", "packed", "places")
+    wanted = packed.join(places, (packed["doc"] == places["p_doc"]) & (packed["version"] == places["p_version"])).select("doc", "version", "packed", "places")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -519,12 +507,13 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
             return _routed(rows)
 
         for b in batches:
-            for doc, version, packed, places_ in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = unpacked(packed)
-                held += [key_at(raw, p, window, gram, _tie(doc, version, p)) for p in places_]
-                if len(held) >= RUN:
-                    yield flush()
-                    n += 1
+            for at in range(0, b.num_rows, 512):
+                for doc, version, packed_, places_ in zip(*(b.column(i).slice(at, 512).to_pylist() for i in range(4)), strict=True):
+                    raw = unpacked(packed_)
+                    held += [key_at(raw, p, window, gram, _tie(doc, version, p)) for p in places_]
+                    if len(held) >= RUN:
+                        yield flush()
+                        n += 1
         if held:
             yield flush()
 
@@ -538,18 +527,26 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return out.select("doc", "version", "start", "stop")
 
 
-def pack_text(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
-    """doc, version (of the text), packed: compressed UTF-8, so that exchanges carry less; ``rest``: all other columns in one."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
+    """doc, version (of the text), text; ``rest``: all other columns in one."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")] if rest else []))
+    others = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")] if rest else []
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("version"), text.alias("text"), *others)
+
+
+def pack_text(rows: DataFrame) -> DataFrame:
+    """``keyed`` rows with the text as ``packed``, compressed UTF-8, so that exchanges carry less."""
+    rest = "rest" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            packed = pa.array([z.compress((x or "").encode("utf-8", "surrogatepass")) for x in b.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed, *([b.column(3)] if rest else [])], ["doc", "version", "packed", *(["rest"] if rest else [])])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                packed = pa.array([z.compress((x or "").encode("utf-8", "surrogatepass")) for x in b.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed, *([b.column(3)] if rest else [])], ["doc", "version", "packed", *(["rest"] if rest else [])])
 
     schema = StructType([rows.schema["doc"], rows.schema["version"], StructField("packed", BinaryType())] + ([rows.schema["rest"]] if rest else []))
     return rows.mapInArrow(run, schema)
@@ -561,14 +558,6 @@ def unpacked(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[str]]]:
-    for b in batches:
-        docs, versions, packed = (b.column(i).to_pylist() for i in range(3))
-        texts = [unpacked(x).decode("utf-8", "surrogatepass") for x in packed]
-        for i, j in chunks(texts):
-            yield docs[i:j], versions[i:j], texts[i:j]
-
-
 def without(raw: bytes, starts: list[int] | None, stops: list[int] | None) -> tuple[bytes, int, int]:
     """What is left of ``raw``, how many bytes went, and in how many runs."""
     kept, removed, n, end = [], 0, 0, 0
@@ -582,11 +571,13 @@ def without(raw: bytes, starts: list[int] | None, stops: list[int] | None) -> tu
     return b"".join(kept), removed, n
 
 
-def _with_spans(packed: DataFrame, window: int, gram: int) -> DataFrame:
-    found = spans(packed.select("doc", "version", "packed"), window, gram)
+def _with_spans(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    texts = rows.select("doc", "version", "text")
+    packed = pack_text(rows)
+    found = spans(texts, pack_text(texts), window, gram)
     gone = found.groupBy(F.col("doc").alias("g_doc"), F.col("version").alias("g_version")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
-    rows = packed.join(gone, (packed["doc"] == gone["g_doc"]) & (packed["version"] == gone["g_version"]), "left")
-    return rows.select(*(c for c in packed.columns if c != "version"), F.col("gone.start").alias("starts"), F.col("gone.stop").alias("stops"))
+    joined = packed.join(gone, (packed["doc"] == gone["g_doc"]) & (packed["version"] == gone["g_version"]), "left")
+    return joined.select(*(c for c in packed.columns if c != "version"), F.col("gone.start").alias("starts"), F.col("gone.stop").alias("stops"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -603,12 +594,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return _with_spans(pack_text(docs, id_col, text_col), window, gram).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _with_spans(keyed(docs, id_col, text_col), window, gram).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def clean(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with what is left of each text (characters that a cut splits go whole); texts that lose all are left out."""
-    rows = _with_spans(pack_text(docs, id_col, text_col, rest=True), window, gram)
+    rows = _with_spans(keyed(docs, id_col, text_col, rest=True), window, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
