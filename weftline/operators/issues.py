@@ -20,8 +20,8 @@ def smallest_enclosing(issues: DataFrame, ranges: DataFrame) -> DataFrame:
     r = ranges.select(F.col("file").alias("r_file"), "symbol", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width))).alias("r_block"))
     i = issues.withColumn("block", F.floor(F.col("line") / width))
     hit = i.join(r, (i["file"] == r["r_file"]) & (i["block"] == r["r_block"]) & (i["line"] >= r["start"]) & (i["line"] <= r["stop"]))
-    best = hit.groupBy("issue").agg(F.min(F.struct((F.col("stop") - F.col("start")).alias("size"), "start", "symbol")).alias("b"))
-    return issues.join(best.select(F.col("issue").alias("b_issue"), F.col("b.symbol").alias("symbol")), F.col("issue") == F.col("b_issue"), "left").drop("b_issue")
+    best = hit.groupBy("issue", "file", "line").agg(F.min(F.struct((F.col("stop") - F.col("start")).alias("size"), "start", "symbol")).alias("b"))
+    return issues.join(best.select("issue", "file", "line", F.col("b.symbol").alias("symbol")), ["issue", "file", "line"], "left")
 
 
 def callers(names: DataFrame, references: DataFrame, most: int = CALLERS) -> DataFrame:

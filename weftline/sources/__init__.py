@@ -1,0 +1 @@
+"""Readers: files, tracker documents, key maps, logs, cycles."""
