@@ -1,6 +1,6 @@
 """Token ids on disk as Re-Pair grammars (operator 7).
 
-Documents are ordered by id and encoded; shards of about a million ids are
+Documents are ordered by id and encoded; shards of about two million ids are
 compressed each by a grammar of its own: frequent neighbouring pairs become
 nonterminals, again and again, never across the end of a document. A shard
 holds its documents' places, the rules with their expansion lengths, and the
@@ -34,10 +34,10 @@ from weftline.llm import bpe
 from weftline.llm.common import id_text, partitions, shared_dir, table, text_batches
 
 MAGIC = b"RPG1"
-SHARD_IDS = 1_000_000
+SHARD_IDS = 2_000_000
 VOCABULARY = 50_257
 #: Rounds of replacement; each takes the pairs that occur most.
-ROUNDS = 5
+ROUNDS = 4
 LEAST_USES = 8
 NULL_ID = -(1 << 63)
 
@@ -56,7 +56,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY,
         pair = (seq[:-1] << np.uint32(16)) | seq[1:]  # symbols have 16 bits
         slot = (pair * np.uint32(2654435769)) >> np.uint32(11)
         crowded = np.bincount(slot, minlength=1 << 21)
-        at = np.flatnonzero((crowded[slot] >= LEAST_USES) & ~bounded[1:-1])
+        # The fewest uses that about twice as many slots as there is room for reach.
+        reach = np.cumsum(np.bincount(np.minimum(crowded, 1 << 16))[::-1])[::-1]
+        floor = max(LEAST_USES, int(np.argmax(reach <= 2 * most))) if reach[-1] <= 2 * most else LEAST_USES
+        at = np.flatnonzero((crowded >= floor)[slot] & ~bounded[1:-1])
         if not len(at):
             break
         found, count = np.unique(pair[at], return_counts=True)
@@ -65,8 +68,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY,
         if not len(best):
             break
         chosen = np.sort(found[best])
-        where = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[where] == pair[at]
+        rule = np.full(1 << 21, -1, np.int32)  # one pair a slot; another of the same slot waits for the next round
+        rule[(chosen * np.uint32(2654435769)) >> np.uint32(11)] = np.arange(len(chosen), dtype=np.int32)
+        where = rule[slot[at]]
+        hit = (where >= 0) & (chosen[where] == pair[at])
         at, where = at[hit], where[hit]
         # Of neighbouring occurrences every second one stands, from the left.
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)

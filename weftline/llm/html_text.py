@@ -8,7 +8,8 @@ per tag, adjusted by the share of link characters and link tags. A node's score
 is the sum of its children's densities; the node of the greatest score is the
 core. The lowest density on the path from the body to the core is the
 threshold: siblings of the core at or above it belong to the text too, and an
-enclosing ``article`` or ``main`` is taken whole.
+enclosing ``article`` or ``main`` is taken whole, and where such elements hold
+a quarter of the text or more, the core is sought in them.
 
 Defined results: null or empty html, or a page without text, gives ''; a text
 outside any tag counts as the body's; rows repeat as they do in the input;
@@ -184,7 +185,12 @@ def main_text(page: str | None) -> str:
     score[0] = dense[0] * 1e-9  # a body without elements is its own core
     for i in range(1, n):
         score[t.parent[i]] += dense[i]
-    core = max((i for i in range(n) if not t.out[i]), key=lambda i: (score[i], -i))
+    # Where article or main elements hold a good part of the text, the core lies in one of them.
+    marked = [False] * n
+    for i in range(1, n):
+        marked[i] = not t.out[i] and (marked[t.parent[i]] or t.tag[i] in ("article", "main") and chars[i] * 4 >= chars[0])
+    candidates = [i for i in range(n) if marked[i]] or [i for i in range(n) if not t.out[i]]
+    core = max(candidates, key=lambda i: (score[i], -i))
     path = [core]
     while path[-1]:
         path.append(t.parent[path[-1]])

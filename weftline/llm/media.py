@@ -129,8 +129,10 @@ def tracks(data: bytes) -> list[Track]:
     tables: dict[bytes, tuple[int, int]] = {}
 
     def close() -> None:
-        if not out or b"stsz" not in tables:
+        if not out:
             return
+        if b"stsz" not in tables:
+            raise ValueError("a track without sample sizes")
         t, u = out[-1], struct.unpack_from
         at, end = tables[b"stsz"]
         size, n = u(">II", data, at + 4)
