@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import query
+from weftline.session import shared_dir
 from weftline.streaming import cycles
 
 
@@ -15,6 +16,5 @@ from weftline.streaming import cycles
 def cycle_metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = cycles.read_events(spark, sf_dir).select("ts", F.col("event_type").alias("rel_type"), (F.col("value") / 500.0).alias("confidence"))
     token = uuid.uuid4().hex
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/weftline-shared"
-    out = cycles.run_once(cycles.windowed_metrics(events), f"cycles_{token}", f"{shared}/stream-{token}")
+    out = cycles.run_once(cycles.windowed_metrics(events), f"cycles_{token}", f"{shared_dir(spark)}/stream-{token}")
     return out.withColumns({"mean": F.round("mean", 6), "high": F.round("high", 6)})

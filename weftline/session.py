@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -30,6 +33,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+@lru_cache(1)
+def _own_shared() -> str:
+    path = tempfile.mkdtemp(prefix="weftline-shared-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where the session names none (a single machine)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (path or _own_shared()).rstrip("/")
+
+
 def local(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     settings = {
         "spark.sql.shuffle.partitions": str(partitions),
