@@ -28,8 +28,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import struct
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -46,6 +46,8 @@ from weftline.llm.near_dup import _byte_values, powers
 WINDOW, GRAM = 200, 32
 #: Records of a run that one task sorts at once, and of a front-coded block.
 RUN, BLOCK = 60_000, 1024
+#: Grams with open offsets whose checksums every task may hold.
+FEW = 200_000
 #: Earlier records in sorted order that a record is held against.
 NEIGHBOURS = 8
 #: Bytes that UTF-8 never has: the end of the first context, and of the key.
@@ -195,8 +197,8 @@ def merge_parts(routed: DataFrame, parts: int, reducer: Callable[[Iterator[tuple
 
 
 def drawn(keys: DataFrame, parts: int) -> list[bytes]:
-    """Splitters for ``parts`` parts from the column ``key``: 32 keys a part reach the driver."""
-    some = keys.select("key", F.xxhash64("key").alias("h")).orderBy("h").limit(32 * parts).select("key").toPandas().key
+    """Splitters for ``parts`` parts from the column ``key``: 8 keys a part reach the driver."""
+    some = keys.select("key", F.xxhash64("key").alias("h")).orderBy("h").limit(8 * parts).select("key").toPandas().key
     ordered = sorted(bytes(x) for x in some)
     return sorted({ordered[len(ordered) * i // parts] for i in range(1, parts)}) if ordered else []
 
@@ -411,17 +413,22 @@ def whole(window: int) -> Callable[[Iterator[tuple[bytes, int]]], Iterator[pa.Re
 
 def settle(open_: DataFrame, mirrored: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
     """Spans among the strings at open offsets of all records that share the gram."""
-    groups = open_.groupBy("key").agg(F.min("start").alias("low"), F.max("stop").alias("high"))
+    groups = spool(open_.groupBy("key").agg(F.min("start").alias("low"), F.max("stop").alias("high")), "open")
+    few = groups.select(F.crc32("key").alias("c")).limit(FEW + 1).toPandas().c
+    wanted = frozenset(few.tolist()) if len(few) <= FEW else None  # else the join alone picks the records
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(0).to_pylist():
                 rows = []
                 for r, _ in decoded(blob):
+                    if wanted is not None and zlib.crc32(r[:gram][::-1]) not in wanted:
+                        continue
                     end = r.index(END)
                     mid = r.index(MID)
                     rows.append((r[:gram][::-1], r[gram:mid], r[:gram][::-1] + r[mid + 1 : end], r[end + 1 : end + 1 + TIE_SIZE]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["gram", "behind", "ahead", "tie"])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["gram", "behind", "ahead", "tie"])
 
     records = mirrored.select("data").mapInArrow(unpack, "gram binary, behind binary, ahead binary, tie binary")
     rows = records.join(groups, records["gram"] == groups["key"]).select("behind", "ahead", "tie", "low", "high")
@@ -489,7 +496,8 @@ def spans(texts: DataFrame, packed: DataFrame, window: int, gram: int) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(version), pa.array(place.astype(np.int32)), pa.array(keys, pa.binary())], ["h", "doc", "version", "pos", "key"])
 
     found = spool(texts.mapInArrow(find, "h long, doc long, version long, pos int, key binary"), "grams")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h_"))
+    # As a table of its own, so that the join is one of two plain exchanges, whose hot keys can be split.
+    twice = spool(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h_")), "twice")
     shared = spool(found.join(twice, found["h"] == twice["h_"], "left_semi").select("doc", "version", "pos", "key"), "anchors")
     parts = max(2 * partitions(spark), shared.count() // 100_000)
     splitters = drawn(shared.where("key IS NOT NULL"), parts)
