@@ -139,7 +139,7 @@ def rarest_first(posts: DataFrame, prefix: str) -> DataFrame:
     front of the prefix without being kept. ``prefix`` gives its length from
     ``n`` (of the set) and ``size`` (of the keys).
     """
-    counts = posts.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select(F.col("key").alias("key_"), "f")
+    counts = spool(posts.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select(F.col("key").alias("key_"), "f"), "counts")
     per_doc = posts.join(counts, posts["key"] == counts["key_"]).groupBy("doc", "n", "size").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("keys"))
     kept = per_doc.withColumn("shared", F.size("keys")).withColumn("keep", F.expr(f"({prefix}) - (size - shared)")).where("keep > 0")
     return kept.select("doc", "n", "shared", F.explode(F.expr("slice(keys, 1, keep)")).alias("p")).select("p.key", "doc", "n", "shared")
@@ -253,6 +253,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, coordinates:
     classes = spool(classes.where("rep IS NOT NULL").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep"), "classes")
     # One row for each distinct set.
     reps = rows.join(classes, (rows["k1"] == classes["c1"]) & (rows["k2"] == classes["c2"]) & (rows["doc_id"] == classes["rep"])).dropDuplicates(["k1", "k2"])
+    reps = spool(reps.select("doc_id", "n", "sig"), "reps")
     posts = reps.select(F.col("doc_id").alias("doc"), "n", F.lit(coordinates).alias("size"), F.explode("sig").alias("key"))
     posts = spool(rarest_first(posts, f"{coordinates - least + 1}"), "posts")
     stars = spool(hub_pairs(posts, percent), "stars")
