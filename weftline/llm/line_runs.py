@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import spool, table
 
 MIN_LINES = 2
 WORD = r"[^\x20\x09-\x0D]"
@@ -48,7 +48,8 @@ def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """place, name: the earliest place of all rows with equal keys (null keys agree with nothing)."""
     whole = rows.where(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
     groups = whole.groupBy(*keys).agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    groups = groups.select(*(F.col(k).alias(f"g_{k}") for k in keys), "earliest")
+    # As a table of its own, so that the join is one of two plain exchanges, whose hot keys can be split.
+    groups = spool(groups.select(*(F.col(k).alias(f"g_{k}") for k in keys), "earliest"), "names")
     same = [rows[k] == groups[f"g_{k}"] for k in keys]
     return rows.join(groups, same, "left").select("place", F.coalesce("earliest", "place").alias("name"))
 
