@@ -12,9 +12,9 @@ from weftline.session import shared_dir
 from weftline.streaming import cycles
 
 
-@query("SELECT day(ts) AS cycle, event_type AS rel_type, count(*) AS n, round(avg(value / 500.0), 6) AS mean, round(max(value / 500.0), 6) AS high, count(*) FILTER (value / 500.0 >= 0.9) AS excellent FROM events GROUP BY 1, 2")
+@query("SELECT day(ts) AS cycle, event_type AS rel_type, count(*) AS n, round(avg(value / 500.0), 10) AS mean, round(max(value / 500.0), 10) AS high, count(*) FILTER (value / 500.0 >= 0.9) AS excellent FROM events GROUP BY 1, 2")
 def cycle_metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = cycles.read_events(spark, sf_dir).select("ts", F.col("event_type").alias("rel_type"), (F.col("value") / 500.0).alias("confidence"))
     token = uuid.uuid4().hex
     out = cycles.run_once(cycles.windowed_metrics(events), f"cycles_{token}", f"{shared_dir(spark)}/stream-{token}")
-    return out.withColumns({"mean": F.round("mean", 6), "high": F.round("high", 6)})
+    return out.withColumns({"mean": F.round("mean", 10), "high": F.round("high", 10)})

@@ -26,7 +26,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score FROM pairs")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return pairs(spark, sf_dir).withColumn("score", F.round("score", 10))
 
 
 ROLE = "CASE WHEN {c} % 3 = 0 THEN 'doc' ELSE 'code' END"
@@ -70,7 +70,7 @@ def rerank_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = lift.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % 500).alias("src"), (F.col("o_orderkey") % 500).alias("dst"))
     past = lift.table(spark, sf_dir, "events").where(F.dayofmonth("ts") > 20).select((F.col("user_id") % 500).alias("src"), (F.col("event_id") % 500).alias("dst"))
     left = similarity.without(similarity.without(pairs(spark, sf_dir), known), past)
-    return left.withColumn("score", F.round("score", 6))
+    return left.withColumn("score", F.round("score", 10))
 
 
 METRICS = f"""
@@ -84,10 +84,10 @@ def per_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: F.round(c, 10) for c in cols})
 
 
-@query(f"WITH {METRICS} SELECT cycle, n, round(mean, 6) AS mean, round(median, 6) AS median, round(stdev, 6) AS stdev, round(low, 6) AS low, round(high, 6) AS high, excellent, good, fair, poor FROM m")
+@query(f"WITH {METRICS} SELECT cycle, n, round(mean, 10) AS mean, round(median, 10) AS median, round(stdev, 10) AS stdev, round(low, 10) AS low, round(high, 10) AS high, excellent, good, fair, poor FROM m")
 def cycle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(per_cycle(spark, sf_dir), "mean", "median", "stdev", "low", "high")
 
@@ -97,9 +97,9 @@ def cycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.counted(lift.cycles(spark, sf_dir))
 
 
-@query(f"WITH {METRICS}, l AS (SELECT cycle, mean AS value, lag(mean) OVER (ORDER BY cycle) AS before FROM m) SELECT cycle, round(value, 6) AS value, round(CASE WHEN before > 0 THEN (value - before) / before * 100 END, 4) AS change_pct FROM l")
+@query(f"WITH {METRICS}, l AS (SELECT cycle, mean AS value, lag(mean) OVER (ORDER BY cycle) AS before FROM m) SELECT cycle, round(value, 10) AS value, round(CASE WHEN before > 0 THEN (value - before) / before * 100 END, 8) AS change_pct FROM l")
 def cycle_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.changes(per_cycle(spark, sf_dir), "mean").select("cycle", F.round("value", 6).alias("value"), F.round("change_pct", 4).alias("change_pct"))
+    return history.changes(per_cycle(spark, sf_dir), "mean").select("cycle", F.round("value", 10).alias("value"), F.round("change_pct", 8).alias("change_pct"))
 
 
 SUMMARY = f"""
@@ -110,10 +110,10 @@ su AS (SELECT *, CASE WHEN last_mean > first_mean THEN 'improving' ELSE 'declini
 """
 
 
-@query(f"WITH {SUMMARY} SELECT cycles, total, round(mean_of_means, 6) AS mean_of_means, round(spread, 6) AS spread, round(count_spread, 4) AS count_spread, round(first_mean, 6) AS first_mean, round(last_mean, 6) AS last_mean, trend, consistency, volume, round(cv_pct, 4) AS cv_pct FROM su")
+@query(f"WITH {SUMMARY} SELECT cycles, total, round(mean_of_means, 10) AS mean_of_means, round(spread, 10) AS spread, round(count_spread, 8) AS count_spread, round(first_mean, 10) AS first_mean, round(last_mean, 10) AS last_mean, trend, consistency, volume, round(cv_pct, 8) AS cv_pct FROM su")
 def cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = rounded(history.summary(per_cycle(spark, sf_dir)), "mean_of_means", "spread", "first_mean", "last_mean")
-    return s.withColumns({"count_spread": F.round("count_spread", 4), "cv_pct": F.round("cv_pct", 4)})
+    return s.withColumns({"count_spread": F.round("count_spread", 8), "cv_pct": F.round("cv_pct", 8)})
 
 
 @query(f"""
@@ -124,14 +124,14 @@ def cycle_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.recommendations(history.summary(per_cycle(spark, sf_dir)))
 
 
-@query(f"WITH {METRICS}, r AS (SELECT *, row_number() OVER (ORDER BY cycle DESC) AS nth FROM m) SELECT a.cycle AS latest, b.cycle AS previous, a.n - b.n AS n_change, round(a.mean - b.mean, 6) AS mean_change FROM r a JOIN r b ON a.nth = 1 AND b.nth = 2")
+@query(f"WITH {METRICS}, r AS (SELECT *, row_number() OVER (ORDER BY cycle DESC) AS nth FROM m) SELECT a.cycle AS latest, b.cycle AS previous, a.n - b.n AS n_change, round(a.mean - b.mean, 10) AS mean_change FROM r a JOIN r b ON a.nth = 1 AND b.nth = 2")
 def cycle_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.latest_against_previous(per_cycle(spark, sf_dir)), "mean_change")
 
 
 @query(f"""
 WITH {CYCLES}, c AS (SELECT cycle, 'type' AS kind, rel_type AS value, count(*) AS n FROM cycles GROUP BY ALL UNION ALL SELECT cycle, 'category', category, count(*) FROM cycles GROUP BY ALL),
-g AS (SELECT kind, value, round(avg(n), 6) AS average, CAST(sum(n) AS BIGINT) AS total, arg_min(n, cycle) AS first, arg_max(n, cycle) AS last FROM c GROUP BY ALL)
+g AS (SELECT kind, value, round(avg(n), 10) AS average, CAST(sum(n) AS BIGINT) AS total, arg_min(n, cycle) AS first, arg_max(n, cycle) AS last FROM c GROUP BY ALL)
 SELECT *, CASE WHEN last > first THEN 'increasing' ELSE 'decreasing' END AS trend FROM g
 """)
 def cycle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +144,8 @@ def historical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {CYCLES} SELECT * FROM (SELECT 'top' AS side, source, target, round(confidence, 6) AS confidence FROM cycles ORDER BY cycles.confidence DESC, seq LIMIT 10)
-UNION ALL SELECT * FROM (SELECT 'bottom', source, target, round(confidence, 6) FROM cycles ORDER BY cycles.confidence, seq LIMIT 5)
+WITH {CYCLES} SELECT * FROM (SELECT 'top' AS side, source, target, round(confidence, 10) AS confidence FROM cycles ORDER BY cycles.confidence DESC, seq LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'bottom', source, target, round(confidence, 10) FROM cycles ORDER BY cycles.confidence, seq LIMIT 5)
 """)
 def top_bottom_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.extremes(lift.cycles(spark, sf_dir)), "confidence").select("side", "source", "target", "confidence")
