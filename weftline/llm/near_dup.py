@@ -133,33 +133,37 @@ def signed(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
 
 
 def rarest_first(posts: DataFrame, prefix: str) -> DataFrame:
-    """posts (doc, n, key) -> (key, doc, n, shared): the prefix of each document's keys by rarity.
+    """posts (doc, n, key, size) -> (key, doc, n, shared, rest): the prefix of each document's keys by rarity.
 
     A key that only one document has cannot lead to another; such keys fill the
     front of the prefix without being kept. ``prefix`` gives its length from
-    ``n`` (of the set) and ``size`` (of the keys).
+    ``n`` (of the set) and ``size`` (of the keys); ``rest`` counts the keys that follow one.
     """
     counts = spool(posts.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select(F.col("key").alias("key_"), "f"), "counts")
     per_doc = posts.join(counts, posts["key"] == counts["key_"]).groupBy("doc", "n", "size").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("keys"))
     kept = per_doc.withColumn("shared", F.size("keys")).withColumn("keep", F.expr(f"({prefix}) - (size - shared)")).where("keep > 0")
-    return kept.select("doc", "n", "shared", F.explode(F.expr("slice(keys, 1, keep)")).alias("p")).select("p.key", "doc", "n", "shared")
+    placed = kept.select("doc", "n", "shared", F.posexplode(F.expr("slice(keys, 1, keep)")).alias("at", "p"))
+    return placed.select("p.key", "doc", "n", "shared", (F.col("shared") - F.col("at") - 1).alias("rest"))
 
 
 def possible(percent: int, exact: bool) -> str:
     """Whether sizes allow the similarity of a row and its hub.
 
-    With ``exact`` posts, ``shared`` counts the shingles that a set has in common with any other: two sets
-    have no more in common than the lesser count, and all else of both is in their union.
+    With ``exact`` posts, two bounds. ``shared`` counts the shingles that a set has in common with any other: two
+    sets have no more in common than the lesser count, and all else of both is in their union. And at the first key
+    that two sets have in common, they have no more in common than that key and the lesser number of keys after it;
+    so a pair that is similar enough passes at its first common key, whatever it does at later ones.
     """
     if exact:
-        return f"100 * least(shared, hub_shared) >= {percent} * (n + hub_n - least(shared, hub_shared))"
+        most = "least(shared, hub_shared, 1 + least(rest, hub_rest))"
+        return f"100 * {most} >= {percent} * (n + hub_n - {most})"
     return f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
 
 
 def hub_pairs(posts: DataFrame, percent: int, exact: bool = False) -> DataFrame:
     """(hub, doc) for the members of each posting list whose sizes allow the similarity."""
-    hubs = posts.groupBy("key").agg(F.max(F.struct("shared", (-F.col("doc")).alias("neg"), F.col("n").alias("hub_n"))).alias("h"))
-    hubs = hubs.select(F.col("key").alias("key_"), (-F.col("h.neg")).alias("hub"), F.col("h.hub_n").alias("hub_n"), F.col("h.shared").alias("hub_shared"))
+    hubs = posts.groupBy("key").agg(F.max(F.struct("shared", (-F.col("doc")).alias("neg"), F.col("n").alias("hub_n"), "rest")).alias("h"))
+    hubs = hubs.select(F.col("key").alias("key_"), (-F.col("h.neg")).alias("hub"), F.col("h.hub_n").alias("hub_n"), F.col("h.shared").alias("hub_shared"), F.col("h.rest").alias("hub_rest"))
     pairs = posts.join(hubs, posts["key"] == hubs["key_"]).where("doc <> hub").where(possible(percent, exact))
     return pairs.select(F.greatest("hub", "doc").alias("x"), F.least("hub", "doc").alias("y"), "hub", "doc").dropDuplicates(["x", "y"]).select("hub", "doc")
 
@@ -219,15 +223,15 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
 def _spread(posts: DataFrame, comps: DataFrame) -> DataFrame:
     """posts with comp, of the lists that span several components."""
     c = comps.withColumnRenamed("comp", "comp_")
-    with_comp = posts.join(c, posts["doc"] == c["node"], "left").select("key", "doc", "n", "shared", F.coalesce("comp_", "doc").alias("comp"))
+    with_comp = posts.join(c, posts["doc"] == c["node"], "left").select("key", "doc", "n", "shared", "rest", F.coalesce("comp_", "doc").alias("comp"))
     wide = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("key_"))
     return with_comp.join(wide, with_comp["key"] == wide["key_"], "left_semi")
 
 
 def _across(spread: DataFrame, percent: int) -> DataFrame:
     """(hub, doc): pairs of a list whose components differ and whose counts allow the similarity."""
-    one = spread.select("key", "doc", "n", "shared", "comp")
-    other = spread.select(F.col("key").alias("key_"), F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("comp").alias("hub_comp"))
+    one = spread.select("key", "doc", "n", "shared", "rest", "comp")
+    other = spread.select(F.col("key").alias("key_"), F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("rest").alias("hub_rest"), F.col("comp").alias("hub_comp"))
     same = (one["key"] == other["key_"]) & (one["doc"] > other["hub"]) & (one["comp"] != other["hub_comp"]) & F.expr(possible(percent, True))
     return one.join(other, same).select("hub", "doc").distinct()
 
