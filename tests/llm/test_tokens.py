@@ -42,6 +42,28 @@ def test_encoder_equals_both_libraries(texts, library, tokenizer):
         assert e.ids == library.encode_ordinary(text)
 
 
+def test_added_tokens_stand_for_themselves(spark, library, tmp_path):
+    ours, end = Tokenizer.from_file(JSON), "<|endoftext|>"
+    r = random.Random(5)
+    parts = [end, end[:-1], "<|", " ", "  ", "\n", "it", "'s", "é漢", "word", "9"]
+    given = [end, end * 3, f"a {end} b", f"a  {end}  b\n", f"it{end}'s", "plain", ""] + ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(500)]
+    expected = [e.ids for e in ours.encode_batch(given, add_special_tokens=False)]
+    assert expected[2] == [64, 220, 50256, 275]
+    assert [x.tolist() for x in bpe.encode_texts(given, bpe.rank_cache(JSON))] == expected
+    assert [x.tolist() for x in bpe.encode_texts(given, bpe.rank_cache(RANKS))] == [library.encode_ordinary(x) for x in given]
+    few = dict(enumerate(given[:40]))
+    rows = spark.createDataFrame(list(few.items()), "doc_id long, text string")
+    assert {x.doc_id: bytes(x.content).decode() for x in bpe.decode(bpe.encode(rows, JSON), JSON).collect()} == few
+    grammar.write(rows, str(tmp_path / "g"), JSON, end_id=0)
+    got, at = {x.doc_id: (x.start, x.ids_crc32) for x in grammar.read(spark, str(tmp_path / "g")).collect()}, 0
+    packed = {x.doc_id: (x.length, x.ids_crc32) for x in packing.pack(rows, JSON, end_id=2).collect()}
+    for k, ids in enumerate(expected[: len(few)]):
+        crc = lambda end_id: zlib.crc32(np.array([*ids, end_id], "<u4").tobytes())  # noqa: B023, E731
+        assert got[k] == (at, crc(0))
+        assert packed[k] == (len(ids) + 1, crc(2))
+        at += len(ids) + 1
+
+
 def test_states_do_not_depend_on_blocks():
     classes = np.random.default_rng(0).integers(0, bpe.CLASSES, 5000).astype(np.uint8)
     t, s, expected = bpe.transitions(), 0, []

@@ -10,7 +10,9 @@ looked up in a cache, whose misses are merged pair by pair.
 
 Defined results: a null text counts as empty; an empty text has no ids; texts
 of any length are handled whole; rows repeat in the output as they do in the
-input; columns other than the two that are read are ignored.
+input; columns other than the two that are read are ignored. The added tokens
+of a JSON file are cut out of the text first, the leftmost and of these the
+longest, and stand for themselves; a rank file has none.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -170,8 +173,10 @@ def pieces_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 class PieceCache:
     """Pre-token -> its ids as little-endian 16-bit words, in two generations so that memory is bounded."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], entries: int = CACHE_ENTRIES):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], entries: int = CACHE_ENTRIES, added: dict[str, int] | None = None):
         self.encode, self.entries, self.new, self.old = encode, entries, {}, {}
+        self.added = {k: np.array([v], np.uint16) for k, v in (added or {}).items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def __call__(self, pieces: list[bytes]) -> list[bytes]:
         got = list(map(self.new.get, pieces))
@@ -194,12 +199,12 @@ NONE = np.int32(1 << 30)
 
 
 class Ranks:
-    """A rank file: token bytes -> id (also the merge order), and the merging of pieces by it."""
+    """A rank file: token bytes -> id (also the merge order), and the merging of pieces by it. No merge makes an added token."""
 
-    def __init__(self, ids: dict[bytes, int]):
-        self.ids = ids
-        self.tokens = [b""] * (max(ids.values()) + 1)
-        for k, v in ids.items():
+    def __init__(self, ids: dict[bytes, int], added: dict[str, int] | None = None):
+        self.ids, self.added = ids, added or {}
+        self.tokens = [b""] * (max([*ids.values(), *self.added.values()]) + 1)
+        for k, v in [*ids.items(), *((k.encode(), v) for k, v in self.added.items())]:
             self.tokens[v] = k
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self.packed = {k: v.to_bytes(2, "little") for k, v in ids.items()}
@@ -309,6 +314,16 @@ class Ranks:
 
 def encode_texts(texts: list[str], cache: PieceCache) -> Iterator[np.ndarray]:
     """The ids of each text as uint16."""
+    if not any(k in x for k in cache.added for x in texts):
+        yield from _encode_plain(texts, cache)
+        return
+    parts = [cache.cut.split(x) for x in texts]  # every second part is an added token
+    got = _encode_plain([p for x in parts for p in x[::2]], cache)
+    for x in parts:
+        yield np.concatenate([cache.added[p] if i % 2 else next(got) for i, p in enumerate(x)])
+
+
+def _encode_plain(texts: list[str], cache: PieceCache) -> Iterator[np.ndarray]:
     for i, j in chunks(texts, CHUNK_CHARS):
         pieces, count, _ = pieces_of(texts[i:j])
         got, at = cache(pieces), count.tolist()
@@ -324,17 +339,22 @@ def ranks(path: str) -> Ranks:
     """
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        vocab, extra = whole["model"]["vocab"], whole.get("added_tokens") or []
+        if any(x.get(k) for x in extra for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their surroundings are not supported")
+        added = {x["content"]: x["id"] for x in extra}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        return Ranks({bytes(byte[c] for c in k): v for k, v in vocab.items() if all(c in byte for c in k) and not k.startswith("<|")})
+        return Ranks({bytes(byte[c] for c in k): v for k, v in vocab.items() if all(c in byte for c in k) and k not in added}, added)
     with open(path, "rb") as f:
         return Ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
 @lru_cache(2)
 def rank_cache(path: str) -> PieceCache:
-    return PieceCache(ranks(path).merge_all)
+    r = ranks(path)
+    return PieceCache(r.merge_all, added=r.added)
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
