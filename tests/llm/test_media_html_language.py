@@ -56,6 +56,34 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+KEPT = [
+    ("<article><p>Read <a href='/hidden/path'>this page</a> and <a title='the hidden gem' href=x>that one</a>.</p></article>", "Read this page and that one."),
+    ("<article><div data-id='menu' data-class=sidebar><p>Dishes of the day.</p></div></article>", "Dishes of the day."),
+    ("<article><a href=/a/class=ad>Bare</a> value</article>", "Bare value"),
+    *((f"<article><h2 id='{x}'>Head</h2><section id='{x}'><p>Body text.</p></section></article>", "Head\nBody text.") for x in ("discussion", "related-work", "recommendations", "notices", "related", "share-2")),
+    ("<main><div class='share-of-market'><p>Half of it.</p></div><h2 id=comments>Head</h2></main>", "Half of it.\nHead"),
+    ("<div class='share-of-market'><p>Half of the market.</p></div>", "Half of the market."),
+    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>", "So x=2 holds."),
+    ("<article><h3><button>Why?</button></h3><p><label>Term</label> means this.</p></article>", "Why?\nTerm means this."),
+    ("<article><header class='entry-header'><h1>Title</h1></header><p>Text.</p></article>", "Title\nText."),
+]
+LEFT_OUT = ["class='ad'", "class='x ads-300x250'", "id=sidebar-left", "class=share-buttons", "class='related-posts'", "id='comments'", "class=comments-area", "class='social_icons'", "hidden", "HIDDEN=''", "aria-hidden=true", "style='color:red; display: none'", "role=navigation"]
+LEFT_OUT_OUTSIDE = ["class=site-header", "class='main-menu'", "id=footer", "class='cookie-notice'", "class='related'", "id=notices", "class=widget"]
+
+
+@pytest.mark.parametrize(("page", "text"), KEPT)
+def test_text_that_only_looks_like_furniture(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("attributes", LEFT_OUT + LEFT_OUT_OUTSIDE)
+def test_furniture_is_left_out(attributes):
+    text = "Some sentences of the text, which go on for a while, so that they are the core."
+    assert html_text.main_text(f"<body><div {attributes}><p>furniture</p></div><div><p>{text}</p><p>{text}</p></div></body>") == f"{text}\n{text}"
+    if attributes in LEFT_OUT:
+        assert html_text.main_text(f"<article><p>{text}</p><div {attributes}><p>furniture</p></div></article>") == text
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(i, f"u{i}", p, "t") for i, (p, _) in enumerate(PAGES)] + [(0, "u0", PAGES[0][0], "t")], "page_id long, url string, html string, text string")
     got = html_text.extract(rows).collect()

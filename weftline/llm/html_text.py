@@ -3,7 +3,10 @@
 A page is parsed into a tree (unclosed and wrongly nested tags included).
 Scripts, styles, forms and what its tag, role, class or id names as page
 furniture (menus, headers, footers, sidebars, notices, adverts, reader
-comments) are left out. Every other node gets its composite density: characters
+comments) are left out. A class or id names furniture as a whole token, but for
+words of place and part around it; in an ``article`` or ``main``, words that
+articles write about too (related, share, notices) do so only with a word of
+part, and a heading's id never does. Every other node gets its composite density: characters
 per tag, adjusted by the share of link characters and link tags. A node's score
 is the sum of its children's densities; the node of the greatest score is the
 core. The lowest density on the path from the body to the core is the
@@ -23,6 +26,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,21 +40,32 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("nav footer aside form script style noscript template iframe object svg canvas math head title button select textarea input label dialog menu audio video".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe object svg canvas head title select textarea input dialog menu audio video annotation annotation-xml".split())
 #: Start tags that end an open element of the named kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
 SCOPE = frozenset("table ul ol dl body html article section div blockquote td th".split())
-FURNITURE = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|disclaimer|discuss\w*|disqus|footer|gdpr|header|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo\w*|"
-    r"recommend\w*|related|replies|respond|share|sharing|sidebar|side-?nav|skip-?link|social|sponsor\w*|subscri\w*|toolbar|topbar|widget)(?![a-z])"
+#: Words of classes and ids that name furniture wherever they stand, and those that do so outside articles only.
+PLAIN = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense breadcrumb breadcrumbs byline-share commentlist comments cookie-banner cookie-notice disqus gdpr nav navbar navigation newsletter pagination pager "
+    "popup respond sidebar side-nav sidenav skip-link skiplink sponsored subscribe toolbar topbar".split()
 )
+WIDE = frozenset(
+    "banner comment consent cookie cookies disclaimer discuss discussion footer header masthead menu menus modal notice notices promo promos promotion recommended recommendations related replies share sharing social sponsor sponsors "
+    "subscription widget widgets".split()
+)
+#: Those of WIDE that name furniture inside articles too, where a word of part follows.
+PAIRED = frozenset("comment consent cookie cookies footer menu promo recommended related share sharing social sponsor widget widgets".split())
+PLACES = frozenset("site page global main top bottom left right primary secondary mobile desktop sticky fixed wp js c l o td".split())
+PARTS = frozenset("area articles bar block buttons container form icons inner items left links list nav posts right section stories thread toggle widget wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title|svg|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s>/]|$))", re.I)
+#: One attribute with its value, so that no value is read as an attribute.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
@@ -63,6 +78,23 @@ class Tree:
         self.block = 0
 
 
+@lru_cache(1 << 16)
+def names_furniture(token: str, inside_article: bool) -> bool:
+    """Whether one class or id, without its words of place and part, is a word for furniture."""
+    words = [x for x in token.replace("_", "-").split("-") if x and not x[0].isdigit()]
+    last = len(words)
+    for first in range(len(words)):
+        for end in range(last, first, -1):
+            word = "-".join(words[first:end])
+            if word in PLAIN or word in WIDE and (not inside_article or word in PAIRED and end < last):
+                return True
+            if words[end - 1] not in PARTS:
+                break
+        if words[first] not in PLACES:
+            break
+    return False
+
+
 def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in DROPPED:
         return True
@@ -71,12 +103,17 @@ def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     if not attributes:
         return False
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name = name.lower()
+        if name not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
+        value = value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
         if name == "role" and value in FURNITURE_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("article", "main", "body", "html") and FURNITURE.search(value.replace("_", "-")):
+        if name == "id" and tag in HEADINGS or tag in ("article", "main", "body", "html"):
+            continue
+        if name in ("class", "id") and any(names_furniture(x, inside_article) for x in value.split()):
             return True
     return False
 
@@ -85,6 +122,7 @@ def parse(page: str) -> Tree:
     t = Tree()
     open_nodes, at = [0], 0
     parent, tags, out, pieces = t.parent, t.tag, t.out, t.pieces
+    within = [False]  # whether a node is an article or main, or inside one
 
     def say(text: str) -> None:
         if text:
@@ -135,7 +173,8 @@ def parse(page: str) -> Tree:
         attributes = m[4]
         parent.append(above)
         tags.append(name)
-        out.append(out[above] or furniture(name, attributes, name == "header" and any(tags[i] in ("article", "main") for i in open_nodes)))
+        out.append(out[above] or furniture(name, attributes, within[above]))
+        within.append(within[above] or name in ("article", "main"))
         if name in VOID:
             if name in ("br", "hr", "img"):
                 pieces.append((above, t.block, " "))
