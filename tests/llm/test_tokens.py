@@ -146,6 +146,33 @@ def test_grammar_round_trip():
             assert len(s.left) and len(s.symbols) < sum(map(len, held)) / 2
 
 
+def test_grammar_goes_on_until_no_pair_is_left():
+    r = np.random.default_rng(2)
+    passage = r.permutation(3000).astype(np.uint16)[:1000]
+    held = [np.concatenate([r.integers(3000, 50_000, 3).astype(np.uint16), passage]) for _ in range(60)] + [np.full(5000, 7, np.uint16)] + [r.integers(0, 300, 20_000).astype(np.uint16)]
+    s = grammar.Shard(grammar.pack_shard(list(range(len(held))), held))
+    assert all(s.document(i).tolist() == x.tolist() for i, x in enumerate(held))
+    assert s.lengths.max() >= 1000  # the copied passage is one rule
+    ends = set(s.first[1:].tolist())
+    left = {}
+    for i, pair in enumerate(zip(s.symbols.tolist(), s.symbols[1:].tolist(), strict=False), 1):
+        if i not in ends:
+            left[pair] = left.get(pair, 0) + 1
+    assert max(left.values()) < grammar.LEAST_USES
+    assert len(s.left) < 65_536 - s.vocabulary
+
+
+def test_grammar_uses_every_symbol():
+    """More pairs than symbols: the room is filled, and ids come back."""
+    r = np.random.default_rng(3)
+    ids = np.repeat(r.integers(0, 50_257, (17_000, 2)).astype(np.uint16)[None], 8, 0)
+    for x in ids:
+        r.shuffle(x)
+    s = grammar.Shard(grammar.pack_shard([0], [ids.reshape(-1)]))
+    assert s.document(0).tolist() == ids.reshape(-1).tolist()
+    assert len(s.left) == 65_536 - s.vocabulary
+
+
 def test_grammar_files(spark, docs, empty, texts, tokenizer, tmp_path):
     grammar.write(docs, str(tmp_path / "g"), JSON, end_id=0)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in grammar.read(spark, str(tmp_path / "g")).collect()}

@@ -2,7 +2,9 @@
 
 Documents are ordered by id and encoded; shards of about two million ids are
 compressed each by a grammar of its own: frequent neighbouring pairs become
-nonterminals, again and again, never across the end of a document. A shard
+nonterminals, round by round, until no pair occurs LEAST_USES times or symbols
+run out, never across the end of a document. A round takes the pairs that occur
+at least half as often as the most frequent one. A shard
 holds its documents' places, the rules with their expansion lengths, and the
 remaining symbols as 16-bit words, so any range of ids can be decoded without
 the rest. Shards are rows of a Parquet dataset, which every file system that
@@ -36,39 +38,38 @@ from weftline.llm.common import id_text, partitions, shared_dir, table, text_bat
 MAGIC = b"RPG1"
 SHARD_IDS = 2_000_000
 VOCABULARY = 50_257
-#: Rounds of replacement; each takes the pairs that occur most.
-ROUNDS = 4
+#: A pair of fewer occurrences is not replaced. Of overlapping ones at least half stand, and a rule takes as much room as four of them save.
 LEAST_USES = 8
 NULL_ID = -(1 << 63)
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first symbol of each document, rules as (left, right), expansion lengths)."""
     seq, first = ids.astype(np.uint32), starts.astype(np.int64)
     rules, lengths = [np.zeros((0, 2), np.uint32)], [np.ones(vocabulary, np.uint32)]
     made, room = 0, 65_536 - vocabulary
-    for r in range(rounds):
-        if len(seq) < 2 or made >= room:
-            break
-        most = (room - made) if r == rounds - 1 else (room - made + 1) // 2
+    most = room  # rules of one round at most
+    while len(seq) > 1 and made < room:
         bounded = np.zeros(len(seq) + 1, bool)
         bounded[first] = True
         pair = (seq[:-1] << np.uint32(16)) | seq[1:]  # symbols have 16 bits
         slot = (pair * np.uint32(2654435769)) >> np.uint32(11)
-        crowded = np.bincount(slot, minlength=1 << 21)
-        # The fewest uses that about twice as many slots as there is room for reach.
-        reach = np.cumsum(np.bincount(np.minimum(crowded, 1 << 16))[::-1])[::-1]
-        floor = max(LEAST_USES, int(np.argmax(reach <= 2 * most))) if reach[-1] <= 2 * most else LEAST_USES
-        at = np.flatnonzero((crowded >= floor)[slot] & ~bounded[1:-1])
-        if not len(at):
-            break
-        found, count = np.unique(pair[at], return_counts=True)
-        best = np.argsort(-count, kind="stable")[:most]
-        best = best[count[best] >= LEAST_USES]
+        slot[bounded[1:-1]] = 1 << 21  # no pair
+        crowded = np.bincount(slot, minlength=(1 << 21) + 1)
+        crowded[1 << 21] = 0
+        floor = max(LEAST_USES, int(crowded.max()) // 2)
+        while True:
+            at = np.flatnonzero((crowded >= floor)[slot])
+            found, count = np.unique(pair[at], return_counts=True)
+            if floor == LEAST_USES or count.max() >= floor:
+                break
+            floor = max(LEAST_USES, floor // 2)  # several pairs made up the fullest slots
+        best = np.flatnonzero(count >= floor)
         if not len(best):
             break
+        best = best[np.argsort(-count[best], kind="stable")][: min(most, room - made)]
         chosen = np.sort(found[best])
-        rule = np.full(1 << 21, -1, np.int32)  # one pair a slot; another of the same slot waits for the next round
+        rule = np.full((1 << 21) + 1, -1, np.int32)  # one pair a slot; another of the same slot waits for the next round
         rule[(chosen * np.uint32(2654435769)) >> np.uint32(11)] = np.arange(len(chosen), dtype=np.int32)
         where = rule[slot[at]]
         hit = (where >= 0) & (chosen[where] == pair[at])
@@ -79,6 +80,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY,
         at, where = at[nth % 2 == 0], where[nth % 2 == 0]
         uses = np.bincount(where, minlength=len(chosen))
         good = uses >= LEAST_USES // 2
+        if not good.any():  # they stand in each other's way; a single pair never does
+            most = max(1, len(best) // 16)
+            continue
+        most = room
         name = np.cumsum(good) - 1
         at, where = at[good[where]], where[good[where]]
         new = chosen[good]
