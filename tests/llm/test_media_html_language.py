@@ -122,3 +122,23 @@ def test_languages(spark, empty):
     assert all(0 <= x.score <= 1 for x in got)
     none, q = language.likelihoods(language.train(empty))
     assert none == [] and {x.lang_pred for x in language.identify(train, none, q).collect()} == {"und"}
+
+
+def test_texts_in_many_languages():
+    r = random.Random(6)
+    syllables = {"aa": "the ing er tion ou th", "bb": "eau que ion é ais ne", "cc": "sch ung ei ü ge ten", "dd": "ño ría lla de os ción", "ee": "ský vě př že ou ní"}
+    m = np.full((language.BUCKETS, len(syllables)), language.SMOOTHING)
+    for i, x in enumerate(syllables.values()):
+        np.add.at(m[:, i], language.trigrams([invented(r, x, 4000)])[0], 1)
+    p = m / m.sum(0)
+    of = lambda k: " ".join(invented(r, x, 150) for x in list(syllables.values())[:k])
+    texts = [of(k) for k in range(1, 6)]
+    shares, _ = language.mixtures(texts, p)
+    assert [(x > 0).sum() for x in shares] == [1, 2, 3, 4, 5]
+    assert np.allclose(shares.sum(1), 1) and abs(shares[4] - 0.2).max() < 0.1
+    # Each text's shares are a fixed point of EM, whatever it is fitted together with.
+    for text, own in zip(texts, shares, strict=True):
+        h = language.trigrams([text])[0]
+        post = p[h] * own
+        assert abs((post / post.sum(1, keepdims=True)).mean(0) - own).max() <= language.TOLERANCE
+        assert np.allclose(language.mixtures([text], p)[0][0], own)

@@ -3,8 +3,9 @@
 Training counts character trigrams (letters and word edges, lower case) of the
 labelled rows, per language, in a fixed number of hash buckets; smoothed, they
 are the likelihoods. For each text, expectation-maximisation estimates the
-share of every language; nested sets of its strongest languages are refitted
-and the set of greatest penalised likelihood is kept. The prediction is the
+share of every language, until no share moves by more than TOLERANCE; nested
+sets of its strongest languages, up to all that were learned, are refitted and
+the set of greatest penalised likelihood is kept. The prediction is the
 set's largest share, and the score is that share.
 
 Defined results: null texts and texts without a letter get ``und`` and score
@@ -28,10 +29,9 @@ from weftline.llm.common import id_text, table, text_batches
 
 #: Hash buckets of trigrams: what the model costs, whatever the corpus.
 BUCKETS = 1 << 14
-ROUNDS = 8
 SMOOTHING = 0.5
-#: Languages of a set at most; a text in more is given its strongest.
-MOST_LANGUAGES = 3
+#: EM ends for a text when a round moves none of its shares by more.
+TOLERANCE = 1e-4
 
 
 @lru_cache(1)
@@ -94,11 +94,18 @@ def _fit(p: np.ndarray, count: np.ndarray, first: np.ndarray, size: np.ndarray,
     """Shares and log-likelihood of each text over the languages it may use."""
     w = allowed / allowed.sum(1, keepdims=True)
     total = np.add.reduceat(count, first)
-    for _ in range(ROUNDS):
-        r = np.repeat(w, size, 0) * p
-        z = r.sum(1)
-        r *= (count / z)[:, None]
-        w = np.add.reduceat(r, first, 0) / total[:, None]
+    open_, q, c, n = np.arange(len(w)), p, count, size
+    while True:
+        old = w[open_]
+        r = np.repeat(old, n, 0) * q
+        r *= (c / r.sum(1))[:, None]
+        w[open_] = new = np.add.reduceat(r, np.cumsum(n) - n, 0) / total[open_][:, None]
+        moving = np.abs(new - old).max(1) > TOLERANCE
+        if not moving.any():
+            break
+        if not moving.all():
+            rows = np.repeat(moving, n)
+            open_, q, c, n = open_[moving], q[rows], c[rows], n[moving]
     z = np.maximum((np.repeat(w, size, 0) * p).sum(1), 1e-300)
     return w, np.add.reduceat(count * np.log(z), first)
 
@@ -119,7 +126,7 @@ def mixtures(texts: list[str], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w, _ = _fit(rows, count, first, size, np.ones((len(have), p.shape[1])))
     order = np.argsort(np.argsort(-w, 1, kind="stable"), 1, kind="stable")
     best, chosen = np.full(len(have), -np.inf), w
-    for k in range(1, min(MOST_LANGUAGES, p.shape[1]) + 1):
+    for k in range(1, p.shape[1] + 1):
         if k == 1:
             shares = (order == 0).astype(float)
             like = np.add.reduceat(count * np.log((np.repeat(shares, size, 0) * rows).sum(1)), first)
