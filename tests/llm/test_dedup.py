@@ -121,3 +121,22 @@ def test_loser_tree():
         assert [x for x, _ in got] == sorted(y for x in runs for y in x)
         for (a, _), (b, shared) in zip(got, got[1:], strict=False):
             assert shared == suffix_dups.common(a, b)
+
+
+def test_exact_stage_asks_for_no_agreements(spark, monkeypatch):
+    """Only the first confirmations look at signatures, and what is linked after them is similar."""
+    asked, confirm = [], near_dup.confirm
+    monkeypatch.setattr(near_dup, "confirm", lambda pairs, sets, percent, least: asked.append(least) or confirm(pairs, sets, percent, least))
+    r = random.Random(21)
+    texts = {}
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for _ in range(12):
+            w = list(base)
+            w[r.randrange(100)] = f"e{r.randrange(10**6)}"
+            texts[len(texts)] = " ".join(w)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_dup.components(rows, width=3, percent=85, least=30).collect()}
+    assert asked == [30, 0, 0]
+    whole = brute.components(texts, 3, 85)
+    assert all(whole[k][1] == whole[c][1] for k, c in got.items())
