@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -25,21 +26,30 @@ def library():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def test_encoder_equals_both_libraries(texts, library, tokenizer):
     r = random.Random(3)
+    block = [chr(i + r.randrange(64)) for i in range(0, 0x110000, 64) if not 0xD800 <= i < 0xE000]
     odd = ["".join(r.choice("'' '  \n\t 　\xa0stmdrevlleEx9٣é漢!-.\x1c😀<|endoftext|>") for _ in range(r.randint(0, 50))) for _ in range(3000)]
+    odd += [a + r.choice(block) + " " + a for a in block] + ["\U00013548荘"]
     given = [x or "" for x in texts.values()] + odd + ["'" * 900, " " * 1000 + "x", "ab" * 5000]
-    for path in (RANKS, JSON):
-        got = list(bpe.encode_texts(given, bpe.rank_cache(path)))
-        for text, ids in zip(given, got, strict=True):
-            assert ids.tolist() == library.encode_ordinary(text)
-    for text, e in zip(given, tokenizer.encode_batch_fast(given, add_special_tokens=False), strict=True):
-        assert e.ids == library.encode_ordinary(text)
+    for text, ids in zip(given, bpe.encode_texts(given, bpe.rank_cache(RANKS)), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text)
+    for ids, e in zip(bpe.encode_texts(given, bpe.rank_cache(JSON)), tokenizer.encode_batch_fast(given, add_special_tokens=False), strict=True):
+        assert ids.tolist() == e.ids
+
+
+def test_classes_are_those_of_the_second_library_too():
+    from tokenizers import Regex, normalizers
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    t = bpe.class_table()
+    for pattern, kinds in ((r"\p{L}", [bpe.LETTER, bpe.C_STMD, bpe.C_R, bpe.C_V, bpe.C_L, bpe.C_E]), (r"\p{N}", [bpe.NUMBER]), (r"\s", [bpe.WHITE, bpe.BLANK])):
+        left = normalizers.Replace(Regex(pattern), "").normalize_str(every)
+        assert np.isin(t[[ord(c) for c in every]], kinds).sum() == len(every) - len(left)
+        assert not np.isin(t[[ord(c) for c in left]], kinds).any()
 
 
 def test_added_tokens_stand_for_themselves(spark, library, tmp_path):
@@ -73,11 +83,25 @@ def test_states_do_not_depend_on_blocks():
     assert bpe.run_states(classes).tolist() == expected
 
 
-def test_cache_generations(library):
-    cache = bpe.PieceCache(bpe.ranks(RANKS).merge_all, entries=5)
+@pytest.mark.parametrize("entries", [0, 5])
+def test_cache_stays_small(library, entries):
+    cache = bpe.PieceCache(bpe.ranks(RANKS), entries=entries)
     for _ in range(3):
-        for text in ("one two three four five six seven", "eight nine ten one two", "a b c d e f g h"):
+        for text in ("one two three four five six seven", "eight nine ten one two", "a b c d e f g h", "", "x" * 3000):
             assert next(bpe.encode_texts([text], cache)).tolist() == library.encode_ordinary(text)
+            assert len(cache.known) <= max(entries, 1)
+
+
+def test_tokens_that_no_merge_makes():
+    """A rank file's piece that is a token stands for itself; otherwise only merges count."""
+    ids = {bytes([i]): i for i in range(256)} | {b"bc": 256, b"ab": 257, b"abc": 258}
+    for whole_first in (True, False):
+        r = bpe.Ranks(ids, whole_first=whole_first)
+        assert r.odd == {}  # b"abc" is a + bc
+    ids = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"bc": 257, b"bcd": 258, b"abcd": 259, b"cde": 260}
+    r = bpe.Ranks(ids, whole_first=True)
+    assert r.odd == {b"cde": 260, b"abcd": 259}
+    assert [x.tolist() for x in bpe.encode_texts(["cde", " abcd abcde", ""], bpe.PieceCache(r))] == [[260], [32, 256, 99, 100, 32, 256, 99, 100, 101], []]
 
 
 def test_encode_decode(docs, empty, texts, library):
@@ -87,6 +111,9 @@ def test_encode_decode(docs, empty, texts, library):
         assert row.ids == library.encode_ordinary(texts[row.doc_id] or "")
         assert all(raw[s:].startswith(library.decode_single_token_bytes(i)) for i, s in zip(row.ids, row.starts, strict=True))
     assert {r.doc_id: bytes(r.content) for r in bpe.decode(e, RANKS).collect()} == {k: (v or "").encode() for k, v in texts.items()}
+    for a, b in ((0, 7), (3, 40), (5, None), (9, 9)):
+        for r in bpe.decode(e, RANKS, a, b).collect():
+            assert bytes(r.content) == (texts[r.doc_id] or "").encode()[a:b]
     for r in bpe.digests(docs, RANKS).collect():
         ids = library.encode_ordinary(texts[r.doc_id] or "")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
@@ -108,9 +135,53 @@ def test_quality(docs, empty, texts):
 
 def test_bands_judge_what_they_say():
     band = quality.BANDS["en"]
-    assert quality.within(band, 2.5, 2.5, 2.2, 0.0, 6.0)
-    for bad in ((1.0, 2.5, 2.2, 0.0, 6.0), (2.5, 9.0, 2.2, 0.0, 6.0), (2.5, 2.5, 4.4, 0.0, 6.0), (2.5, 2.5, 2.2, 0.5, 6.0), (2.5, 2.5, 2.2, 0.0, 4.0)):
-        assert not quality.within(band, *bad)
+    good = (2.5, 2.5, 2.2, 0.0, 6.6, 6.0)
+    assert quality.within(band, *good)
+    for i, bad in ((0, 1.0), (1, 9.0), (2, 4.4), (3, 0.5), (4, 4.0), (5, 4.0)):
+        assert not quality.within(band, *good[:i], bad, *good[i + 1 :])
+
+
+def test_quality_figures(docs, texts, library):
+    """Every figure against the libraries and plain sums, and the verdict they give."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for r in quality.measure(docs, RANKS, PIECES).collect():
+        text = texts[r.doc_id] or ""
+        ids, pieces = library.encode_ordinary(text), sp.encode(text)
+        if not ids:
+            assert r.chars_per_token is None and r.token_entropy is None and not r.kept
+            continue
+        shares = [n / len(ids) for n in Counter(ids).values()]
+        figures = (len(text) / len(ids), len(text) / len(pieces), len(ids) / max(len(brute.words(text)), 1), sum(map(sp.is_byte, pieces)) / len(pieces), -sum(p * np.log2(p) for p in shares), -np.log2(sum(p * p for p in shares)))
+        assert np.allclose(figures, (r.chars_per_token, r.chars_per_piece, r.tokens_per_word, r.byte_share, r.token_entropy, r.collision_entropy))
+        assert r.kept == (not r.base_failed and quality.within(quality.BANDS[r.band], *figures))
+        assert r.band == "en" or r.doc_id % 9 == 0
+
+
+def test_counts_of_odd_texts():
+    import sentencepiece
+
+    r = random.Random(4)
+    parts = ["a", "b", " ", "  ", "\n", "é", "漢", "the ", "x y", "#", "\t", "😀", "\x00", "<s>", " \n", "\n ", "\u2581"]
+    odd = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(5000)]
+    assert [tuple(x) for x in quality.base_counts(odd).tolist()] == [brute.base_counts(x) for x in odd]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for entries in (3, 10_000):
+        pieces = quality.Pieces(PIECES, entries)
+        for at in range(0, len(odd), 500):
+            got = pieces(odd[at : at + 500]).tolist()
+            assert got == [[len(x), sum(map(sp.is_byte, x))] for x in sp.encode(odd[at : at + 500])]
+
+
+def test_quality_edges(spark):
+    rows = [(None, None, None), (1, "", "en"), (2, None, "en"), (3, "a b c " * 30, "xx"), (3, "a b c " * 30, "xx"), (4, "word " * 100_000, None)]
+    given = spark.createDataFrame([(*x, "w", 1.5) for x in rows], "doc_id long, text string, lang string, word string, kept double")
+    got = quality.measure(given, RANKS, PIECES).collect()
+    assert [(x.n_words, x.base_failed, x.kept) for x in sorted(got, key=lambda x: (x.doc_id or 0, x.n_words))] == [(0, True, False)] * 3 + [(90, True, False)] * 2 + [(100_000, True, False)]
+    assert quality.keep(given, RANKS, PIECES).columns == given.columns
+    quantiles = {x.band: x for x in quality.band_quantiles(quality.measure(given, RANKS, PIECES)).collect()}
+    assert quantiles["LATIN"].n == 3 and quantiles["LATIN"].tokens_per_word[0] >= 1
 
 
 def test_packing(docs, empty, texts, tokenizer):

@@ -5,8 +5,9 @@ classes knows, at each character, which kind of pre-token it stands in. Its
 run is parallel: the transition functions of fixed-width blocks are composed
 (composition is associative), an exclusive scan over the blocks' functions
 gives each block's entry state, and all blocks then replay side by side.
-Boundaries follow from neighbouring states alone. The slices between them are
-looked up in a cache, whose misses are merged pair by pair.
+Boundaries follow from neighbouring states alone. The distinct slices between
+them are looked up in a cache, whose misses are merged pair by pair. Each id's
+first byte is kept: decoding cuts texts and ranges of bytes there.
 
 Defined results: a null text counts as empty; an empty text has no ids; texts
 of any length are handled whole; rows repeat in the output as they do in the
@@ -21,16 +22,14 @@ import base64
 import hashlib
 import json
 import re
-import sys
-import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import CHUNK_CHARS, chunks, id_text, table, text_batches
+from weftline.llm.common import chunks, id_text, table, text_batches
 
 # Classes of code points.
 LETTER, NUMBER, BLANK, WHITE, OTHER, QUOTE, C_STMD, C_R, C_V, C_L, C_E, RESET = range(12)
@@ -39,17 +38,27 @@ LETTER, NUMBER, BLANK, WHITE, OTHER, QUOTE, C_STMD, C_R, C_V, C_L, C_E, RESET =
 STATES = CLASSES = 12
 #: Columns of a block; rows are the blocks of one chunk.
 BLOCK = 256
-#: Code points with the White_Space property (fixed values).
-WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Entries in each of the two generations of a worker's cache.
-CACHE_ENTRIES = 250_000
+#: Entries of a worker's cache, and the longest piece that stays in it: some 10 MB.
+CACHE_ENTRIES, CACHED_BYTES = 150_000, 48
+#: Text that is encoded at once, in characters and rows.
+ENCODE_CHARS, ENCODE_ROWS = 2_000_000, 1024
+#: Pieces of more bytes are merged one by one, by a heap.
+LONG = 400
 
 
 @lru_cache(1)
 def class_table() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-    out[list(WHITE_SPACE)] = WHITE
+    """The class of each code point, read off the library whose ids are to be matched, so that both know the same version of Unicode.
+
+    A pattern of one property makes its encoder drop every character without it.
+    """
+    import tiktoken
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    out = np.full(0x110000, OTHER, np.uint8)
+    for pattern, c in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", WHITE)):
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        out[np.frombuffer(bytes(probe.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = c
     out[32], out[ord("'")] = BLANK, QUOTE
     for letters, c in (("stmd", C_STMD), ("r", C_R), ("v", C_V), ("l", C_L), ("e", C_E)):
         out[[ord(x) for x in letters]] = c
@@ -138,79 +147,127 @@ def boundaries(classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All pre-tokens as UTF-8 slices, the count of those before each text (one more at the end), and their first bytes within their text."""
+def cut_pieces(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All texts as UTF-8 with a line feed after each; the first bytes of all pre-tokens and of the line feeds between texts; which of them are such line feeds."""
     joined = "\n".join(texts) + "\n"
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))) - 1
     try:  # one byte a character
         narrow = joined.encode("latin-1")
-        points = np.frombuffer(narrow, np.uint8)
         classes = np.frombuffer(bytearray(narrow.translate(class_table()[:256].tobytes())), np.uint8)
     except UnicodeEncodeError:
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        classes = class_table().take(points)
+        classes = class_table().take(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
     classes[ends] = RESET
-    first = np.flatnonzero(boundaries(classes))
+    first = boundaries(classes)
+    first[ends] = True
+    at = np.flatnonzero(first)
+    breaks = np.searchsorted(at, ends)
     data = joined.encode("utf-8", "surrogatepass")
-    text_start = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    count = np.searchsorted(first, np.append(text_start, len(points)))
-    if len(data) == len(points):
-        at, text_at, end_at = first, text_start, ends
-    else:
-        width = np.zeros(len(points) + 1, np.int64)
-        extra = (points >= 0x80).view(np.uint8)
-        if points.dtype != np.uint8:
-            extra = extra + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
-        np.cumsum(extra, out=width[1:])
-        width += np.arange(len(width))
-        at, text_at, end_at = width[first], width[text_start], width[ends]
-    stop = np.append(at[1:], 0)
-    last = count[1:][count[1:] > count[:-1]] - 1  # each text's last pre-token ends with the text
-    stop[last] = end_at[count[1:] > count[:-1]]
-    return [data[a:b] for a, b in zip(at.tolist(), stop.tolist(), strict=True)], count, at - np.repeat(text_at, np.diff(count))
+    if len(data) != len(classes):
+        at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[at]
+    return data, at, breaks
+
+
+def pieces_of(texts: list[str]) -> list[list[tuple[int, bytes]]]:
+    """Each text's pre-tokens with their first bytes in it."""
+    if not texts:
+        return []
+    data, at, breaks = cut_pieces(texts)
+    stop, out, i = [*at.tolist()[1:], len(data)], [], 0
+    for k in breaks.tolist():
+        out.append([(int(at[j] - at[i]), data[at[j] : stop[j]]) for j in range(i, k)])
+        i = k + 1
+    return out
+
+
+def distinct_slices(data: bytes, at: np.ndarray, known: pa.BinaryArray | None = None) -> tuple[np.ndarray, pa.BinaryArray]:
+    """Which of the distinct byte strings each slice of ``data`` is, and those; slices start at ``at`` and end where the next starts.
+
+    The distinct strings of ``known`` come first, in their order. Arrow hashes the slices where they lie.
+    """
+    offsets = np.append(at, len(data)).astype(np.int32)
+    slices = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    if known is None or not len(known):
+        found = slices.dictionary_encode()
+        return found.indices.to_numpy(), found.dictionary
+    found = pa.concat_arrays([known, slices]).dictionary_encode()
+    return found.indices.to_numpy()[len(known) :], found.dictionary
+
+
+def flat_of(strings: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array, and where each string starts (one more at the end)."""
+    if not len(strings):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = strings.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw, bounds - bounds[0]
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges [start, start + size) of ``flat`` one after another, and what stands before each (one more at the end)."""
+    before = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=before[1:])
+    return flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])], before
 
 
 class PieceCache:
-    """Pre-token -> its ids as little-endian 16-bit words, in two generations so that memory is bounded."""
+    """Pre-tokens met before and their ids. Beyond ``entries``, those that the last chunk used stay."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], entries: int = CACHE_ENTRIES, added: dict[str, int] | None = None):
-        self.encode, self.entries, self.new, self.old = encode, entries, {}, {}
-        self.added = {k: np.array([v], np.uint16) for k, v in (added or {}).items()}
+    def __init__(self, ranks: Ranks, entries: int = CACHE_ENTRIES):
+        self.ranks, self.entries = ranks, entries
+        self.added = {k: np.array([v], np.uint16) for k, v in ranks.added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-
-    def __call__(self, pieces: list[bytes]) -> list[bytes]:
-        got = list(map(self.new.get, pieces))
-        where = [i for i, x in enumerate(got) if x is None]
-        if where:
-            absent = set(map(pieces.__getitem__, where))
-            old = self.old
-            found = {x: old[x] for x in absent if x in old} if old else {}
-            todo = [x for x in absent if x not in found]
-            found.update(zip(todo, self.encode(todo), strict=True))
-            if len(self.new) + len(found) > self.entries:
-                self.old, self.new = self.new, {}
-            self.new.update(found)
-            for i in where:
-                got[i] = found[pieces[i]]
-        return got
+        self.known, self.flat, self.before = pa.array([], pa.binary()), np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def coded(self, data: bytes, at: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all slices, none for ``breaks``, and how many stand before each slice (one more at the end)."""
+        which, every = distinct_slices(data, at, self.known)
+        k = len(self.known)
+        if len(every) > k:
+            ids, size = self.ranks.merge_all(*flat_of(every.slice(k)))
+            self.known, self.flat = every, np.concatenate([self.flat, ids])
+            self.before = np.concatenate([self.before, self.before[-1] + np.cumsum(size)])
+        start, size = self.before[:-1], np.diff(self.before)
+        count = size[which]
+        count[breaks] = 0
+        out = gathered(self.flat, start[which], count)
+        if len(every) > self.entries or self.known.nbytes > 64 * self.entries:
+            _, bounds = flat_of(self.known)
+            used = np.flatnonzero((np.bincount(which, minlength=len(every)) > 0) & (np.diff(bounds) <= CACHED_BYTES))[: self.entries // 2]
+            self.known = self.known.take(pa.array(used))
+            self.flat, self.before = gathered(self.flat, start[used], size[used])
+        return out
 
 
 NONE = np.int32(1 << 30)
 
 
 class Ranks:
-    """A rank file: token bytes -> id (also the merge order), and the merging of pieces by it. No merge makes an added token."""
+    """Token bytes -> id (also the merge order), and the merging of pieces by it. No merge makes an added token.
 
-    def __init__(self, ids: dict[bytes, int], added: dict[str, int] | None = None):
+    ``whole_first``: a piece that is a token stands for itself, whatever its bytes merge into.
+    """
+
+    def __init__(self, ids: dict[bytes, int], added: dict[str, int] | None = None, whole_first: bool = False):
         self.ids, self.added = ids, added or {}
-        self.tokens = [b""] * (max([*ids.values(), *self.added.values()]) + 1)
+        tokens = [b""] * (max([*ids.values(), *self.added.values()]) + 1)
+        if len(tokens) > 1 << 16:
+            raise ValueError("ids have 16 bits here")
         for k, v in [*ids.items(), *((k.encode(), v) for k, v in self.added.items())]:
-            self.tokens[v] = k
-        self.decimal = [str(i) for i in range(len(self.tokens))]
-        self.packed = {k: v.to_bytes(2, "little") for k, v in ids.items()}
+            tokens[v] = k
+        self.tokens = pa.array(tokens, pa.binary())
+        self.widths = np.array(list(map(len, tokens)), np.int64)
+        self.decimal = pa.array([b"%d " % i for i in range(len(tokens))], pa.binary())
         self.byte_id = np.array([ids[bytes([i])] for i in range(256)], np.int32)
         pairs = {(ids[a], ids[b]): v for k, v in ids.items() for i in range(1, len(k)) if (a := k[:i]) in ids and (b := k[i:]) in ids}
         self._hash({a << 16 | b: v for (a, b), v in pairs.items()})
+        self.odd: dict[bytes, int] = {}
+        if whole_first:  # tokens that their own bytes do not merge into
+            numbers = np.array(list(ids.values()))
+            got, count = self.merge_all(*flat_of(pa.array(list(ids), pa.binary())))
+            whole = np.zeros(len(count), bool)
+            whole[count == 1] = got[(np.cumsum(count) - 1)[count == 1]] == numbers[count == 1]
+            self.odd = {k: v for (k, v), fine in zip(ids.items(), whole.tolist(), strict=True) if not fine}
 
     def _hash(self, pairs: dict[int, int]) -> None:
         """An open-addressed table of id pairs that numpy can probe."""
@@ -242,21 +299,21 @@ class Ranks:
             todo = todo[(self.keys[at[todo]] != keys[todo]) & (out[todo] != NONE)]
         return out
 
-    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
-        """Merges in every piece, again and again, the leftmost adjacent pair of lowest rank; all pieces advance together."""
-        out = list(map(self.packed.get, pieces))
-        todo = [i for i, x in enumerate(out) if x is None]
-        for i in [i for i in todo if len(pieces[i]) > 400]:
-            out[i] = self.merge_long(pieces[i])
-        todo = [i for i in todo if out[i] is None]
-        if not todo:
-            return out
-        lens = np.fromiter((len(pieces[i]) for i in todo), np.int64, len(todo))
-        ids = self.byte_id[np.frombuffer(b"".join(map(pieces.__getitem__, todo)), np.uint8)]
-        owner = np.repeat(np.arange(len(todo)), lens)
+    def merge_all(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges in every piece, again and again, the leftmost adjacent pair of lowest rank; all pieces advance together.
+
+        ``raw``: the pieces' bytes, one after another, cut at ``bounds``. Returns all ids, and how many each piece has.
+        """
+        lens = np.diff(bounds)
+        owner = np.repeat(np.arange(len(lens)), lens)
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        for i in np.flatnonzero(lens > LONG).tolist():
+            own = self.merge_long(raw[bounds[i] : bounds[i + 1]].tobytes())
+            done.append((np.full(len(own), i), own))
+        short = lens[owner] <= LONG
+        ids, owner = self.byte_id[raw[short]], owner[short]
         rank = np.full(len(ids), NONE, np.int32)
         rank[:-1] = np.where(owner[1:] == owner[:-1], self.pair_ids(ids[:-1], ids[1:]), NONE)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(ids):
             first = np.flatnonzero(np.diff(owner, prepend=-1))
             size = np.diff(first, append=len(ids))
@@ -282,13 +339,17 @@ class Ranks:
             rank[-1] = NONE
         owner, ids = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(owner, kind="stable")
-        data = ids[order].astype(np.uint16).tobytes()
-        stop = np.cumsum(np.bincount(owner, minlength=len(todo)) * 2).tolist()
-        for i, a, b in zip(todo, [0, *stop], stop, strict=False):
-            out[i] = data[a:b]
-        return out
-
-    def merge_long(self, piece: bytes) -> bytes:
+        ids, count = ids[order].astype(np.uint16), np.bincount(owner, minlength=len(lens))
+        if self.odd:
+            data, text = raw.tobytes(), bounds.tolist()
+            for i in np.flatnonzero(lens <= max(map(len, self.odd))).tolist():
+                if (whole := self.odd.get(data[text[i] : text[i + 1]])) is not None:
+                    at = int(count[:i].sum())
+                    ids = np.concatenate([ids[:at], np.array([whole], np.uint16), ids[at + count[i] :]])
+                    count[i] = 1
+        return ids, count
+
+    def merge_long(self, piece: bytes) -> np.ndarray:
         """The same for one long piece: a heap over a linked list, n log n."""
         import heapq
 
@@ -309,26 +370,41 @@ class Ranks:
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n and (r := get(parts[a] + parts[b])) is not None:
                     heapq.heappush(heap, (r, a, parts[a] + parts[b]))
-        return b"".join([self.packed[x] for x in parts if x is not None])
+        return np.array([get(x) for x in parts if x is not None], np.int32)
 
 
 def encode_texts(texts: list[str], cache: PieceCache) -> Iterator[np.ndarray]:
     """The ids of each text as uint16."""
-    if not any(k in x for k in cache.added for x in texts):
-        yield from _encode_plain(texts, cache)
-        return
-    parts = [cache.cut.split(x) for x in texts]  # every second part is an added token
-    got = _encode_plain([p for x in parts for p in x[::2]], cache)
-    for x in parts:
-        yield np.concatenate([cache.added[p] if i % 2 else next(got) for i, p in enumerate(x)])
-
-
-def _encode_plain(texts: list[str], cache: PieceCache) -> Iterator[np.ndarray]:
-    for i, j in chunks(texts, CHUNK_CHARS):
-        pieces, count, _ = pieces_of(texts[i:j])
-        got, at = cache(pieces), count.tolist()
-        for a, b in zip(at, at[1:], strict=False):
-            yield np.frombuffer(b"".join(got[a:b]), np.uint16)
+    for ids, bounds in encode_chunks(texts, cache):
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield ids[a:b]
+
+
+def encode_chunks(texts: list[str], cache: PieceCache) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """The ids of some texts at a time, one after another, and the bounds of each text's ids."""
+    for i, j in chunks(texts, ENCODE_CHARS):
+        some = texts[i:j]
+        cuts = [len(cache.cut.findall(x)) for x in some] if any(k in x for k in cache.added for x in some) else []
+        if not any(cuts):
+            data, at, breaks = cut_pieces(some)
+            ids, before = cache.coded(data, at, breaks)
+            yield ids, [0, *before[breaks].tolist()]
+            continue
+        split = [cache.cut.split(x) for x in some]  # every second part is an added token
+        data, at, breaks = cut_pieces([p for x in split for p in x[::2]])
+        ids, before = cache.coded(data, at, breaks)
+        bounds, out, k, last, total = [0], [], 0, 0, 0
+        stops = before[breaks].tolist()
+        for parts in split:
+            for n, p in enumerate(parts):
+                if n % 2:
+                    out.append(cache.added[p])
+                else:
+                    out.append(ids[last : stops[k]])
+                    last, k = stops[k], k + 1
+                total += len(out[-1])
+            bounds.append(total)
+        yield np.concatenate(out), bounds
 
 
 @lru_cache(2)
@@ -348,13 +424,12 @@ def ranks(path: str) -> Ranks:
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         return Ranks({bytes(byte[c] for c in k): v for k, v in vocab.items() if all(c in byte for c in k) and k not in added}, added)
     with open(path, "rb") as f:
-        return Ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        return Ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, whole_first=True)
 
 
 @lru_cache(2)
 def rank_cache(path: str) -> PieceCache:
-    r = ranks(path)
-    return PieceCache(r.merge_all, added=r.added)
+    return PieceCache(ranks(path))
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,44 +437,74 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, cache = ranks(vocabulary), rank_cache(vocabulary)
-        width = np.array([len(x) for x in r.tokens], np.int32)
-        for keys, texts in text_batches(batches):
-            ids = list(encode_texts([x or "" for x in texts], cache))
-            starts = [np.cumsum(w) - w for w in map(width.take, ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([x.astype(np.int32) for x in starts], pa.list_(pa.int32()))], ["doc_id", "ids", "starts"])
+        for keys, texts in text_batches(batches, ENCODE_CHARS, ENCODE_ROWS):
+            for i, ids, bounds, places, ends in _placed(texts, r, cache):
+                cut = pa.array(bounds, pa.int32())
+                own = np.repeat(np.append(0, ends[:-1]), np.diff(bounds))
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (ids, places - own)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + len(bounds) - 1], pa.int64()), *lists], ["doc_id", "ids", "starts"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, starts array<int>")
 
 
-def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, content binary: the bytes that ``ids`` stand for (null ids: empty)."""
+def _placed(texts: list[str | None], r: Ranks, cache: PieceCache) -> Iterator[tuple[int, np.ndarray, list[int], np.ndarray, np.ndarray]]:
+    """Some texts at a time: the first one's number, ids, bounds of each text's ids, each id's first byte in all these texts, and where each text ends."""
+    i = 0
+    for ids, bounds in encode_chunks([x or "" for x in texts], cache):
+        stops = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(r.widths[ids], out=stops[1:])
+        yield i, ids, bounds, stops[:-1], stops[bounds[1:]]
+        i += len(bounds) - 1
+
+
+def decode(encoded: DataFrame, vocabulary: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """doc_id, content binary: bytes [start, stop) of what ``ids`` stand for (null ids: empty).
+
+    The retained ``starts`` lead to the ids that cover the range; no other id is read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ranks(vocabulary)
         for b in batches:
-            ids = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join([r.tokens[i] for i in x or ()]) for x in ids], pa.binary())], ["doc_id", "content"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
+            out = []
+            for i in range(b.num_rows):
+                if not b.column(1)[i].is_valid:
+                    out.append(b"")
+                    continue
+                ids, starts = (np.asarray(c[i].values) for c in (b.column(1), b.column(2)))
+                first = max(int(np.searchsorted(starts, start, "right")) - 1, 0)
+                last = len(ids) if stop is None else int(np.searchsorted(starts, stop, "left"))
+                raw, _ = flat_of(r.tokens.take(pa.array(ids[first:last])))
+                at = int(starts[first]) if len(starts) else 0
+                out.append(raw[max(start - at, 0) : None if stop is None else max(stop - at, 0)].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+    return encoded.select("doc_id", "ids", "starts").mapInArrow(run, "doc_id long, content binary")
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 in one pass, so that ids never leave the worker."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 in one pass, so that ids never leave the worker; decoded texts are cut at the retained offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, cache = ranks(vocabulary), rank_cache(vocabulary)
-        for keys, texts in text_batches(batches):
+        for keys, texts in text_batches(batches, ENCODE_CHARS, ENCODE_ROWS):
             n, a, b = [], [], []
-            for ids in encode_texts([x or "" for x in texts], cache):
-                listed = ids.tolist()
-                n.append(len(listed))
-                a.append(hashlib.sha256(" ".join(map(r.decimal.__getitem__, listed)).encode()).hexdigest())
-                b.append(hashlib.sha256(b"".join(map(r.tokens.__getitem__, listed))).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for _, ids, bounds, _, ends in _placed(texts, r, cache):
+                n += np.diff(bounds).tolist()
+                listed, at = flat_of(r.decimal.take(pa.array(ids)))
+                a += [_sha256(listed[x : max(x, y - 1)]) for x, y in zip(at[bounds[:-1]].tolist(), at[bounds[1:]].tolist(), strict=True)]
+                raw, _ = flat_of(r.tokens.take(pa.array(ids)))
+                ends = ends.tolist()
+                b += [_sha256(raw[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _sha256(data: np.ndarray) -> str:
+    return hashlib.sha256(np.ascontiguousarray(data)).hexdigest()
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -52,11 +52,11 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str | None]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS, rows: int = 512) -> Iterator[tuple[list, list[str | None]]]:
     """(ids, texts) in pieces of bounded size."""
     for b in batches:
-        for at in range(0, b.num_rows, 512):
-            ids, texts = b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist()
+        for at in range(0, b.num_rows, rows):
+            ids, texts = b.column(0).slice(at, rows).to_pylist(), b.column(1).slice(at, rows).to_pylist()
             for i, j in chunks([x or "" for x in texts], limit):
                 yield ids[i:j], texts[i:j]
 
