@@ -2,18 +2,18 @@
 
 Documents are ordered by id and encoded; shards of about two million ids are
 compressed each by a grammar of its own: frequent neighbouring pairs become
-nonterminals, round by round, until no pair occurs LEAST_USES times or symbols
-run out, never across the end of a document. A round takes the pairs that occur
-at least half as often as the most frequent one. A shard
-holds its documents' places, the rules with their expansion lengths, and the
-remaining symbols as 16-bit words, so any range of ids can be decoded without
-the rest. Shards are rows of a Parquet dataset, which every file system that
-Spark knows can hold.
-
-Shard layout, little endian: magic ``RPG1``; counts of documents, rules and
+nonterminals, round by round, until no pair occurs LEAST_USES times, never
+across the end of a document. A round takes the pairs that occur at least a
+third as often as the most frequent one. A shard holds its documents' places,
+the rules with their expansion lengths, and the remaining symbols, so any range
+of ids can be decoded without the rest. Shards are rows of a Parquet dataset,
+which every file system that Spark knows can hold.
+
+Shard layout, little endian: magic ``RPG2``; counts of documents, rules and
 symbols (3 x u64) and of ids (u64); vocabulary size (u32), one u32 of zero; ids
 of the documents (i64); their first symbols (u64); their id counts (u64); rules'
-left and right symbols (u16 each); rules' expansion lengths (u32); symbols (u16).
+left symbols, right symbols (32 bits: all low halves, then all high ones, u16
+each); rules' expansion lengths (u32); symbols (32 bits, in halves like those).
 
 Defined results: a null or empty text is its end id alone; rows with equal ids
 keep all their ids, in an order that Spark chooses; a null id sorts first; an
@@ -35,68 +35,99 @@ from pyspark.sql import functions as F
 from weftline.llm import bpe
 from weftline.llm.common import id_text, partitions, shared_dir, table, text_batches
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 SHARD_IDS = 2_000_000
 VOCABULARY = 50_257
 #: A pair of fewer occurrences is not replaced. Of overlapping ones at least half stand, and a rule takes as much room as four of them save.
 LEAST_USES = 8
 NULL_ID = -(1 << 63)
+#: Pairs are counted by the high bits of a product; pairs that share them only make a count too large, which is then taken exactly.
+HASH, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 21
+NO_SLOT = 1 << SLOT_BITS
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, first symbol of each document, rules as (left, right), expansion lengths)."""
-    seq, first = ids.astype(np.uint32), starts.astype(np.int64)
+    """(symbols, first symbol of each document, rules as (left, right), expansion lengths). Documents hold an id at least.
+
+    Pairs are counted once; from then on a replacement takes from the counts the pairs it ends, and adds those it makes.
+    """
+    seq, n = ids.astype(np.uint32), len(ids)
+    bound = np.zeros(n, bool)  # a document's last symbol
+    bound[starts[1:].astype(np.int64) - 1] = True
+    bound[-1:] = True
+
+    def pairs_at(at: np.ndarray) -> np.ndarray:
+        return (seq.take(at).astype(np.uint64) << np.uint64(32)) | seq.take(at + 1)
+
+    def slots_at(at: np.ndarray) -> np.ndarray:
+        own = (pairs_at(np.minimum(at, max(len(seq) - 2, 0))) * HASH >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        own[bound[at]] = NO_SLOT
+        return own
+
+    slot = slots_at(np.arange(n)) if n > 1 else np.full(n, NO_SLOT, np.int32)
+    counts = np.bincount(slot, minlength=NO_SLOT + 1)
     rules, lengths = [np.zeros((0, 2), np.uint32)], [np.ones(vocabulary, np.uint32)]
-    made, room = 0, 65_536 - vocabulary
-    most = room  # rules of one round at most
-    while len(seq) > 1 and made < room:
-        bounded = np.zeros(len(seq) + 1, bool)
-        bounded[first] = True
-        pair = (seq[:-1] << np.uint32(16)) | seq[1:]  # symbols have 16 bits
-        slot = (pair * np.uint32(2654435769)) >> np.uint32(11)
-        slot[bounded[1:-1]] = 1 << 21  # no pair
-        crowded = np.bincount(slot, minlength=(1 << 21) + 1)
-        crowded[1 << 21] = 0
-        floor = max(LEAST_USES, int(crowded.max()) // 2)
+    made, most = 0, n
+    while True:
+        counts[NO_SLOT] = 0
+        floor = int(counts.max()) // 3
+        if 3 * floor + 2 < LEAST_USES:
+            break
+        floor = max(LEAST_USES, floor)
         while True:
-            at = np.flatnonzero((crowded >= floor)[slot])
-            found, count = np.unique(pair[at], return_counts=True)
-            if floor == LEAST_USES or count.max() >= floor:
+            at = np.flatnonzero((counts >= floor).take(slot))
+            found = pa.array(pairs_at(at)).dictionary_encode()
+            which, new = found.indices.to_numpy(), found.dictionary.to_numpy()
+            count = np.bincount(which, minlength=len(new))
+            if floor == LEAST_USES or count.size and count.max() >= floor:
                 break
             floor = max(LEAST_USES, floor // 2)  # several pairs made up the fullest slots
-        best = np.flatnonzero(count >= floor)
-        if not len(best):
+        good = count >= floor
+        if not good.any():
             break
-        best = best[np.argsort(-count[best], kind="stable")][: min(most, room - made)]
-        chosen = np.sort(found[best])
-        rule = np.full((1 << 21) + 1, -1, np.int32)  # one pair a slot; another of the same slot waits for the next round
-        rule[(chosen * np.uint32(2654435769)) >> np.uint32(11)] = np.arange(len(chosen), dtype=np.int32)
-        where = rule[slot[at]]
-        hit = (where >= 0) & (chosen[where] == pair[at])
-        at, where = at[hit], where[hit]
+        if good.sum() > most:
+            good &= np.isin(np.arange(len(new)), np.argsort(-count, kind="stable")[:most])
+        hit = good[which]
+        at, which = at[hit], which[hit]
         # Of neighbouring occurrences every second one stands, from the left.
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        nth = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
-        at, where = at[nth % 2 == 0], where[nth % 2 == 0]
-        uses = np.bincount(where, minlength=len(chosen))
-        good = uses >= LEAST_USES // 2
+        odd = (np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 1
+        at, which = at[~odd], which[~odd]
+        good = np.bincount(which, minlength=len(new)) >= LEAST_USES // 2
         if not good.any():  # they stand in each other's way; a single pair never does
-            most = max(1, len(best) // 16)
+            most = max(1, min(most, len(new)) // 16)
             continue
-        most = room
+        most = n
         name = np.cumsum(good) - 1
-        at, where = at[good[where]], where[good[where]]
-        new = chosen[good]
-        left, right = new >> np.uint32(16), new & np.uint32(0xFFFF)
+        at, which = at[good[which]], name[which[good[which]]]
+        new = new[good]
+        left, right = (new >> np.uint64(32)).astype(np.uint32), (new & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         known = np.concatenate(lengths)
-        lengths.append(known[left] + known[right])
+        lengths = [known, known[left] + known[right]]
         rules.append(np.stack([left, right], 1))
-        seq[at] = (vocabulary + made + name[where]).astype(np.uint32)
+        free = np.diff(at, prepend=-3) > 2  # the pair before is not one that the last replacement ends too
+        free[0] &= at[0] > 0
+        np.subtract.at(counts, slot[np.concatenate([at, at + 1, at[free] - 1])].astype(np.int64), 1)
+        seq[at] = (vocabulary + made + which).astype(np.uint32)
+        bound[at] = bound[at + 1]
+        made += len(new)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        first = np.append(0, np.cumsum(keep))[first]
-        seq, made = seq[keep], made + len(new)
-    return seq.astype(np.uint16), first, np.concatenate(rules).astype(np.uint16), np.concatenate(lengths[1:]) if made else np.zeros(0, np.uint32)
+        seq, bound, slot = seq[keep], bound[keep], slot[keep]
+        at -= np.arange(len(at))
+        fresh = np.concatenate([at, at[free] - 1])
+        if len(seq) > 1:
+            slot[fresh] = slots_at(fresh)
+        else:
+            slot[:] = NO_SLOT
+        np.add.at(counts, slot[fresh].astype(np.int64), 1)
+    first = np.append(0, np.flatnonzero(bound)[:-1] + 1)
+    return seq, first, np.concatenate(rules), np.concatenate(lengths)[vocabulary:]
+
+
+def _planes(symbols: np.ndarray) -> bytes:
+    """Low and high halves apart: the high ones are nearly all alike, which a file's own compression takes away."""
+    return (symbols & np.uint32(0xFFFF)).astype("<u2").tobytes() + (symbols >> np.uint32(16)).astype("<u2").tobytes()
 
 
 def pack_shard(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
@@ -105,7 +136,7 @@ def pack_shard(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
     seq, first, rules, lengths = compress(np.concatenate(docs), starts)
     keys = np.array([NULL_ID if x is None else x for x in doc_ids], "<i8")
     head = MAGIC + struct.pack("<4Q2I", len(docs), len(rules), len(seq), int(sizes.sum()), VOCABULARY, 0)
-    return b"".join([head, keys.tobytes(), first.astype("<u8").tobytes(), sizes.astype("<u8").tobytes(), rules[:, 0].astype("<u2").tobytes(), rules[:, 1].astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u2").tobytes()])
+    return b"".join([head, keys.tobytes(), first.astype("<u8").tobytes(), sizes.astype("<u8").tobytes(), _planes(rules[:, 0]), _planes(rules[:, 1]), lengths.astype("<u4").tobytes(), _planes(seq)])
 
 
 class Shard:
@@ -124,9 +155,14 @@ class Shard:
             return out
 
         self.doc_ids, self.first, self.sizes = take("<i8", n), take("<u8", n).astype(np.int64), take("<u8", n).astype(np.int64)
-        self.left, self.right = take("<u2", rules), take("<u2", rules)
+
+        def symbols_of(count: int) -> np.ndarray:
+            low = take("<u2", count).astype(np.uint32)
+            return low | take("<u2", count).astype(np.uint32) << np.uint32(16)
+
+        self.left, self.right = symbols_of(rules), symbols_of(rules)
         self.lengths = np.concatenate([np.ones(self.vocabulary, np.int64), take("<u4", rules).astype(np.int64)])
-        self.symbols = take("<u2", symbols)
+        self.symbols = symbols_of(symbols)
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +210,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([pack_shard(keys, held)], pa.binary())], ["task", "shard", "n_ids", "data"])
 
-        for some, texts in text_batches(batches):
+        for some, texts in text_batches(batches, bpe.ENCODE_CHARS, bpe.ENCODE_ROWS):
             for key, ids in zip(some, bpe.encode_texts([x or "" for x in texts], cache), strict=True):
                 keys.append(key)
                 held.append(np.append(ids, np.uint16(end_id)))

@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
         from pyspark import TaskContext
 
         cache, cols = bpe.rank_cache(vocabulary), [[] for _ in range(5)]
-        for keys, texts in text_batches(batches):
+        for keys, texts in text_batches(batches, bpe.ENCODE_CHARS, bpe.ENCODE_ROWS):
             for key, ids in zip(keys, bpe.encode_texts([x or "" for x in texts], cache), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")
                 first = (len(ids) - 1) % capacity + 1
