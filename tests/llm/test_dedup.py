@@ -105,6 +105,29 @@ def test_suffix_dedup_of_edited_copies(spark):
         assert got[k] == np.frombuffer(texts[k].encode(), np.uint8)[~m].tobytes()
 
 
+def test_minimisers_do_not_depend_on_the_chunk():
+    r = random.Random(9)
+    own = "".join(r.choice("abcd ") for _ in range(900))
+    other = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 4000))) for _ in range(40)]
+    alone = suffix_dups.anchors([own], 60, 20)
+    among = suffix_dups.anchors([*other, own, *other], 60, 20)
+    here = among[1] == 40
+    assert alone[2].tolist() == among[2][here].tolist() and alone[0].tolist() == among[0][here].tolist()
+
+
+def test_cores_are_what_matching_strings_share():
+    r = random.Random(3)
+    for _ in range(300):
+        window = r.choice([40, 60])
+        x, y = ((bytes(r.choices(b"ab", k=r.randint(0, window))), bytes(r.choices(b"ab", k=r.randint(20, window)))) for _ in range(2))
+        y = (x[0][: r.randint(0, len(x[0]))] + y[0], x[1][: r.randint(0, len(x[1]))] + y[1])
+        a, b = (dict(suffix_dups.cores(*z, window)) for z in (x, y))
+        for o in range(max(0, window - min(len(x[1]), len(y[1]))), min(len(x[0]), len(y[0])) + 1):
+            first = o // suffix_dups.SPREAD * suffix_dups.SPREAD
+            if x[0][:o] == y[0][:o] and x[1][: window - o] == y[1][: window - o]:
+                assert a[first] == b[first]
+
+
 def test_suffix_dedup_edges(spark, docs, empty):
     assert suffix_dups.dedup(empty).count() == 0
     assert suffix_dups.clean(docs).columns == docs.columns

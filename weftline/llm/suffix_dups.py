@@ -46,10 +46,12 @@ from weftline.llm.near_dup import _byte_values, powers
 WINDOW, GRAM = 200, 32
 #: Records of a run that one task sorts at once, and of a front-coded block.
 RUN, BLOCK = 60_000, 1024
-#: Grams with open offsets whose checksums every task may hold.
-FEW = 200_000
+#: Offsets that are settled together, and bits (as a power of two) that tell which grams and cores have open offsets.
+SPREAD, BITS = 16, 25
 #: Earlier records in sorted order that a record is held against.
 NEIGHBOURS = 8
+#: Bits of a place among the texts that are handled at once; Spark's own limit of a text is lower.
+PLACE_BITS = 31
 #: Bytes that UTF-8 never has: the end of the first context, and of the key.
 MID, END = b"\xff", b"\xfe"
 TIE, TIE_SIZE = ">QQI", 20
@@ -70,11 +72,23 @@ def common(x: bytes, y: bytes) -> int:
     return n - (d.bit_length() + 7) // 8
 
 
+def _neighbours_share(records: list[bytes]) -> list[int]:
+    """Of each record, the length of its common prefix with the one before."""
+    table = np.array(records, "S")
+    table = table.view(np.uint8).reshape(len(records), -1)
+    apart = table[1:] != table[:-1]
+    size = np.fromiter(map(len, records), np.int64, len(records))
+    least = np.minimum(size[1:], size[:-1])
+    first = apart.argmax(1)
+    first[~apart[np.arange(len(first)), first]] = table.shape[1]  # the padding hides what follows
+    return [0, *np.minimum(first, least).tolist()]
+
+
 def front_code(records: list[bytes]) -> bytes:
     """A sorted run: shared lengths, rest lengths, rests; compressed."""
     import zstandard
 
-    shared = [0, *map(common, records, records[1:])]
+    shared = _neighbours_share(records)
     rests = [r[k:] for r, k in zip(records, shared, strict=True)]
     head = np.array([shared, list(map(len, rests))], np.uint16).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(records)) + head + b"".join(rests))
@@ -209,8 +223,8 @@ def drawn(keys: DataFrame, parts: int) -> list[bytes]:
 def anchors(texts: list[str], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
     """Minimisers of all texts: gram hashes, texts they belong to, places in those; all bytes, and where each text starts.
 
-    A gram is ranked by the high bits of its hash, then by place, so the least rank of a window holds the leftmost
-    least gram's place itself.
+    A gram is ranked by the high bits of its hash, as many in every chunk, then by place, so the least rank of a
+    window holds the leftmost least gram's place itself, and equal windows hold it at the same offset.
     """
     data, starts = as_bytes(texts)
     n, w = len(data), window - gram + 1
@@ -222,7 +236,9 @@ def anchors(texts: list[str], window: int, gram: int) -> tuple[np.ndarray, np.nd
     np.cumsum(_byte_values()[data] * up[:-1], out=total[1:])
     g = n - gram + 1
     h = mixed((total[gram:] - total[:g]) * down[:g])
-    bits = np.uint64(n.bit_length())
+    bits = np.uint64(PLACE_BITS)
+    if n >> PLACE_BITS:
+        raise ValueError("texts of one chunk are too long")
     # Least rank of w neighbouring grams: running minima of blocks of w, from both sides.
     x = np.full(-(-g // w) * w, np.iinfo(np.uint64).max, np.uint64)
     x[:g] = (h >> bits << bits) | np.arange(g, dtype=np.uint64)
@@ -253,11 +269,12 @@ def _tie(doc: int, version: int, pos: int) -> bytes:
 
 
 class Entry:
-    __slots__ = ("boundary", "core", "done", "first", "found", "mid", "reach", "shared", "tail", "tie")
+    __slots__ = ("back", "boundary", "core", "done", "first", "found", "mid", "reach", "shared", "tail", "tie")
 
     def __init__(self, core: bytes, tail: bytes, tie: bytes, shared: int):
         self.core, self.tail, self.tie, self.shared = core, tail, tie, shared
         self.mid = core.index(MID)
+        self.back = core[self.mid + 1 : -1]
         self.reach, self.found, self.done, self.boundary, self.first = 0, [], False, False, False
 
 
@@ -277,26 +294,37 @@ def scan(records: Iterator[tuple[bytes, int]], window: int, base: int, on_leave:
         if last is None:
             e.boundary = True
         run = shared
-        for i, p in enumerate(reversed(recent)):
-            r = min(run, e.mid, p.mid)
+        mid, back, nearest = e.mid, e.back, True
+        for p in reversed(recent):
+            r = run if run < mid else mid
+            if p.mid < r:
+                r = p.mid
             if r < base:
                 break
-            same = i == 0 and run >= end and len(p.core) == end
-            if i == 0:
-                e.reach, p.reach = max(e.reach, r), max(p.reach, r)
-            if same:
-                for x in (e, p):
-                    if not x.done:
-                        x.done = True
-                        x.found.append((e.mid, end - e.mid - 2))
-                break
-            if not (e.done and p.done):
-                k = common(e.core[e.mid + 1 : -1], p.core[p.mid + 1 : -1])
+            if nearest:
+                if e.reach < r:
+                    e.reach = r
+                if p.reach < r:
+                    p.reach = r
+                if run >= end and len(p.core) == end:
+                    for x in (e, p):
+                        if not x.done:
+                            x.done = True
+                            x.found.append((mid, end - mid - 2))
+                    break
+                nearest = False
+            if not (e.done and p.done) and r + min(len(back), len(p.back)) >= window:
+                k = common(back, p.back)
                 if r + k >= window:
                     for x in (e, p):
-                        if not x.done and not any(a >= r and b >= k for a, b in x.found):
-                            x.found.append((r, k))
-            run = min(run, p.shared)
+                        if not x.done:
+                            for a, b in x.found:
+                                if a >= r and b >= k:
+                                    break
+                            else:
+                                x.found.append((r, k))
+            if p.shared < run:
+                run = p.shared
         e.first = not (last is not None and shared >= end and len(last.core) == end)
         recent.append(e)
         if len(recent) > NEIGHBOURS:
@@ -386,7 +414,10 @@ def backward(window: int, gram: int) -> Callable[[Iterator[tuple[bytes, int]]],
             for a, b in pairs + [(b, a) for a, b in known]:
                 left.difference_update(range(window - b, a + 1))
             if left:
-                rows.append((OPEN, None, None, min(left), max(left), e.core[:gram][::-1], None))
+                around = e.core[:gram][::-1]
+                for first, core in cores(e.core[gram : e.mid], around + e.core[e.mid + 1 : -1], window):
+                    if here := left.intersection(range(first, first + SPREAD)):
+                        rows.append((OPEN, None, None, min(here), max(here), core, around))
 
         scan(records, window, gram, leave, read)
         for a in range(0, len(rows), 5000):
@@ -411,27 +442,54 @@ def whole(window: int) -> Callable[[Iterator[tuple[bytes, int]]], Iterator[pa.Re
     return reducer
 
 
+def cores(behind: bytes, ahead: bytes, window: int) -> Iterator[tuple[int, bytes]]:
+    """For offsets [first, first + SPREAD): first, and a digest of what all strings at these offsets have in common.
+
+    It is all but SPREAD - 1 bytes of any of them, so records that agree on it are nearly all that can match.
+    """
+    import xxhash
+
+    for first in range(max(0, (window - len(ahead)) // SPREAD * SPREAD), len(behind) + 1, SPREAD):
+        yield first, xxhash.xxh3_128_digest(bytes([first // SPREAD]) + behind[:first] + MID + ahead[: max(window - first - SPREAD + 1, 0)])
+
+
+def bitmap(keys: DataFrame) -> bytes:
+    """A bit for each hash of the column ``key``, compressed: 2 ** BITS of them whatever the count, so later joins only get more to sort out."""
+    places = keys.select(F.pmod(F.crc32("key"), F.lit(1 << BITS)).cast("int").alias("place"))
+    words = places.select(F.expr("place div 32").alias("word"), F.expr("shiftleft(1L, place % 32)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (BITS - 5), np.uint32)
+    out[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).astype(np.uint32)
+    return zlib.compress(out.tobytes(), 1)
+
+
 def settle(open_: DataFrame, mirrored: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
-    """Spans among the strings at open offsets of all records that share the gram."""
+    """Spans among the strings at open offsets of all records that share what these have in common."""
     groups = spool(open_.groupBy("key").agg(F.min("start").alias("low"), F.max("stop").alias("high")), "open")
-    few = groups.select(F.crc32("key").alias("c")).limit(FEW + 1).toPandas().c
-    wanted = frozenset(few.tolist()) if len(few) <= FEW else None  # else the join alone picks the records
+    packed_bits = bitmap(groups.select("key").union(open_.select("data").distinct()))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = zlib.decompress(packed_bits), (1 << BITS) - 1
+
+        def told(key: bytes) -> int:
+            at = zlib.crc32(key) & mask
+            return bits[at >> 3] >> (at & 7) & 1
+
         for b in batches:
             for blob in b.column(0).to_pylist():
                 rows = []
                 for r, _ in decoded(blob):
-                    if wanted is not None and zlib.crc32(r[:gram][::-1]) not in wanted:
+                    around = r[:gram][::-1]
+                    if not told(around):
                         continue
                     end = r.index(END)
                     mid = r.index(MID)
-                    rows.append((r[:gram][::-1], r[gram:mid], r[:gram][::-1] + r[mid + 1 : end], r[end + 1 : end + 1 + TIE_SIZE]))
+                    behind, ahead = r[gram:mid], around + r[mid + 1 : end]
+                    rows += [(core, behind, ahead, r[end + 1 : end + 1 + TIE_SIZE]) for _, core in cores(behind, ahead, window) if told(core)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["gram", "behind", "ahead", "tie"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["core", "behind", "ahead", "tie"])
 
-    records = mirrored.select("data").mapInArrow(unpack, "gram binary, behind binary, ahead binary, tie binary")
-    rows = records.join(groups, records["gram"] == groups["key"]).select("behind", "ahead", "tie", "low", "high")
+    records = mirrored.select("data").mapInArrow(unpack, "core binary, behind binary, ahead binary, tie binary")
+    rows = records.join(groups, records["core"] == groups["key"]).select("behind", "ahead", "tie", "low", "high")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -549,7 +607,7 @@ def pack_text(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
