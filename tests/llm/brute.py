@@ -56,19 +56,42 @@ def repeated_bytes(texts: list[str | None], window: int) -> list[np.ndarray]:
     return out
 
 
-def line_dedup(docs: dict[int, str | None], least: int) -> dict[int, str | None]:
-    """id -> text without later copies of runs of ``least`` lines that hold a word."""
+def line_dedup(docs: dict[int, str | None], least: int, long_line: int) -> dict[int, tuple[str | None, int, int]]:
+    """id -> (text without later copies of runs, stretches that went, the longest run), by comparing suffixes one by one.
+
+    A run reaches as far as a suffix agrees with the first of all that agree with it on its longest repeated power of two (or ``least``) of lines.
+    """
     lines = {k: (v or "").split("\n") for k, v in docs.items() if v is not None}
     full = {k: [i for i, x in enumerate(v) if x.strip(BLANK)] for k, v in lines.items()}
+    seq = {k: [lines[k][i] for i in at] for k, at in full.items()}
+    depths, d = [], 1
+    while d <= max(map(len, seq.values()), default=0):
+        depths.append(d)
+        d += min(d, least - d) if d < least else d
     first: dict[tuple, tuple] = {}
-    gone = defaultdict(set)
-    for k in sorted(lines):
-        at = full[k]
-        for j in range(len(at) - least + 1):
-            run = tuple(lines[k][i] for i in at[j : j + least])
-            if first.setdefault(run, (k, j)) != (k, j):
-                gone[k].update(at[j : j + least])
-    return {k: None if v is None else "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k]) for k, v in docs.items()}
+    for k in sorted(seq):
+        for j in range(len(seq[k])):
+            for d in depths:
+                if j + d <= len(seq[k]):
+                    first.setdefault(tuple(seq[k][j : j + d]), (k, j))
+    out = {}
+    for k, v in docs.items():
+        gone, longest = set(), 0
+        for j in range(len(seq.get(k, ()))):
+            names = [first[tuple(seq[k][j : j + d])] for d in depths if j + d <= len(seq[k])]
+            names = [x for x in names if x != (k, j)]
+            if names:
+                ok, oj = names[-1]
+                size = 0
+                while max(j, oj * (ok == k)) + size < len(seq[k]) and oj + size < len(seq[ok]) and seq[k][j + size] == seq[ok][oj + size]:
+                    size += 1
+                if size >= least or len(seq[k][j]) >= long_line:
+                    gone.update(range(j, j + size))
+                    longest = max(longest, size)
+        n_runs = sum(j - 1 not in gone for j in gone)
+        cut = {full[k][j] for j in gone}
+        out[k] = (None if v is None else "\n".join(x for i, x in enumerate(lines[k]) if i not in cut), n_runs, longest)
+    return out
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:

@@ -12,22 +12,33 @@ from tests.llm import brute
 from weftline.llm import line_runs, near_dup, suffix_dups
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_line_runs(docs, texts, least):
-    got = {r.doc_id: r for r in line_runs.dedup(docs, min_lines=least).collect()}
-    expected = brute.line_dedup(texts, least)
-    assert {k: r.text for k, r in got.items()} == expected
+@pytest.mark.parametrize(("least", "long_line"), [(1, 10**9), (2, 200), (3, 60), (5, 40)])
+def test_line_runs(docs, texts, least, long_line):
+    got = {r.doc_id: r for r in line_runs.dedup(docs, min_lines=least, long_line=long_line).collect()}
+    expected = brute.line_dedup(texts, least, long_line)
+    assert {k: (r.text, r.n_runs, r.longest_run) for k, r in got.items()} == expected
     for k, r in got.items():
         lines = lambda t: sum(bool(x.strip(brute.BLANK)) for x in (t or "").split("\n"))
-        assert (r.n_lines, r.n_removed) == (lines(texts[k]), lines(texts[k]) - lines(expected[k]))
+        assert (r.n_lines, r.n_removed) == (lines(texts[k]), lines(texts[k]) - lines(expected[k][0]))
+
+
+def test_line_runs_are_maximal(spark):
+    """Runs that meet are not taken for one; loops and runs that end inside each other."""
+    given = {1: "a\nb", 2: "b\nc", 3: "a\nb\nc", 4: "x\n" * 9, 5: "p\nq\nr\ns\nt", 6: "p\nq\nr\nz", 7: "q\nr\ns\nt\nu\np\nq\nr\nz", 8: "long " * 50, 9: "z\n" + "long " * 50 + "\ny"}
+    got = {r.doc_id: r for r in line_runs.dedup(spark.createDataFrame(list(given.items()), "doc_id long, text string")).collect()}
+    assert (got[3].longest_run, got[3].n_removed, got[3].n_runs) == (2, 3, 1)
+    assert (got[4].longest_run, got[4].n_removed, got[4].text) == (8, 8, "x\n")
+    assert got[9].text == "z\ny" and got[8].n_removed == 0
+    expected = brute.line_dedup(given, line_runs.MIN_LINES, line_runs.LONG_LINE)
+    assert {k: (r.text, r.n_runs, r.longest_run) for k, r in got.items()} == expected
 
 
 def test_line_runs_edges(spark, docs, empty, texts):
     assert line_runs.dedup(empty).count() == 0
     cleaned = line_runs.clean(docs)
     assert cleaned.columns == docs.columns
-    expected = brute.line_dedup(texts, 2)
-    assert all(r.text == expected[r.doc_id] for r in cleaned.collect())
+    expected = brute.line_dedup(texts, line_runs.MIN_LINES, line_runs.LONG_LINE)
+    assert all(r.text == expected[r.doc_id][0] for r in cleaned.collect())
     twice = line_runs.dedup(spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "a\nb"), (2, "a\nb\n\nc")], "doc_id long, text string"))
     assert sorted(((r.doc_id or 0, r.text) for r in twice.collect())) in ([(0, "a\nb"), (1, ""), (1, ""), (2, "\nc")], [(0, ""), (1, "a\nb"), (1, "a\nb"), (2, "\nc")])
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import chunks, id_text, table, text_batches
+from weftline.llm.common import chunks, id_text, table, text_batches, trim
 
 # Classes of code points.
 LETTER, NUMBER, BLANK, WHITE, OTHER, QUOTE, C_STMD, C_R, C_V, C_L, C_E, RESET = range(12)
@@ -429,7 +429,9 @@ def ranks(path: str) -> Ranks:
 
 @lru_cache(2)
 def rank_cache(path: str) -> PieceCache:
-    return PieceCache(ranks(path))
+    cache = PieceCache(ranks(path))
+    trim()  # what reading the vocabulary has left
+    return cache
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

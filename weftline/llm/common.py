@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,14 @@ def text_batches(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS, ro
             ids, texts = b.column(0).slice(at, rows).to_pylist(), b.column(1).slice(at, rows).to_pylist()
             for i, j in chunks([x or "" for x in texts], limit):
                 yield ids[i:j], texts[i:j]
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back, so that workers that wait for their next task are small."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def as_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
