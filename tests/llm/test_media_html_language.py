@@ -1,7 +1,9 @@
 """Media containers, main text of pages, languages."""
 
 import hashlib
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -99,6 +101,75 @@ def test_any_page_survives():
         html_text.main_text("".join(r.choice(parts) for _ in range(r.randint(0, 40))))
 
 
+def test_pages_that_never_close_take_linear_time():
+    began = time.perf_counter()
+    for bad in ("<a " * 30_000, '<a "' * 30_000 + ">", "<i>" * 20_000 + "</section>" * 20_000, "<script " * 30_000, "<i>" * 5000 + "<h1>" * 20_000, "<div>" * 30_000 + "x", "<" * 50_000, "&" * 50_000):
+        html_text.main_text(bad)
+    assert time.perf_counter() - began < 5
+    assert html_text.main_text("<p>" + "long words " * 200_000 + "</p>") == ("long words " * 200_000).strip()
+    assert html_text.main_text("a < b <p>c <d") == "a < b\nc <d"
+    assert html_text.main_text("<p title='x>one</p><p>two</p>") == "one\ntwo"
+
+
+def test_densities_are_those_of_plain_sums():
+    """Counts below each node by walking up from every node and text, and the core as the greatest sum over children."""
+    r = random.Random(8)
+    for _ in range(60):
+        page = "".join(r.choice(["<div>", "<p>", "<a href=x>", "</a>", "</p>", "</div>", "<span>", "</span>", "words of text ", "more ", "<nav>", "</nav>", "<br>"]) for _ in range(r.randint(1, 60)))
+        t = html_text.parse(page)
+        n = len(t.parent)
+        above = [[] for _ in range(n)]
+        for i in range(n):
+            j = i
+            while j >= 0:
+                above[i].append(j)
+                j = t.parent[j]
+        c, lc, tags, lt = ([0] * n for _ in range(4))
+        for node, _, text in t.pieces:
+            if not t.out[node]:
+                k = len("".join(text.split()))
+                for j in above[node]:
+                    c[j] += k
+                    lc[j] += k * any(t.tag[x] == "a" and x for x in above[node])
+        for i in range(1, n):
+            if not t.out[i]:
+                for j in above[i][1:]:
+                    tags[j] += 1
+                    lt[j] += t.tag[i] == "a"
+        # Characters of a link count for every node above the text, wherever the link starts.
+        chars, links, dense, score = html_text.scored(t)
+        assert (chars, links) == (c, lc)
+        expected = [0.0 if t.out[i] else html_text.density(c[i], tags[i], lc[i], lt[i], lc[0] / max(c[0], 1)) for i in range(n)]
+        assert dense == pytest.approx(expected)
+        assert score[1:] == pytest.approx([sum(expected[j] for j in range(1, n) if t.parent[j] == i) for i in range(1, n)])
+
+
+def test_density_formula():
+    """Two small pages by hand: c/t times the ratio of logarithms."""
+    t = html_text.parse("<div><p>abcdefghij</p><p><a>klmno</a></p></div>")
+    chars, links, dense, _ = html_text.scored(t)
+    assert (chars, links) == ([15, 15, 10, 5, 5], [5, 5, 0, 5, 5])
+    base = math.log(15 / 10 * 5 + 5 / 15 * 15 + math.e)
+    assert dense[1] == pytest.approx(15 / 3 * math.log(15 / 5 * 3 / 1) / math.log(base))
+    assert dense[2] == pytest.approx(10 * math.log(10) / math.log(math.log(5 / 15 * 10 + math.e)))
+
+
+def test_hostile_media(spark):
+    deep = b""
+    for _ in range(3000):
+        deep = media._box(b"moov", deep)
+    good = media.mux(media.padded(b"x" * 1000))
+    at = good.index(b"stsz") + 4
+    many = good[: at + 8] + b"\xff\xff\xff\xff" + good[at + 12 :]
+    runs = good.index(b"stsc") + 4
+    far = good[: runs + 8] + b"\xff\xff\xff\xf0" + good[runs + 12 :]
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate([deep, many, far, good, b"", b"\0" * 40])] + [(9, None)], "doc_id long, media binary")
+    got = {x.doc_id: x for x in media.probe(rows).collect()}
+    assert all(got[i].error and got[i].codec is None for i in (0, 1, 2, 4, 5, 9))
+    assert got[3].error is None and got[3].codec == "uncv" and got[3].n_samples == 6
+    assert b"uncC" in good and b"cmpd" in good
+
+
 def invented(r: random.Random, syllables: str, n: int) -> str:
     s = syllables.split()
     return " ".join("".join(r.choice(s) for _ in range(r.randint(1, 4))) for _ in range(n))

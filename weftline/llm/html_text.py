@@ -10,9 +10,10 @@ part, and a heading's id never does. Every other node gets its composite density
 per tag, adjusted by the share of link characters and link tags. A node's score
 is the sum of its children's densities; the node of the greatest score is the
 core. The lowest density on the path from the body to the core is the
-threshold: siblings of the core at or above it belong to the text too, and an
-enclosing ``article`` or ``main`` is taken whole, and where such elements hold
-a quarter of the text or more, the core is sought in them.
+threshold: siblings of the core at or above it belong to the text too. Where the
+core lies in an ``article`` or ``main``, the text is that whole element, since a
+headline or a short paragraph in it may be less dense than the threshold; where
+one in the core holds half of its characters or more, the text is that element.
 
 Defined results: null or empty html, or a page without text, gives ''; a text
 outside any tag counts as the body's; rows repeat as they do in the input;
@@ -25,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -59,16 +61,54 @@ PLACES = frozenset("site page global main top bottom left right primary secondar
 PARTS = frozenset("area articles bar block buttons container form icons inner items left links list nav posts right section stories thread toggle widget wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title|svg|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is not markup; all but the first end with the page at the latest.
+RAW = frozenset("script style noscript template iframe textarea title svg object".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 #: One attribute with its value, so that no value is read as an attribute.
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of every tag; names are '' for comments, declarations and elements left out whole.
+
+    One pass: a tag whose quotes do not close ends at the first '>', and from then on quotes are not looked at, so no
+    part is read again and again. What opens a tag that never ends is text.
+    """
+    at, quoted, last = page.find("<"), True, page.rfind(">")
+    ends: dict[str, re.Pattern] = {}
+    while 0 <= at:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif at > last:
+            return
+        elif m := TAG.match(page, at):
+            rest = REST.match(page, m.end()) if quoted else None
+            if rest is None:
+                quoted = False
+                end = page.index(">", m.end()) + 1 if m.end() <= last else 0
+                if not end:
+                    return
+            else:
+                end = rest.end()
+            name = m[2].lower()
+            if name in RAW and not m[1]:
+                stop = ends.setdefault(name, re.compile(rf"</{name}\s*>", re.I)).search(page, end)
+                end = stop.end() if stop else len(page)
+                yield at, end, "", False, ""
+            else:
+                yield at, end, name, bool(m[1]), page[m.end() : end - 1]
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.index(">", at) + 1
+            yield at, end, "", False, ""
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
 class Tree:
     """Nodes in page order: parent, tag, whether left out, and the pieces of text."""
 
@@ -120,7 +160,7 @@ def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
 
 def parse(page: str) -> Tree:
     t = Tree()
-    open_nodes, at = [0], 0
+    open_nodes, n_open, at = [0], Counter(), 0
     parent, tags, out, pieces = t.parent, t.tag, t.out, t.pieces
     within = [False]  # whether a node is an article or main, or inside one
 
@@ -128,49 +168,48 @@ def parse(page: str) -> Tree:
         if text:
             pieces.append((open_nodes[-1], t.block, html.unescape(text) if "&" in text else text))
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
+    def shut(i: int) -> None:
+        for k in open_nodes[i:]:
+            n_open[tags[k]] -= 1
+        del open_nodes[i:]
+
+    for start, end, name, closes, attributes in tokens(page):
+        if start > at:
+            say(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        if m[2]:
+        if closes:
             if name in BLOCK:
                 t.block += 1
-            for i in range(len(open_nodes) - 1, 0, -1):
+            for i in range(len(open_nodes) - 1, 0, -1) if n_open[name] else ():
                 if tags[open_nodes[i]] == name:
-                    del open_nodes[i:]
+                    shut(i)
                     break
                 if name not in BLOCK and tags[open_nodes[i]] in SCOPE:
                     break
             continue
         if name == "html" or name == "body":
-            if name == "body":
-                for i in range(1, len(open_nodes)):
-                    if tags[open_nodes[i]] == "head":
-                        del open_nodes[i:]
-                        break
+            if name == "body" and n_open["head"]:
+                shut(next(i for i in range(1, len(open_nodes)) if tags[open_nodes[i]] == "head"))
             continue
         if name in BLOCK:
             t.block += 1
-            for i in range(len(open_nodes) - 1, 0, -1):  # a block ends an open paragraph
+            for i in range(len(open_nodes) - 1, 0, -1) if n_open["p"] else ():  # a block ends an open paragraph
                 if tags[open_nodes[i]] == "p":
-                    del open_nodes[i:]
+                    shut(i)
                     break
                 if tags[open_nodes[i]] in SCOPE:
                     break
-        if name in ENDS:
+        if name in ENDS and any(n_open[x] for x in ENDS[name]):
             for i in range(len(open_nodes) - 1, 0, -1):
                 if tags[open_nodes[i]] in ENDS[name]:
-                    del open_nodes[i:]
+                    shut(i)
                     if name not in ("tr", "tbody"):
                         break
                 elif tags[open_nodes[i]] in ("table", "ul", "ol", "dl", "select"):
                     break
         above = open_nodes[-1]
-        attributes = m[4]
         parent.append(above)
         tags.append(name)
         out.append(out[above] or furniture(name, attributes, within[above]))
@@ -180,6 +219,7 @@ def parse(page: str) -> Tree:
                 pieces.append((above, t.block, " "))
         elif not attributes.endswith("/") or name in BLOCK:
             open_nodes.append(len(parent) - 1)
+            n_open[name] += 1
     say(page[at:])
     return t
 
@@ -193,10 +233,8 @@ def density(c: int, t: int, lc: int, lt: int, ratio: float) -> float:
     return c / t * (math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / math.log(max(base, 1.0000001)) if base > 1 else 1.0)
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    t = parse(page)
+def scored(t: Tree) -> tuple[list[int], list[int], list[float], list[float]]:
+    """Of each node: characters, link characters, density, and the sum of its children's densities."""
     n = len(t.parent)
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     is_link = [False] * n
@@ -216,20 +254,24 @@ def main_text(page: str | None) -> str:
             links[p] += links[i]
             tags[p] += tags[i] + 1
             link_tags[p] += link_tags[i] + (t.tag[i] == "a")
-    if not chars[0]:
-        return ""
-    ratio = links[0] / chars[0]
+    ratio = links[0] / max(chars[0], 1)
     dense = [0.0 if t.out[i] else density(chars[i], tags[i], links[i], link_tags[i], ratio) for i in range(n)]
     score = [0.0] * n
     score[0] = dense[0] * 1e-9  # a body without elements is its own core
     for i in range(1, n):
         score[t.parent[i]] += dense[i]
-    # Where article or main elements hold a good part of the text, the core lies in one of them.
-    marked = [False] * n
-    for i in range(1, n):
-        marked[i] = not t.out[i] and (marked[t.parent[i]] or t.tag[i] in ("article", "main") and chars[i] * 4 >= chars[0])
-    candidates = [i for i in range(n) if marked[i]] or [i for i in range(n) if not t.out[i]]
-    core = max(candidates, key=lambda i: (score[i], -i))
+    return chars, links, dense, score
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    t = parse(page)
+    n = len(t.parent)
+    chars, links, dense, score = scored(t)
+    if not chars[0]:
+        return ""
+    core = max((i for i in range(n) if not t.out[i]), key=lambda i: (score[i], -i))
     path = [core]
     while path[-1]:
         path.append(t.parent[path[-1]])
@@ -240,7 +282,12 @@ def main_text(page: str | None) -> str:
             chosen = {found[-1]}
             break
     else:
-        if core:
+        below = [False] * n
+        for i in range(core, n):
+            below[i] = i == core or t.parent[i] >= core and below[t.parent[i]]
+        if found := [i for i in range(core, n) if below[i] and not t.out[i] and t.tag[i] in ("article", "main") and chars[i] * 2 >= chars[core]]:
+            chosen = {found[0]}
+        elif core:
             chosen |= {i for i in range(1, n) if t.parent[i] == t.parent[core] and not t.out[i] and dense[i] >= threshold and links[i] * 2 < max(chars[i], 1)}
     inside = [False] * n
     for i in range(n):

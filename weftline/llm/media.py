@@ -7,8 +7,9 @@ decodes the tables, and derives from them alone the codec, the duration and
 the byte ranges of the key frames; sample bytes are touched only by ``read``.
 
 Defined results: a null text counts as empty; an empty payload is one sample
-of blanks; media that is null or malformed probes to nulls and a non-null
-``error``; repeated rows stay repeated; other columns are ignored.
+of blanks; media that is null or malformed (boxes beyond their parents or nested
+without end, tables that promise more than the file holds) probes to nulls and
+a non-null ``error``; repeated rows stay repeated; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ TIMESCALE, TICKS = 12_800, 512  # 25 pictures a second
 KEY_EVERY, CHUNK_SAMPLES = 12, 64
 #: Boxes whose content is boxes, and how many bytes come before those.
 NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"moof": 0, b"traf": 0, b"udta": 0}
+#: No known use nests boxes so deep.
+DEPTH = 32
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -48,13 +51,17 @@ def padded(raw: bytes) -> bytes:
     return raw + b" " * (-len(raw) % SAMPLE or (0 if raw else SAMPLE))
 
 
+#: One component, luminance, of 8 unsigned bits a sample, without tiles or padding: the component list and its layout.
+MONOCHROME = _box(b"cmpd", struct.pack(">IH", 1, 0)) + _full(b"uncC", struct.pack(">IIHBBB4B5I", 0, 1, 0, 7, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0))
+
+
 def mux(payload: bytes) -> bytes:
     """The container of a payload whose length is a positive multiple of SAMPLE."""
     n = len(payload) // SAMPLE
     chunks, rest = divmod(n, CHUNK_SAMPLES)
     keys = range(1, n + 1, KEY_EVERY)
     runs = ([(1, CHUNK_SAMPLES)] if chunks else []) + ([(chunks + 1, rest)] if rest else [])
-    entry = _box(b"uncv", bytes(6), struct.pack(">H", 1), bytes(16), struct.pack(">HHIIIH", WIDTH, HEIGHT, 0x480000, 0x480000, 0, 1), bytes(32), struct.pack(">HH", 8, 0xFFFF))
+    entry = _box(b"uncv", bytes(6), struct.pack(">H", 1), bytes(16), struct.pack(">HHIIIH", WIDTH, HEIGHT, 0x480000, 0x480000, 0, 1), bytes(32), struct.pack(">HH", 8, 0xFFFF), MONOCHROME)
 
     def head(offset: int, wide: bool) -> bytes:
         at = range(offset, offset + len(payload), SAMPLE * CHUNK_SAMPLES)
@@ -84,10 +91,13 @@ def mux(payload: bytes) -> bytes:
     return head(size, wide) + mdat + payload
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, first byte, end) of every box's content, parents first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, first byte, end) of every box's content, parents first. Boxes deeper than DEPTH are an error."""
+    open_: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]  # where to go on, end, path
+    while open_:
+        start, end, path = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -99,10 +109,12 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         if size < body - start or start + size > end:
             raise ValueError(f"box {kind!r} beyond its parent")
         here = (*path, kind)
+        if len(here) > DEPTH:
+            raise ValueError("boxes are nested too deep")
         yield here, body, start + size
+        open_.append((start + size, end, path))
         if kind in NESTED:
-            yield from walk(data, body + NESTED[kind], start + size, here)
-        start += size
+            open_.append((body + NESTED[kind], start + size, here))
 
 
 @dataclass
@@ -136,12 +148,16 @@ def tracks(data: bytes) -> list[Track]:
         t, u = out[-1], struct.unpack_from
         at, end = tables[b"stsz"]
         size, n = u(">II", data, at + 4)
+        if n * size > len(data):
+            raise ValueError("more samples than bytes")
         t.sizes = np.full(n, size, np.int64) if size else _numbers(data, at + 12, end, n, ">u4")
         kind = b"co64" if b"co64" in tables else b"stco"
         at, end = tables[kind]
         offsets = _numbers(data, at + 8, end, u(">I", data, at + 4)[0], ">u8" if kind == b"co64" else ">u4")
         at, end = tables[b"stsc"]
         runs = _numbers(data, at + 8, end, 3 * u(">I", data, at + 4)[0], ">u4").reshape(-1, 3)
+        if len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) < 1).any() or runs[-1, 0] > len(offsets)):
+            raise ValueError("runs of chunks out of order")
         per = np.repeat(runs[:, 1], np.diff(runs[:, 0], append=len(offsets) + 1))
         if per.sum() != n or len(per) != len(offsets):
             raise ValueError("chunks and samples disagree")
