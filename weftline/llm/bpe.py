@@ -42,8 +42,9 @@ BLOCK = 256
 CACHE_ENTRIES, CACHED_BYTES = 150_000, 48
 #: Text that is encoded at once, in characters and rows.
 ENCODE_CHARS, ENCODE_ROWS = 2_000_000, 1024
-#: Pieces of more bytes are merged one by one, by a heap.
-LONG = 400
+#: Pieces of up to so many bytes are merged together; longer ones one by one, by a heap.
+WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, 64)
+LONG = WIDTHS[-1]  # rows of them fit ROW_BITS
 
 
 @lru_cache(1)
@@ -239,7 +240,7 @@ class PieceCache:
         return out
 
 
-NONE = np.int32(1 << 30)
+NONE, ROW_BITS = np.int32(1 << 30), 6
 
 
 class Ranks:
@@ -305,38 +306,16 @@ class Ranks:
         ``raw``: the pieces' bytes, one after another, cut at ``bounds``. Returns all ids, and how many each piece has.
         """
         lens = np.diff(bounds)
-        owner = np.repeat(np.arange(len(lens)), lens)
         done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
         for i in np.flatnonzero(lens > LONG).tolist():
             own = self.merge_long(raw[bounds[i] : bounds[i + 1]].tobytes())
             done.append((np.full(len(own), i), own))
-        short = lens[owner] <= LONG
-        ids, owner = self.byte_id[raw[short]], owner[short]
-        rank = np.full(len(ids), NONE, np.int32)
-        rank[:-1] = np.where(owner[1:] == owner[:-1], self.pair_ids(ids[:-1], ids[1:]), NONE)
-        while len(ids):
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            size = np.diff(first, append=len(ids))
-            low = np.minimum.reduceat(rank, first)
-            if (over := low == NONE).any():
-                gone = np.repeat(over, size)
-                done.append((owner[gone], ids[gone]))
-                owner, ids, rank = owner[~gone], ids[~gone], rank[~gone]
-                low, size = low[~over], size[~over]
-                if not len(ids):
-                    break
-            hit = np.flatnonzero(rank == np.repeat(low, size))
-            hit = hit[np.diff(owner[hit], prepend=-1) != 0]
-            ids[hit] = rank[hit]
-            keep = np.ones(len(ids), bool)
-            keep[hit + 1] = False
-            at = hit - np.arange(len(hit))  # where the merged tokens stand after the deletion
-            ids, owner, rank = ids[keep], owner[keep], rank[keep]
-            for left in (at, at - 1):
-                ok = (left >= 0) & (left + 1 < len(ids))
-                l = left[ok]
-                rank[l] = np.where(owner[l] == owner[l + 1], self.pair_ids(ids[l], ids[l + 1]), NONE)
-            rank[-1] = NONE
+        low = 0
+        for high in WIDTHS:
+            some = np.flatnonzero((lens > low) & (lens <= high))
+            if len(some):
+                done += self._merge_columns(raw, bounds[some], lens[some], some)
+            low = high
         owner, ids = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(owner, kind="stable")
         ids, count = ids[order].astype(np.uint16), np.bincount(owner, minlength=len(lens))
@@ -349,6 +328,56 @@ class Ranks:
                     count[i] = 1
         return ids, count
 
+    def _merge_columns(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of pieces, their ids) of pieces of about one length: a column each, a row for each byte of them.
+
+        A cell's key is the rank of its pair, then the row, so a column's least key is its leftmost pair of lowest rank.
+        A round merges that one in every column; cells are linked, none moves.
+        """
+        rows, n, out = int(size.max()), len(size), []
+        inside = np.arange(rows)[:, None] < size
+        ids = np.full((rows + 1, n), -1, np.int32)
+        ids[:rows][inside] = self.byte_id[raw[(start + np.arange(rows)[:, None])[inside]]]
+        key = np.full((rows, n), NONE, np.int32)
+        both = inside[1:]
+        found = self.pair_ids(ids[: rows - 1][both], ids[1:rows][both])
+        key[:-1][both] = np.where(found == NONE, NONE, found << ROW_BITS | np.broadcast_to(np.arange(rows - 1, dtype=np.int32)[:, None], both.shape)[both])
+        links = np.arange(rows + 1, dtype=np.int32)[:, None]
+        after, before = np.where(links + 1 < size, links + 1, rows).astype(np.int32), np.broadcast_to(links - 1, (rows + 1, n)).copy()
+        while True:
+            low = key.min(0)
+            go = np.flatnonzero(low != NONE)
+            if len(go) * 4 < len(low) * 3:
+                done = np.flatnonzero(low == NONE)
+                left = ids[:, done].T
+                full = left >= 0
+                out.append((np.repeat(number[done], full.sum(1)), left[full]))
+                if not len(go):
+                    return out
+                number, low = number[go], low[go]
+                ids, key, after, before = (x.take(go, 1) for x in (ids, key, after, before))
+                n, go = len(number), np.arange(len(number))
+            low = low[go]
+            row, new = low & (1 << ROW_BITS) - 1, low >> ROW_BITS
+            i, k, nx, pv = ids.reshape(-1), key.reshape(-1), after.reshape(-1), before.reshape(-1)
+            here = row * n + go
+            second = nx[here]
+            gone = second * n + go
+            third, first = nx[gone], pv[here]
+            i[here], i[gone], nx[here] = new, -1, third
+            k[gone] = NONE
+            beyond = third * n + go
+            pv[beyond] = row
+            right = i[beyond]
+            pair = self.pair_ids(new, np.maximum(right, 0))
+            k[here] = np.where((right < 0) | (pair == NONE), NONE, pair << ROW_BITS | row)
+            some = np.flatnonzero(first >= 0)
+            if len(some):
+                first = first[some]
+                at = first * n + go[some]
+                pair = self.pair_ids(i[at], new[some])
+                k[at] = np.where(pair == NONE, NONE, pair << ROW_BITS | first)
+
     def merge_long(self, piece: bytes) -> np.ndarray:
         """The same for one long piece: a heap over a linked list, n log n."""
         import heapq

@@ -4,7 +4,8 @@ Documents are ordered by id and encoded; shards of about two million ids are
 compressed each by a grammar of its own: frequent neighbouring pairs become
 nonterminals, round by round, until no pair occurs LEAST_USES times, never
 across the end of a document. A round takes the pairs that occur at least a
-third as often as the most frequent one. A shard holds its documents' places,
+third as often as the most frequent one, or less often ones until they make up
+an eighth of the places. A shard holds its documents' places,
 the rules with their expansion lengths, and the remaining symbols, so any range
 of ids can be decoded without the rest. Shards are rows of a Parquet dataset,
 which every file system that Spark knows can hold.
@@ -41,6 +42,8 @@ VOCABULARY = 50_257
 #: A pair of fewer occurrences is not replaced. Of overlapping ones at least half stand, and a rule takes as much room as four of them save.
 LEAST_USES = 8
 NULL_ID = -(1 << 63)
+#: A round takes at least a third of the most frequent pair's count, and one in so many places.
+FULL_ROUND = 8
 #: Pairs are counted by the high bits of a product; pairs that share them only make a count too large, which is then taken exactly.
 HASH, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 21
 NO_SLOT = 1 << SLOT_BITS
@@ -64,16 +67,19 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY)
         own[bound[at]] = NO_SLOT
         return own
 
-    slot = slots_at(np.arange(n)) if n > 1 else np.full(n, NO_SLOT, np.int32)
+    slot = np.full(n, NO_SLOT, np.int32)
+    slot[:-1] = ((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]) * HASH >> np.uint64(64 - SLOT_BITS)
+    slot[bound] = NO_SLOT
     counts = np.bincount(slot, minlength=NO_SLOT + 1)
     rules, lengths = [np.zeros((0, 2), np.uint32)], [np.ones(vocabulary, np.uint32)]
     made, most = 0, n
     while True:
         counts[NO_SLOT] = 0
-        floor = int(counts.max()) // 3
-        if 3 * floor + 2 < LEAST_USES:
+        busy = np.sort(counts[counts >= LEAST_USES])[::-1]
+        if not len(busy):
             break
-        floor = max(LEAST_USES, floor)
+        full = busy[min(int(np.searchsorted(np.cumsum(busy), len(seq) // FULL_ROUND)), len(busy) - 1)]
+        floor = max(LEAST_USES, min(int(busy[0]) // 3, int(full)))
         while True:
             at = np.flatnonzero((counts >= floor).take(slot))
             found = pa.array(pairs_at(at)).dictionary_encode()
