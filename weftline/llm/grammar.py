@@ -45,7 +45,7 @@ NULL_ID = -(1 << 63)
 #: A round takes at least a third of the most frequent pair's count, and one in so many places.
 FULL_ROUND = 8
 #: Pairs are counted by the high bits of a product; pairs that share them only make a count too large, which is then taken exactly.
-HASH, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 21
+HASH, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 20
 NO_SLOT = 1 << SLOT_BITS
 
 
@@ -175,7 +175,7 @@ class Shard:
         """Every symbol's ids one after another, and where each symbol's start; rules only use earlier symbols."""
         if self._flat is None:
             at = np.cumsum(self.lengths) - self.lengths
-            flat = np.empty(int(self.lengths.sum()), np.uint16)
+            flat = np.empty(int(self.lengths.sum()), np.uint32)
             flat[: self.vocabulary] = np.arange(self.vocabulary)
             v, starts = self.vocabulary, at.tolist()
             for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True), v):
@@ -188,10 +188,12 @@ class Shard:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         flat, at = self._expansions()
-        size = self.lengths[symbols]
-        total = int(size.sum())
-        shift = at[symbols] - (np.cumsum(size) - size)
-        return flat[np.repeat(shift, size) + np.arange(total)]
+        size = self.lengths.take(symbols)
+        before = np.cumsum(size)
+        total = int(before[-1]) if len(before) else 0
+        narrow = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        shift = (at.take(symbols) - before + size).astype(narrow)
+        return flat.take(np.repeat(shift, size) + np.arange(total, dtype=narrow))
 
     def document(self, i: int, start: int = 0, end: int | None = None) -> np.ndarray:
         """Ids [start, end) of the i-th document; only the symbols that cover them are expanded."""
@@ -245,7 +247,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for task, shard, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 s = Shard(data)
-                ids = s.expand(s.symbols).astype("<u4")
+                ids = s.expand(s.symbols).astype("<u4", copy=False)
                 at = np.cumsum(s.sizes) - s.sizes
                 crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(at.tolist(), s.sizes.tolist(), strict=True)]
                 keys = [None if x == NULL_ID else x for x in s.doc_ids.tolist()]
