@@ -5,7 +5,7 @@ compressed each by a grammar of its own: frequent neighbouring pairs become
 nonterminals, round by round, until no pair occurs LEAST_USES times, never
 across the end of a document. A round takes the pairs that occur at least a
 third as often as the most frequent one, or less often ones until they make up
-an eighth of the places. A shard holds its documents' places,
+a fifth of the places. A shard holds its documents' places,
 the rules with their expansion lengths, and the remaining symbols, so any range
 of ids can be decoded without the rest. Shards are rows of a Parquet dataset,
 which every file system that Spark knows can hold.
@@ -43,7 +43,7 @@ VOCABULARY = 50_257
 LEAST_USES = 8
 NULL_ID = -(1 << 63)
 #: A round takes at least a third of the most frequent pair's count, and one in so many places.
-FULL_ROUND = 8
+FULL_ROUND = 5
 #: Pairs are counted by the high bits of a product; pairs that share them only make a count too large, which is then taken exactly.
 HASH, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 20
 NO_SLOT = 1 << SLOT_BITS
