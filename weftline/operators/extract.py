@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 HTML_REFERENCES = (("a", "href", "link"), ("link", "href", "stylesheet"), ("script", "src", "script"), ("img", "src", "image"))
 #: Line patterns of the static scan: label, pattern. Parameters of ``scan_lines``.
 LINE_PATTERNS = (("todo", r"\bTODO\b"), ("fixme", r"\bFIXME\b"), ("hack", r"\bHACK\b"), ("placeholder", r"(?i)\bplaceholder\b"), ("not implemented", r"NotImplementedError"), ("wip", r"\bWIP\b"), ("debug print", r"^\s*print\("), ("bare except", r"^\s*except\s*:"), ("pass only", r"^\s*pass\s*$"))
-# Tags of comments, first match wins, with their tier.
-COMMENT_TAGS = (("FIXME", 1), ("BUG", 1), ("TODO", 2), ("HACK", 2), ("XXX", 2), ("NOTE", 3), ("WIP", 3))
+# Tags of comments in any letter case, first match wins, with their tier.
+COMMENT_TAGS = (
+    ("TODO", "incomplete"), ("FIXME", "incomplete"), ("WIP", "incomplete"), ("HACK", "incomplete"), ("XXX", "incomplete"), ("STUB", "incomplete"),
+    ("NOQA", "audit"), ("TYPE:", "audit"), ("NOTE:", "audit"),
+)
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +95,7 @@ def comments(rows: DataFrame, mark: str, path_col: str) -> DataFrame:
     body = F.regexp_extract("content", rf"{mark}\s*(.*)$", 1)
     subtype = tier = None
     for tag, level in COMMENT_TAGS:
-        hit = body.rlike(rf"\b{tag}\b")
+        hit = body.rlike(rf"(?i)\b{tag}" + ("" if tag.endswith(":") else r"\b"))
         subtype = F.when(hit, tag) if subtype is None else subtype.when(hit, tag)
         tier = F.when(hit, level) if tier is None else tier.when(hit, level)
     found = rows.withColumn("silent", (opened > closed) | F.col("content").contains("STATION:END")).where(F.col("content").rlike(rf"(^|\s){mark}\s*\S"))

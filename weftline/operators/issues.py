@@ -24,6 +24,10 @@ def smallest_enclosing(issues: DataFrame, ranges: DataFrame) -> DataFrame:
     return issues.join(best.select("issue", "file", "line", F.col("b.symbol").alias("symbol")), ["issue", "file", "line"], "left")
 
 
+# Points of subtypes.
+SUBTYPE_POINTS = {"Annotated Stub": 2, "Exported Placeholder": 2, "Concrete Stub Method": 2, "Empty/Stub Function": 1, "Empty/Stub Class": 1, "Async Stub": 1}
+
+
 def callers(names: DataFrame, references: DataFrame, most: int = CALLERS) -> DataFrame:
     """name, own file -> the first ``most`` other files that refer to it, and how many there are."""
     j = names.join(references.select(F.col("name").alias("r_name"), F.col("file").alias("caller")).distinct(), (F.col("name") == F.col("r_name")) & (F.col("file") != F.col("caller")), "left")
@@ -32,9 +36,12 @@ def callers(names: DataFrame, references: DataFrame, most: int = CALLERS) -> Dat
 
 
 def points(subtype: Column, n_callers: Column, exported: Column) -> Column:
-    """Points of an issue: what it is, who calls it, whether it leaves its module."""
-    kind = F.when(subtype.isin("stub", "not implemented"), 2).when(subtype.isin("todo", "placeholder"), 1).otherwise(0)
-    return kind + F.when(n_callers >= 3, 2).when(n_callers >= 1, 1).otherwise(0) + F.when(exported, 1).otherwise(0)
+    """Points of an issue: what it is, whether anyone calls it, whether it leaves its module."""
+    raises = F.when(F.contains(subtype, F.lit("NotImplementedError")), 2).otherwise(0)
+    kind = F.lit(0)
+    for name, n in SUBTYPE_POINTS.items():
+        kind = F.when(subtype == name, n).otherwise(kind)
+    return raises + kind + F.when(n_callers > 0, 1).otherwise(0) + F.when(exported, 1).otherwise(0)
 
 
 def severity(score: Column) -> Column:
@@ -43,7 +50,7 @@ def severity(score: Column) -> Column:
 
 def suppressed(kind: Column, name: Column, in_test: Column, abstract: Column) -> Column:
     """Findings that are no fault: abstract or protocol members, exceptions that only mark, test doubles, data holders, dunder methods, overloads."""
-    return abstract | (in_test & (kind == "stub")) | name.rlike("(Error|Exception|Warning)$") | name.rlike(r"^__\w+__$") | name.rlike("(Protocol|Mixin|ABC)$") | (kind == "overload")
+    return abstract | (in_test & kind.isin("stub", "Empty/Stub Function")) | name.rlike("(Error|Exception|Warning)$") | name.rlike(r"^__\w+__$") | name.rlike("(Protocol|Mixin|ABC)$") | (kind == "overload")
 
 
 def dedupe(issues: DataFrame) -> DataFrame:

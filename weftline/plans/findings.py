@@ -10,11 +10,11 @@ from weftline.plans import lift
 from weftline.plans.lift import CELLS
 from weftline.plans.registry import query
 
-#: Lines of an order are symbols that lie one after another and inside wider ones; every third line holds an issue.
+#: Lines of an order are symbols that lie one after another and inside wider ones; every line holds an issue.
 RANGES = """
 ranges AS (SELECT l_orderkey AS file, 'f' || CAST(l_linenumber AS VARCHAR) AS symbol, CAST(1 + 60 * (l_linenumber - 1) AS INT) AS start, CAST(1 + 60 * (l_linenumber - 1) + l_quantity AS INT) AS stop FROM lineitem
  UNION ALL SELECT l_orderkey, 'c' || CAST(l_linenumber AS VARCHAR), CAST(1 + 60 * (l_linenumber - 1) AS INT), CAST(60 * (l_linenumber + 1) AS INT) FROM lineitem WHERE l_linenumber % 2 = 1),
-issues AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS issue, l_orderkey AS file, CAST(1 + (l_partkey * 13) % 420 AS INT) AS line, CASE l_linenumber % 4 WHEN 0 THEN 'stub' WHEN 1 THEN 'todo' WHEN 2 THEN 'unused' ELSE 'placeholder' END AS subtype, l_returnflag = 'R' AS exported, l_suppkey % 5 AS context_size FROM lineitem WHERE l_partkey % 3 = 0)
+issues AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS issue, l_orderkey AS file, CAST(1 + (l_partkey * 13) % 420 AS INT) AS line, CASE l_linenumber % 4 WHEN 0 THEN 'Empty/Stub Function' WHEN 1 THEN 'Concrete Stub Method' WHEN 2 THEN 'NotImplementedError' ELSE 'placeholder' END AS subtype, l_returnflag = 'R' AS exported, l_suppkey % 5 AS context_size FROM lineitem)
 """
 
 
@@ -28,11 +28,11 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_linenumber") % 4
-    return lift.table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").select(
+    return lift.table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("issue"),
         F.col("l_orderkey").alias("file"),
         (1 + (F.col("l_partkey") * 13) % 420).cast("int").alias("line"),
-        F.when(k == 0, "stub").when(k == 1, "todo").when(k == 2, "unused").otherwise("placeholder").alias("subtype"),
+        F.when(k == 0, "Empty/Stub Function").when(k == 1, "Concrete Stub Method").when(k == 2, "NotImplementedError").otherwise("placeholder").alias("subtype"),
         (F.col("l_returnflag") == "R").alias("exported"),
         (F.col("l_suppkey") % 5).alias("context_size"),
     ).distinct()
@@ -67,8 +67,8 @@ def callers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENRICHED = f"""
 {ENCLOSED}, n AS (SELECT l_orderkey AS file, count(DISTINCT l_suppkey) AS callers FROM lineitem GROUP BY 1),
-enriched AS (SELECT e.*, CASE WHEN subtype = 'stub' THEN 2 WHEN subtype IN ('todo', 'placeholder') THEN 1 ELSE 0 END + CASE WHEN n.callers >= 3 THEN 2 WHEN n.callers >= 1 THEN 1 ELSE 0 END + CASE WHEN exported THEN 1 ELSE 0 END AS points FROM enclosed e JOIN n USING (file)),
-shown AS (SELECT *, CASE WHEN points >= 4 THEN 'critical' WHEN points >= 2 THEN 'high' WHEN points >= 1 THEN 'medium' ELSE 'low' END AS severity FROM enriched WHERE NOT (coalesce(symbol, '') LIKE 'c%' AND subtype = 'stub' AND file % 10 = 0))
+enriched AS (SELECT e.*, CASE WHEN contains(subtype, 'NotImplementedError') OR subtype IN ('Annotated Stub', 'Exported Placeholder', 'Concrete Stub Method') THEN 2 WHEN subtype IN ('Empty/Stub Function', 'Empty/Stub Class', 'Async Stub') THEN 1 ELSE 0 END + CASE WHEN n.callers > 0 THEN 1 ELSE 0 END + CASE WHEN exported THEN 1 ELSE 0 END AS points FROM enclosed e JOIN n USING (file)),
+shown AS (SELECT *, CASE WHEN points >= 4 THEN 'critical' WHEN points >= 2 THEN 'high' WHEN points >= 1 THEN 'medium' ELSE 'low' END AS severity FROM enriched WHERE NOT (coalesce(symbol, '') LIKE 'c%' AND subtype = 'Empty/Stub Function' AND file % 10 = 0))
 """
 
 

@@ -75,21 +75,13 @@ edges AS (
 """
 
 
-def thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of every 97th line only, so that weak characters and empty cells survive the merges."""
-    return edges(spark, sf_dir).where("seq % 97 = 0")
-
-
-THIN = EDGES.replace("edges AS (", "all_edges AS (") + ", edges AS (SELECT * FROM all_edges WHERE seq % 97 = 0)"
-
-
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tracker, src, dst, ch: one character for each pair of a tracker."""
-    e = thin(spark, sf_dir)
+    e = edges(spark, sf_dir)
     return e.groupBy("tracker", "src", "dst").agg(F.max_by("ch", F.struct(chars.priority(F.col("ch")), (F.col("ch") == "n"), F.col("ch"))).alias("ch"))
 
 
-CELLS = THIN + f""", cells AS (
+CELLS = EDGES + f""", cells AS (
   SELECT tracker, src, dst, arg_max(ch, {{'p': {PRIO.format(c='ch')}, 'n': ch = 'n', 'c': ch}}) AS ch FROM edges GROUP BY tracker, src, dst
 )"""
 

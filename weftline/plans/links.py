@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import chars, codec
 from weftline.operators import grid, merge, tree
 from weftline.plans import lift
-from weftline.plans.lift import CELLS, EDGES, NODES, PRIO, THIN
+from weftline.plans.lift import CELLS, EDGES, NODES, PRIO
 from weftline.plans.registry import query
 
 
@@ -36,11 +36,11 @@ def links_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {EDGES}, a AS (SELECT src, dst, max({PRIO.format(c='ch')}) AS best, arg_min(ch, {{'p': -({PRIO.format(c='ch')}), 's': seq}}) AS first, bool_or(ch = '<') AS lt, bool_or(ch = '>') AS gt FROM edges WHERE seq % 7 = 0 GROUP BY 1, 2)
+WITH {EDGES}, a AS (SELECT src, dst, max({PRIO.format(c='ch')}) AS best, arg_min(ch, {{'p': -({PRIO.format(c='ch')}), 's': seq}}) AS first, bool_or(ch = '<') AS lt, bool_or(ch = '>') AS gt FROM edges GROUP BY 1, 2)
 SELECT src, dst, CASE WHEN best = 5 AND lt AND gt AND first IN ('<', '>') THEN 'x' ELSE first END AS ch FROM a
 """)
 def suggest_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.combine_suggestions(lift.edges(spark, sf_dir).where("seq % 7 = 0"), ["src", "dst"])
+    return merge.combine_suggestions(lift.edges(spark, sf_dir), ["src", "dst"])
 
 
 LATTICE = (
@@ -59,11 +59,11 @@ def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thin edges between nation directories, by path."""
+    """Edges between nation directories, by path."""
     r, n = lift.table(spark, sf_dir, "region"), lift.table(spark, sf_dir, "nation")
     p = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name").alias("path"))
     a, b = p.select(F.col("n_nationkey").alias("a"), F.col("path").alias("pa")), p.select(F.col("n_nationkey").alias("b"), F.col("path").alias("pb"))
-    e = lift.edges(spark, sf_dir).where("seq % 997 < 3")
+    e = lift.edges(spark, sf_dir)
     return e.join(F.broadcast(a), e["src"] == a["a"]).join(F.broadcast(b), e["dst"] == b["b"]).select("tracker", F.col("pa").alias("src"), F.col("pb").alias("dst"), "ch", "seq")
 
 
@@ -73,7 +73,7 @@ def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIRS = f"""
 {EDGES}, rp AS (SELECT r_regionkey, '/' || r_name AS path FROM region), np AS (SELECT n_nationkey, rp.path || '/' || n_name AS path, rp.path AS parent FROM nation JOIN rp ON n_regionkey = r_regionkey),
-pe AS (SELECT tracker, a.path AS src, b.path AS dst, ch, seq FROM edges JOIN np a ON src = a.n_nationkey JOIN np b ON dst = b.n_nationkey WHERE seq % 997 < 3),
+pe AS (SELECT tracker, a.path AS src, b.path AS dst, ch, seq FROM edges JOIN np a ON src = a.n_nationkey JOIN np b ON dst = b.n_nationkey),
 anc AS (SELECT parent AS ancestor, path AS node FROM np)
 """
 
@@ -88,7 +88,7 @@ def module_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {DIRS}, pairs AS (SELECT a.path AS sdir, b.path AS tdir FROM rp a JOIN rp b ON a.path <> b.path), e AS (SELECT * FROM pe WHERE seq % 997 = 0),
+WITH {DIRS}, pairs AS (SELECT a.path AS sdir, b.path AS tdir FROM rp a JOIN rp b ON a.path <> b.path), e AS (SELECT * FROM pe),
 best AS (SELECT s.ancestor AS sdir, t.ancestor AS tdir, arg_max(ch, {{'p': {PRIO.format(c='ch')}, 'c': ch}}) AS top, bool_or(ch = '<') AS lt, bool_or(ch = '>') AS gt, count(*) AS n
          FROM e JOIN anc s ON s.node = e.src JOIN anc t ON t.node = e.dst GROUP BY 1, 2)
 SELECT sdir, tdir, CASE WHEN top IS NULL THEN 'n' WHEN lt AND gt THEN 'x' WHEN top IN ('p', 's', 'S') THEN 'unresolved' ELSE top END AS verdict, coalesce(n, 0) AS n_edges FROM pairs LEFT JOIN best USING (sdir, tdir)
@@ -97,7 +97,7 @@ def dir_pair_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = directories(spark, sf_dir).where("parent_path IS NULL").select("path")  # the project's top-level directories, 26 at most
     pairs = roots.select(F.col("path").alias("sdir")).join(F.broadcast(roots.select(F.col("path").alias("tdir"))), F.expr("sdir <> tdir"))
     up = tree.closure(directories(spark, sf_dir), depth=2).select("ancestor", "node")
-    return merge.directory_pairs(pairs, path_edges(spark, sf_dir).where("seq % 997 = 0").select("src", "dst", "ch"), up)
+    return merge.directory_pairs(pairs, path_edges(spark, sf_dir).select("src", "dst", "ch"), up)
 
 
 BRANK = "CASE WHEN {c} = 'x' THEN 60 WHEN {c} IN ('<', '>') THEN 50 WHEN {c} = 'd' THEN 40 WHEN {c} = 'n' THEN 35 WHEN {c} = 'S' THEN 23 WHEN {c} = 's' THEN 22 WHEN {c} = 'p' THEN 10 ELSE 0 END"

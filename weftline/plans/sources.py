@@ -94,7 +94,7 @@ def symbol_map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT p_brand AS path, (CASE WHEN p_size % 3 = 0 THEN '_' ELSE '' END) || 'f' || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_size % 2 = 0 THEN 'method' ELSE 'function' END AS kind, p_size % 5 = 0 AS is_stub, p_size % 7 = 0 AS annotated, p_size % 4 = 0 AS is_async, p_size % 3 = 1 AS exported, p_partkey FROM part),
-u AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_suppkey % 9 = 0 GROUP BY 1), j AS (SELECT s.*, coalesce(u.n, 0) AS uses FROM s LEFT JOIN u ON u.l_partkey = s.p_partkey)
+u AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), j AS (SELECT s.*, coalesce(u.n, 0) AS uses FROM s LEFT JOIN u ON u.l_partkey = s.p_partkey)
 SELECT path, name, unnest(list_filter([CASE WHEN is_stub AND annotated THEN 'annotated stub' END, CASE WHEN is_stub AND exported THEN 'exported placeholder' END, CASE WHEN is_stub AND is_async THEN 'async stub' END, CASE WHEN is_stub AND kind = 'method' THEN 'concrete stub' END,
   CASE WHEN exported AND uses = 0 THEN 'orphan export' END, CASE WHEN NOT exported AND uses = 0 AND starts_with(name, '_') THEN 'dead code' END], lambda x: x IS NOT NULL)) AS finding FROM j
 """)
@@ -102,7 +102,7 @@ def runtime_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, size = lift.table(spark, sf_dir, "part"), F.col("p_size")
     name = F.concat(F.when(size % 3 == 0, "_").otherwise(""), F.lit("f"), F.col("p_partkey").cast("string"))
     s = p.select(F.col("p_brand").alias("path"), name.alias("name"), F.when(size % 2 == 0, "method").otherwise("function").alias("kind"), (size % 5 == 0).alias("is_stub"), (size % 7 == 0).alias("annotated"), (size % 4 == 0).alias("is_async"), (size % 3 == 1).alias("exported"))
-    l = lift.table(spark, sf_dir, "lineitem").where("l_suppkey % 9 = 0").select("l_partkey", "l_suppkey")
+    l = lift.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     refs = l.join(p.select("p_partkey", name.alias("name")), F.col("l_partkey") == F.col("p_partkey")).select("name", F.col("l_suppkey").cast("string").alias("path"))
     return symbols.runtime_findings(s, refs)
 

@@ -99,19 +99,19 @@ def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {LINES}, k AS (SELECT doc_id, line, CASE line % 5 WHEN 0 THEN 'x = 1  # TODO ' || content WHEN 1 THEN '# NOTE ' || content WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN '# STATION:BEGIN' ELSE '# plain ' || content END WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN '# STATION:END' ELSE 'y = 2' END ELSE content END AS content FROM l WHERE NOT contains(content, '#')),
+WITH {LINES}, k AS (SELECT doc_id, line, CASE line % 5 WHEN 0 THEN 'x = 1  # TODO ' || content WHEN 1 THEN '# NOTE: ' || content WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN '# STATION:BEGIN' ELSE '# plain ' || content END WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN '# STATION:END' ELSE 'y = 2' END ELSE content END AS content FROM l),
 b AS (SELECT *, sum(CASE WHEN contains(content, 'STATION:BEGIN') THEN 1 ELSE 0 END) OVER w > sum(CASE WHEN contains(content, 'STATION:END') THEN 1 ELSE 0 END) OVER w OR contains(content, 'STATION:END') AS silent FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
 c AS (SELECT doc_id, line, regexp_extract(content, '#\\s*(.*)$', 1) AS body FROM b WHERE NOT silent AND regexp_matches(content, '(^|\\s)#\\s*\\S'))
-SELECT doc_id, line, substr(body, 1, 80) AS preview, CASE WHEN regexp_matches(body, '\\bTODO\\b') THEN 'TODO' WHEN regexp_matches(body, '\\bNOTE\\b') THEN 'NOTE' END AS subtype, CAST(CASE WHEN regexp_matches(body, '\\bTODO\\b') THEN 2 WHEN regexp_matches(body, '\\bNOTE\\b') THEN 3 END AS INT) AS tier FROM c
+SELECT doc_id, line, substr(body, 1, 80) AS preview, CASE WHEN regexp_matches(body, '(?i)\\bTODO\\b') THEN 'TODO' WHEN regexp_matches(body, '(?i)\\bFIXME\\b') THEN 'FIXME' WHEN regexp_matches(body, '(?i)\\bWIP\\b') THEN 'WIP' WHEN regexp_matches(body, '(?i)\\bHACK\\b') THEN 'HACK' WHEN regexp_matches(body, '(?i)\\bXXX\\b') THEN 'XXX' WHEN regexp_matches(body, '(?i)\\bSTUB\\b') THEN 'STUB' WHEN regexp_matches(body, '(?i)\\bNOQA\\b') THEN 'NOQA' WHEN regexp_matches(body, '(?i)\\bTYPE:') THEN 'TYPE:' WHEN regexp_matches(body, '(?i)\\bNOTE:') THEN 'NOTE:' END AS subtype, CASE WHEN regexp_matches(body, '(?i)\\bTODO\\b') THEN 'incomplete' WHEN regexp_matches(body, '(?i)\\bFIXME\\b') THEN 'incomplete' WHEN regexp_matches(body, '(?i)\\bWIP\\b') THEN 'incomplete' WHEN regexp_matches(body, '(?i)\\bHACK\\b') THEN 'incomplete' WHEN regexp_matches(body, '(?i)\\bXXX\\b') THEN 'incomplete' WHEN regexp_matches(body, '(?i)\\bSTUB\\b') THEN 'incomplete' WHEN regexp_matches(body, '(?i)\\bNOQA\\b') THEN 'audit' WHEN regexp_matches(body, '(?i)\\bTYPE:') THEN 'audit' WHEN regexp_matches(body, '(?i)\\bNOTE:') THEN 'audit' END AS tier FROM c
 """)
 def comment_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, c = F.col("line") % 5, F.col("content")
     marked = (
-        F.when(m == 0, F.concat(F.lit("x = 1  # TODO "), c)).when(m == 1, F.concat(F.lit("# NOTE "), c))
+        F.when(m == 0, F.concat(F.lit("x = 1  # TODO "), c)).when(m == 1, F.concat(F.lit("# NOTE: "), c))
         .when(m == 2, F.when(F.col("doc_id") % 3 == 0, F.lit("# STATION:BEGIN")).otherwise(F.concat(F.lit("# plain "), c)))
         .when(m == 3, F.when(F.col("doc_id") % 2 == 0, F.lit("# STATION:END")).otherwise(F.lit("y = 2"))).otherwise(c)
     )
-    return extract.comments(doc_lines(spark, sf_dir).where(~c.contains("#")).withColumn("content", marked), "#", "doc_id")
+    return extract.comments(doc_lines(spark, sf_dir).withColumn("content", marked), "#", "doc_id")
 
 
 ANCHORS = f"""
@@ -135,14 +135,14 @@ def line_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {LINES}, pt AS (SELECT DISTINCT doc_id, line AS old, line + line % 3 AS new FROM l WHERE line % 6 = 1), x AS (SELECT l.doc_id, l.line, max(p.old) AS lo, min(q.old) AS hi FROM l LEFT JOIN pt p ON p.doc_id = l.doc_id AND p.old <= l.line LEFT JOIN pt q ON q.doc_id = l.doc_id AND q.old >= l.line WHERE l.line % 6 IN (2, 4) GROUP BY 1, 2),
+WITH {LINES}, pt AS (SELECT DISTINCT doc_id, line AS old, line + line % 3 AS new FROM l WHERE line % 6 = 1), x AS (SELECT l.doc_id, l.line, max(p.old) AS lo, min(q.old) AS hi FROM l LEFT JOIN pt p ON p.doc_id = l.doc_id AND p.old <= l.line LEFT JOIN pt q ON q.doc_id = l.doc_id AND q.old >= l.line GROUP BY 1, 2),
 s AS (SELECT x.*, p.new - p.old AS sp, q.new - q.old AS sq FROM x LEFT JOIN pt p ON p.doc_id = x.doc_id AND p.old = x.lo LEFT JOIN pt q ON q.doc_id = x.doc_id AND q.old = x.hi)
 SELECT doc_id, line, CAST(line + round_even(CASE WHEN sp IS NULL AND sq IS NULL THEN 0 WHEN sp IS NULL THEN sq WHEN sq IS NULL THEN sp ELSE sp + (sq - sp) * (line - lo) / greatest(hi - lo, 1) END, 0) AS INT) AS new_line FROM s
 """)
 def line_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = doc_lines(spark, sf_dir)
     points = l.where("line % 6 = 1").select("doc_id", F.col("line").alias("old"), (F.col("line") + F.col("line") % 3).alias("new"))
-    return extract.recover_lines(l.where("line % 6 IN (2, 4)").select("doc_id", "line"), points)
+    return extract.recover_lines(l.select("doc_id", "line"), points)
 
 
 @query("SELECT source AS module, count(*) AS files, count(l.doc_id) AS covered, round(100.0 * count(l.doc_id) / count(*), 4) AS coverage, string_agg(CASE WHEN l.doc_id IS NULL THEN CAST(d.doc_id AS VARCHAR) END, ',' ORDER BY d.doc_id) AS gaps FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")

@@ -41,8 +41,10 @@ def _own_shared() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where the session names none (a single machine)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where a session on a single machine names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (path or _own_shared()).rstrip("/")
 
 

@@ -20,7 +20,7 @@ def read_text(spark: SparkSession, path: str, glob: str = "*", largest: int = 10
     """path, content: every text file below ``path``; binary and oversized files are left out, bad UTF-8 is replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     kept = files.where((F.col("length") <= largest) & ~F.coalesce(is_binary(F.col("content")), F.lit(False)))
-    return kept.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.decode("content", "utf-8").alias("content"), F.col("modificationTime").alias("modified"))
+    return kept.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("modificationTime").alias("modified"))
 
 
 def key_map(spark: SparkSession, path: str) -> DataFrame:

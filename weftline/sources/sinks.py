@@ -54,14 +54,38 @@ def commit_all(spark: SparkSession, batch: dict[str, DataFrame], fmt: str = "par
             fs, make = _fs(spark, path)
             fs.delete(make(path), True)
         raise
-    for target, path in staged.items():
+    moved: list[tuple[str, str]] = []  # from, to; undone backwards
+    try:
+        for target, path in staged.items():
+            fs, make = _fs(spark, target)
+            if fs.exists(make(target)):
+                versions = _backups(spark, target)
+                _move(spark, target, f"{target}.backup-{(versions[0] if versions else 0) + 1}", moved)
+            _move(spark, path, target, moved)
+    except Exception:
+        for source, to in reversed(moved):
+            _move(spark, to, source, [])
+        for path in staged.values():
+            fs, make = _fs(spark, path)
+            fs.delete(make(path), True)
+        raise
+    for target in staged:
         fs, make = _fs(spark, target)
-        if fs.exists(make(target)):
-            versions = sorted((int(s.getPath().getName().rpartition("-")[2]) for s in fs.globStatus(make(f"{target}.backup-*"))), reverse=True)
-            fs.rename(make(target), make(f"{target}.backup-{(versions[0] if versions else 0) + 1}"))
-            for old in versions[keep - 1 :]:
-                fs.delete(make(f"{target}.backup-{old}"), True)
-        fs.rename(make(path), make(target))
+        for old in _backups(spark, target)[keep:]:
+            fs.delete(make(f"{target}.backup-{old}"), True)
+
+
+def _backups(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the backups, newest first."""
+    fs, make = _fs(spark, target)
+    return sorted((int(s.getPath().getName().rpartition("-")[2]) for s in fs.globStatus(make(f"{target}.backup-*"))), reverse=True)
+
+
+def _move(spark: SparkSession, source: str, target: str, moved: list[tuple[str, str]]) -> None:
+    fs, make = _fs(spark, target)
+    if not fs.rename(make(source), make(target)):
+        raise OSError(f"cannot move {source} to {target}")
+    moved.append((source, target))
 
 
 def save_cycle(assignments: DataFrame, path: str) -> None:
