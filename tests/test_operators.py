@@ -104,7 +104,7 @@ def test_roll_up_keeps_inside(spark):
 def test_stock_line_patterns(spark):
     lines = spark.createDataFrame([(1, "# TODO x FIXME"), (2, "x = WIP TODO"), (3, "    pass"), (4, "fine")], "line int, content string")
     got = {(r.line, r.label) for r in extract.scan_lines(lines).collect()}
-    assert got == {(1, "todo"), (1, "fixme"), (2, "wip"), (3, "pass only")}
+    assert got == {(1, "TODO"), (1, "FIXME"), (2, "WIP"), (3, "pass")}
 
 
 def test_trackers_round_trip(spark, tmp_path):
@@ -155,3 +155,67 @@ def test_broken_source_is_one_row():
     assert symbols.read_symbols("p", None) == []
     stubs = [r for r in symbols.read_symbols("p", "class A:\n def f(self):\n  'doc'\n  ...\n def g(self):\n  return 1\n") if r[6] == "stub"]
     assert [r[2] for r in stubs] == ["f"]
+
+
+def test_points_by_subtype(spark):
+    from weftline.operators import issues
+
+    rows = [("Annotated Stub", 1, True), ("Exported Placeholder", 0, True), ("Empty/Stub Function", 0, False), ("NotImplementedError", 3, False), ("Async Stub", 9, True), ("TODO", 0, False), (None, 0, False)]
+    df = spark.createDataFrame(rows, "subtype string, callers int, exported boolean")
+    p = issues.points(F.col("subtype"), F.col("callers"), F.col("exported"))
+    got = {r.subtype: (r.p, r.s) for r in df.select("subtype", F.coalesce(p, F.lit(0)).alias("p"), issues.severity(F.coalesce(p, F.lit(0))).alias("s")).collect()}
+    assert got == {"Annotated Stub": (4, "critical"), "Exported Placeholder": (3, "high"), "Empty/Stub Function": (1, "medium"), "NotImplementedError": (3, "high"), "Async Stub": (3, "high"), "TODO": (0, "low"), None: (0, "low")}
+
+
+def test_comment_tags_have_two_tiers(spark):
+    from weftline.operators import extract
+
+    said = ["# refactor this wip", "x = 1  # noqa", "# type: ignore", "# Note: see above", "# note without colon", "# stub", "# FIXME before todo", "# BUG"]
+    got = {r.line: (r.subtype, r.tier) for r in extract.comments(spark.createDataFrame([("a", i, x) for i, x in enumerate(said)], "path string, line int, content string"), "#", "path").collect()}
+    assert got == {0: ("WIP", "incomplete"), 1: ("NOQA", "audit"), 2: ("TYPE:", "audit"), 3: ("NOTE:", "audit"), 4: (None, None), 5: ("STUB", "incomplete"), 6: ("TODO", "incomplete"), 7: (None, None)}
+
+
+def test_deeper_trees_fail(spark):
+    from weftline.operators import tree
+
+    chain = spark.createDataFrame([("a", None, True), ("a/b", "a", True), ("a/b/c", "a/b", True), ("a/b/c/d", "a/b/c", False)], "path string, parent_path string, is_dir boolean")
+    assert tree.closure(chain, 4).count() == 6
+    assert tree.assign_keys(chain, 4).count() == 4
+    for short in (tree.closure(chain, 3).select("ancestor"), tree.assign_keys(chain, 3).select("path")):
+        with pytest.raises(Exception, match="more than 3 levels"):
+            short.collect()
+
+
+def test_bad_bytes_are_replaced(spark, tmp_path):
+    from weftline.sources import files
+
+    (tmp_path / "a.py").write_bytes(b"x = '\xff'\n")
+    (tmp_path / "b.py").write_bytes("é\n".encode())
+    assert {r.path.rpartition("/")[2]: r.content for r in files.read_text(spark, str(tmp_path)).collect()} == {"a.py": "x = '\ufffd'\n", "b.py": "é\n"}
+
+
+def test_a_failed_move_undoes_those_before_it(spark, tmp_path, monkeypatch):
+    from weftline.sources import sinks
+
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    sinks.commit_all(spark, {one: spark.range(1), two: spark.range(2)})
+    move = sinks._move
+
+    def failing(spark, source, target, moved):
+        if target == two and "staged" in source:
+            raise OSError("no")
+        move(spark, source, target, moved)
+
+    monkeypatch.setattr(sinks, "_move", failing)
+    with pytest.raises(OSError, match="no"):
+        sinks.commit_all(spark, {one: spark.range(5), two: spark.range(6)})
+    assert (spark.read.parquet(one).count(), spark.read.parquet(two).count()) == (1, 2)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["one", "two"]
+
+
+def test_references_in_either_quotes(spark):
+    from weftline.operators import extract
+
+    page = """<A HREF='a.html'>x</A><a href="b.html">y</a><img src='c.png'>"""
+    urls = {r.url for r in extract.html_references(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()}
+    assert {"a.html", "b.html"} <= urls

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 # Attributes that refer to other files, by element.
 HTML_REFERENCES = (("a", "href", "link"), ("link", "href", "stylesheet"), ("script", "src", "script"), ("img", "src", "image"))
 #: Line patterns of the static scan: label, pattern. Parameters of ``scan_lines``.
-LINE_PATTERNS = (("todo", r"\bTODO\b"), ("fixme", r"\bFIXME\b"), ("hack", r"\bHACK\b"), ("placeholder", r"(?i)\bplaceholder\b"), ("not implemented", r"NotImplementedError"), ("wip", r"\bWIP\b"), ("debug print", r"^\s*print\("), ("bare except", r"^\s*except\s*:"), ("pass only", r"^\s*pass\s*$"))
+LINE_PATTERNS = (
+    ("TODO", r"(?i)TODO"), ("FIXME", r"(?i)FIXME"), ("WIP", r"(?i)WIP"), ("pass", r"^\s*pass\s*$"), ("NotImplementedError", r"NotImplementedError"),
+    ("in a real", r"(?i)in a real"), ("for now", r"(?i)for now"), ("simplified", r"(?i)simplified"), ("placeholder", r"(?i)placeholder"),
+)
+#: A line that shows one of these says only that.
+ALONE = ("WIP", "wip")
 # Tags of comments in any letter case, first match wins, with their tier.
 COMMENT_TAGS = (
     ("TODO", "incomplete"), ("FIXME", "incomplete"), ("WIP", "incomplete"), ("HACK", "incomplete"), ("XXX", "incomplete"), ("STUB", "incomplete"),
@@ -29,7 +34,7 @@ def _as(kind: str) -> Callable[[Column], Column]:
 
 def html_references(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, kind, url: local references, each once for a page."""
-    found = [F.transform(F.regexp_extract_all(F.col(html_col), F.lit(rf'<{tag}\s+(?:[^>]*?\s+)?{attribute}="([^"]+?)"'), F.lit(1)), _as(kind)) for tag, attribute, kind in HTML_REFERENCES]
+    found = [F.transform(F.regexp_extract_all(F.col(html_col), F.lit(rf"(?i)<{tag}\s+(?:[^>]*?\s+)?{attribute}=[\"']([^\"']+?)[\"']"), F.lit(1)), _as(kind)) for tag, attribute, kind in HTML_REFERENCES]
     rows = pages.select(id_col, F.explode(F.array_distinct(F.concat(*found))).alias("r")).select(id_col, "r.kind", "r.url")
     return rows.where(~F.col("url").rlike("^(https?:|mailto:|tel:|#|data:|javascript:)"))
 
@@ -78,9 +83,9 @@ def sql_lineage(tables: DataFrame) -> DataFrame:
 
 
 def scan_lines(rows: DataFrame, patterns: tuple = LINE_PATTERNS) -> DataFrame:
-    """id columns and line, content -> the same with ``label`` for each pattern that a line shows; a wip line says only that."""
+    """id columns and line, content -> the same with ``label`` for each pattern that a line shows; one of ALONE says only that."""
     hits = F.filter(F.array(*(F.when(F.col("content").rlike(p), F.lit(label)) for label, p in patterns)), lambda x: x.isNotNull())
-    only = F.when(F.array_contains(hits, "wip"), F.array(F.lit("wip"))).otherwise(hits)
+    only = F.coalesce(*(F.when(F.array_contains(hits, label), F.array(F.lit(label))) for label in ALONE), hits)
     return rows.select("*", F.explode(only).alias("label"))
 
 

@@ -13,7 +13,7 @@ def assign_keys(paths: DataFrame, levels: int) -> DataFrame:
     letter; a directory below such a one is promoted to the next tier, with a
     letter of its own; files take their directory's key and a number. Siblings are
     numbered by path, directories and files apart. More than 26 directories below
-    one parent fail.
+    one parent fail, and so does a tree of more than ``levels`` levels.
     """
     own = Window.partitionBy("parent_path", "is_dir").orderBy("path")
     ranked = paths.withColumn("nth", F.row_number().over(own))
@@ -33,7 +33,15 @@ def assign_keys(paths: DataFrame, levels: int) -> DataFrame:
         tier = F.when(F.col("is_dir") & ~root_like, F.col("up_tier") + 1).otherwise(F.col("up_tier"))
         level = below.select(key.alias("key"), "path", "parent_path", tier.alias("tier"), "is_dir")
         done = done.unionByName(level)
-    return done
+    up = level.where("is_dir").select(F.col("path").alias("up_path"), F.col("key").alias("up_key"))
+    beyond = _none(ranked.join(up, ranked["parent_path"] == up["up_path"]), "path", "up_key", f"the tree has more than {levels} levels")
+    return done.unionByName(beyond.select(F.lit(None).cast("string").alias("key"), "path", "parent_path", F.lit(0).alias("tier"), "is_dir"))
+
+
+def _none(joined: DataFrame, one: str, other: str, message: str) -> DataFrame:
+    """No rows; fails if the join has any. A filter, so that no projection takes it away, on a column of either side, so that it stays above the join."""
+    some = F.concat(F.col(one).cast("string"), F.col(other).cast("string")).isNotNull()
+    return joined.where(F.when(some, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(False)))
 
 
 def instance_suffixes(nodes: DataFrame) -> DataFrame:
@@ -48,13 +56,13 @@ def instance_suffixes(nodes: DataFrame) -> DataFrame:
 
 
 def closure(nodes: DataFrame, depth: int) -> DataFrame:
-    """ancestor, node, distance >= 1 for a tree of at most ``depth`` levels; no job loop."""
+    """ancestor, node, distance >= 1 for a tree of at most ``depth`` levels (a deeper one fails); no job loop."""
     step = nodes.where("parent_path IS NOT NULL").select(F.col("parent_path").alias("ancestor"), F.col("path").alias("node"), F.lit(1).alias("distance"))
     out = level = step
-    for d in range(2, depth):
-        up = step.select(F.col("ancestor").alias("higher"), F.col("node").alias("via"))
+    up = step.select(F.col("ancestor").alias("higher"), F.col("node").alias("via"))
+    for d in range(2, depth + 1):
         level = level.join(up, F.col("ancestor") == F.col("via")).select(F.col("higher").alias("ancestor"), "node", F.lit(d).alias("distance"))
-        out = out.unionByName(level)
+        out = out.unionByName(level if d < depth else _none(level, "ancestor", "node", f"the tree has more than {depth} levels"))
     return out
 
 
