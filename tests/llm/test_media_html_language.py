@@ -94,6 +94,21 @@ def test_pages(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<a href=/wiki/O'Neill>O'Neill</a> wrote this and it's fine", "O'Neill wrote this and it's fine"),
+        ("<p title=it's>Don't lose this</p>", "Don't lose this"),
+        ("<p title='a>b' data-x=\"c>d\">kept<br/>on</p><a href=/x/>li\"nk</a> after <b =x y= 'q>r' z>bold</b>", 'kept on\nli"nk after bold'),
+        ('<p a"b=1 c\'>one</p><p>two "three"</p>', 'one\ntwo "three"'),
+        ("<p title=\"open>one</p><p>two's</p>", "one\ntwo's"),
+        ("<p x=a='b>c</p><p>it's</p>", "c\nit's"),
+    ],
+)
+def test_quotes_open_values_after_an_equals_sign_only(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_any_page_survives():
     r = random.Random(1)
     parts = ["<p>", "</p>", "<div class='x'>", "</div>", "<", ">", "&", "&amp;", "<!--", "-->", "<script>", "</script>", "text ", "<a href=", "'", '"', "<table><tr><td>", "</table>", "<li>", "\n"]
@@ -103,7 +118,7 @@ def test_any_page_survives():
 
 def test_pages_that_never_close_take_linear_time():
     began = time.perf_counter()
-    for bad in ("<a " * 30_000, '<a "' * 30_000 + ">", "<i>" * 20_000 + "</section>" * 20_000, "<script " * 30_000, "<i>" * 5000 + "<h1>" * 20_000, "<div>" * 30_000 + "x", "<" * 50_000, "&" * 50_000):
+    for bad in ("<a " * 30_000, '<a "' * 30_000 + ">", "<i>" * 20_000 + "</section>" * 20_000, "<script " * 30_000, "<i>" * 5000 + "<h1>" * 20_000, "<div>" * 30_000 + "x", "<" * 50_000, "&" * 50_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<a x='" * 20_000 + ">", "<tr><td>" * 20_000, "<ul>" + "<i><li>" * 20_000 + "</b>" * 20_000):
         html_text.main_text(bad)
     assert time.perf_counter() - began < 5
     assert html_text.main_text("<p>" + "long words " * 200_000 + "</p>") == ("long words " * 200_000).strip()

@@ -26,8 +26,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -45,6 +45,7 @@ BLOCK = frozenset(
 DROPPED = frozenset("nav footer aside form script style noscript template iframe object svg canvas head title select textarea input dialog menu audio video annotation annotation-xml".split())
 #: Start tags that end an open element of the named kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
+LISTS = frozenset("table ul ol dl select".split())
 SCOPE = frozenset("table ul ol dl body html article section div blockquote td th".split())
 #: Words of classes and ids that name furniture wherever they stand, and those that do so outside articles only.
 PLAIN = frozenset(
@@ -64,14 +65,17 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 #: Elements whose content is not markup; all but the first end with the page at the latest.
 RAW = frozenset("script style noscript template iframe textarea title svg object".split())
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
-REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
-#: One attribute with its value, so that no value is read as an attribute.
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: An attribute's name and value. A quote opens a value only right after the equals sign; in names and bare values it is a character like others.
+NAME = r"(?:=?+[^\s/>=]++|=)"
+VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++)"
+ATTRIBUTE = re.compile(rf"({NAME})(?:\s*+=\s*+({VALUE}?+))?+")
+#: All attributes of a tag, the slash of one that closes itself, and its end.
+REST = re.compile(rf"(?:[\s/]*+{NAME}(?:\s*+=\s*+{VALUE}?+)?+)*+([\s/]*+)>")
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
-def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
-    """(start, end, name, whether it closes, attributes) of every tag; names are '' for comments, declarations and elements left out whole.
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str, bool]]:
+    """(start, end, name, whether it closes, attributes, whether it ends in a slash) of every tag; names are '' for comments, declarations and elements left out whole.
 
     One pass: a tag whose quotes do not close ends at the first '>', and from then on quotes are not looked at, so no
     part is read again and again. What opens a tag that never ends is text.
@@ -82,7 +86,7 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         if page.startswith("<!--", at):
             end = page.find("-->", at + 4)
             end = len(page) if end < 0 else end + 3
-            yield at, end, "", False, ""
+            yield at, end, "", False, "", False
         elif at > last:
             return
         elif m := TAG.match(page, at):
@@ -92,18 +96,19 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
                 end = page.index(">", m.end()) + 1 if m.end() <= last else 0
                 if not end:
                     return
+                slash = page[end - 2] == "/"
             else:
-                end = rest.end()
+                end, slash = rest.end(), "/" in rest[1]
             name = m[2].lower()
             if name in RAW and not m[1]:
                 stop = ends.setdefault(name, re.compile(rf"</{name}\s*>", re.I)).search(page, end)
                 end = stop.end() if stop else len(page)
-                yield at, end, "", False, ""
+                yield at, end, "", False, "", False
             else:
-                yield at, end, name, bool(m[1]), page[m.end() : end - 1]
+                yield at, end, name, bool(m[1]), page[m.end() : end - 1], slash
         elif page[at + 1 : at + 2] in ("!", "?"):
             end = page.index(">", at) + 1
-            yield at, end, "", False, ""
+            yield at, end, "", False, "", False
         else:
             end = at + 1
         at = page.find("<", end)
@@ -160,7 +165,10 @@ def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
 
 def parse(page: str) -> Tree:
     t = Tree()
-    open_nodes, n_open, at = [0], Counter(), 0
+    open_nodes, at = [0], 0
+    # Where the open elements of each name stand among all open ones, and those that closing tags and list items do not reach beyond.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    scopes, lists = [0], [0]
     parent, tags, out, pieces = t.parent, t.tag, t.out, t.pieces
     within = [False]  # whether a node is an article or main, or inside one
 
@@ -170,10 +178,16 @@ def parse(page: str) -> Tree:
 
     def shut(i: int) -> None:
         for k in open_nodes[i:]:
-            n_open[tags[k]] -= 1
+            places[tags[k]].pop()
         del open_nodes[i:]
+        for held in (scopes, lists):
+            while held[-1] >= max(i, 1):
+                held.pop()
 
-    for start, end, name, closes, attributes in tokens(page):
+    def last_of(names: Iterable[str]) -> int:
+        return max((places[x][-1] for x in names if places[x]), default=0)
+
+    for start, end, name, closes, attributes, slash in tokens(page):
         if start > at:
             say(page[at:start])
         at = end
@@ -182,32 +196,22 @@ def parse(page: str) -> Tree:
         if closes:
             if name in BLOCK:
                 t.block += 1
-            for i in range(len(open_nodes) - 1, 0, -1) if n_open[name] else ():
-                if tags[open_nodes[i]] == name:
-                    shut(i)
-                    break
-                if name not in BLOCK and tags[open_nodes[i]] in SCOPE:
-                    break
+            i = last_of((name,))
+            if i and (name in BLOCK or i > scopes[-1]):
+                shut(i)
             continue
         if name == "html" or name == "body":
-            if name == "body" and n_open["head"]:
-                shut(next(i for i in range(1, len(open_nodes)) if tags[open_nodes[i]] == "head"))
+            if name == "body" and places["head"]:
+                shut(places["head"][0])
             continue
         if name in BLOCK:
             t.block += 1
-            for i in range(len(open_nodes) - 1, 0, -1) if n_open["p"] else ():  # a block ends an open paragraph
-                if tags[open_nodes[i]] == "p":
-                    shut(i)
-                    break
-                if tags[open_nodes[i]] in SCOPE:
-                    break
-        if name in ENDS and any(n_open[x] for x in ENDS[name]):
-            for i in range(len(open_nodes) - 1, 0, -1):
-                if tags[open_nodes[i]] in ENDS[name]:
-                    shut(i)
-                    if name not in ("tr", "tbody"):
-                        break
-                elif tags[open_nodes[i]] in ("table", "ul", "ol", "dl", "select"):
+            if (i := last_of(("p",))) > scopes[-1]:  # a block ends an open paragraph
+                shut(i)
+        if name in ENDS:
+            while (i := last_of(ENDS[name])) > lists[-1]:
+                shut(i)
+                if name not in ("tr", "tbody"):
                     break
         above = open_nodes[-1]
         parent.append(above)
@@ -217,9 +221,11 @@ def parse(page: str) -> Tree:
         if name in VOID:
             if name in ("br", "hr", "img"):
                 pieces.append((above, t.block, " "))
-        elif not attributes.endswith("/") or name in BLOCK:
+        elif not slash or name in BLOCK:
+            for held, kind in ((places[name], True), (scopes, name in SCOPE), (lists, name in LISTS)):
+                if kind:
+                    held.append(len(open_nodes))
             open_nodes.append(len(parent) - 1)
-            n_open[name] += 1
     say(page[at:])
     return t
 
