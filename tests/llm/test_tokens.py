@@ -285,6 +285,20 @@ def test_grammar_has_no_limit_of_rules():
     assert len(s.left) > 65_536 - s.vocabulary
 
 
+def test_one_id_is_read_without_the_rest():
+    r = np.random.default_rng(5)
+    passage = r.integers(0, 9, 300)
+    held = [np.concatenate([passage, r.integers(0, 9, 50)]).astype(np.uint32) for _ in range(40)]
+    s = grammar.Shard(grammar.pack_shard(list(range(40)), held, vocabulary=9))
+    s._expansions = None  # expanding all rules would fail
+    assert s.vocabulary == 9
+    for i in (0, 17, 39):
+        for a, b in ((0, 1), (5, 6), (200, 340), (349, 350), (350, 400), (7, 7)):
+            assert s.document(i, a, b).tolist() == held[i][a:b].tolist()
+    with pytest.raises(ValueError, match="vocabulary"):
+        grammar.pack_shard([0], [np.array([9])], vocabulary=9)
+
+
 def test_grammar_of_single_ids():
     s = grammar.Shard(grammar.pack_shard([4, None, 5], [np.array([x], np.uint16) for x in (3, 0, 3)]))
     assert [s.document(i).tolist() for i in range(3)] == [[3], [0], [3]]

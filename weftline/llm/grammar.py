@@ -2,8 +2,9 @@
 
 Documents are ordered by id and encoded; shards of about two million ids are
 compressed each by a grammar of its own: frequent neighbouring pairs become
-nonterminals, round by round, until no pair occurs LEAST_USES times, never
-across the end of a document. A round takes the pairs that occur at least a
+nonterminals, round by round, until no pair occurs LEAST_USES times (a rule
+takes the room of three symbols, so that four uses are the first that save),
+never across the end of a document. A round takes the pairs that occur at least a
 third as often as the most frequent one, or less often ones until they make up
 a fifth of the places. A shard holds its documents' places,
 the rules with their expansion lengths, and the remaining symbols, so any range
@@ -39,8 +40,8 @@ from weftline.llm.common import id_text, partitions, shared_dir, table, text_bat
 MAGIC = b"RPG2"
 SHARD_IDS = 2_000_000
 VOCABULARY = 50_257
-#: A pair of fewer occurrences is not replaced. Of overlapping ones at least half stand, and a rule takes as much room as four of them save.
-LEAST_USES = 8
+#: A pair of fewer occurrences is not replaced: a rule holds three numbers, and each use saves one.
+LEAST_USES = 4
 NULL_ID = -(1 << 63)
 #: A round takes at least a third of the most frequent pair's count, and one in so many places.
 FULL_ROUND = 5
@@ -99,7 +100,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, vocabulary: int = VOCABULARY)
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         odd = (np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 1
         at, which = at[~odd], which[~odd]
-        good = np.bincount(which, minlength=len(new)) >= LEAST_USES // 2
+        stand = np.bincount(which, minlength=len(new))
+        good = stand >= floor
+        if not good.any():  # of overlapping ones at least half stand
+            good = stand >= LEAST_USES // 2
         if not good.any():  # they stand in each other's way; a single pair never does
             most = max(1, min(most, len(new)) // 16)
             continue
@@ -136,12 +140,16 @@ def _planes(symbols: np.ndarray) -> bytes:
     return (symbols & np.uint32(0xFFFF)).astype("<u2").tobytes() + (symbols >> np.uint32(16)).astype("<u2").tobytes()
 
 
-def pack_shard(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
+def pack_shard(doc_ids: list[int | None], docs: list[np.ndarray], vocabulary: int = VOCABULARY) -> bytes:
+    """The shard of documents whose ids are less than ``vocabulary``."""
     sizes = np.array([len(x) for x in docs], np.uint64)
     starts = np.cumsum(sizes) - sizes
-    seq, first, rules, lengths = compress(np.concatenate(docs), starts)
+    ids = np.concatenate(docs)
+    if len(ids) and int(ids.max()) >= vocabulary:
+        raise ValueError(f"id {int(ids.max())} is not of a vocabulary of {vocabulary}")
+    seq, first, rules, lengths = compress(ids, starts, vocabulary)
     keys = np.array([NULL_ID if x is None else x for x in doc_ids], "<i8")
-    head = MAGIC + struct.pack("<4Q2I", len(docs), len(rules), len(seq), int(sizes.sum()), VOCABULARY, 0)
+    head = MAGIC + struct.pack("<4Q2I", len(docs), len(rules), len(seq), int(sizes.sum()), vocabulary, 0)
     return b"".join([head, keys.tobytes(), first.astype("<u8").tobytes(), sizes.astype("<u8").tobytes(), _planes(rules[:, 0]), _planes(rules[:, 1]), lengths.astype("<u4").tobytes(), _planes(seq)])
 
 
@@ -196,14 +204,26 @@ class Shard:
         return flat.take(np.repeat(shift, size) + np.arange(total, dtype=narrow))
 
     def document(self, i: int, start: int = 0, end: int | None = None) -> np.ndarray:
-        """Ids [start, end) of the i-th document; only the symbols that cover them are expanded."""
+        """Ids [start, end) of the i-th document. Symbols that lie outside are skipped by their lengths, and so are the parts of rules."""
         last = int(self.first[i + 1]) if i + 1 < len(self.first) else len(self.symbols)
         symbols = self.symbols[int(self.first[i]) : last]
-        end = int(self.sizes[i]) if end is None else end
+        end = int(self.sizes[i]) if end is None else min(end, int(self.sizes[i]))
         reach = np.cumsum(self.lengths[symbols])
         a, b = int(np.searchsorted(reach, start, "right")), int(np.searchsorted(reach, end, "left")) + 1
-        skipped = int(reach[a - 1]) if a else 0
-        return self.expand(symbols[a:b])[start - skipped : end - skipped]
+        at = int(reach[a - 1]) if a else 0
+        out: list[int] = []
+        pending = symbols[a:b].tolist()[::-1]
+        while pending and at < end:
+            symbol = pending.pop()
+            size = int(self.lengths[symbol])
+            if at + size <= start:
+                at += size
+            elif symbol < self.vocabulary:
+                out.append(symbol)
+                at += 1
+            else:
+                pending += [int(self.right[symbol - self.vocabulary]), int(self.left[symbol - self.vocabulary])]
+        return np.array(out, np.uint32)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
