@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import scripts
+from weftline.operators import scopes, scripts, symbols
 from weftline.plans import lift
 from weftline.plans.registry import query
 
@@ -144,3 +144,119 @@ def java_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand = F.regexp_replace("p_brand", r"\W", "")
     files = p.select(F.concat(F.lit("/java/Part"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("path"), fill(JAVA, brand=brand, size="p_size", k="p_partkey").alias("content"))
     return scripts.facts(files).where("kind IN ('package', 'import', 'class', 'constructor', 'method', 'call')").select("path", "kind", "name")
+
+
+#: By style: what a part's module imports of another, and how it uses it.
+IMPORTS = ["import {b}.p{k}", "import {b}.p{k} as m{k}", "from {b}.p{k} import f{k}", "from ..{b} import p{k}", "from ..{b}.p{k} import C{k}", "import {b}", "def g{k}():\n    import missing.m{k}"]
+USES = ["{b}.p{k}.f{k}(1)", "m{k}.f{k}(2)", "f{k}()", "p{k}.f{k}()", "class D{k}(C{k}):\n    x: C{k} = None", "{b}.other.thing()", "    missing.m{k}.x()"]
+MODULE = '''"""Part {k}: import nothing."""
+LIMIT = {k}
+class C{k}:
+    def __init__(self):
+        self.size = 1
+    def run(self, x: int) -> int:
+        return x
+def f{k}(x=0):
+    return x
+'''
+
+
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b, style: parts on neighbouring lines of an order."""
+    l = lift.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
+    after = l.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - 1).alias("n"), F.col("a").alias("b"))
+    pairs = l.join(after, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n"))).where("a <> b")
+    return pairs.select("a", "b", ((F.col("a") + F.col("b")) % len(IMPORTS)).alias("style")).distinct()
+
+
+def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a package for each brand, a module for each part."""
+    p = lift.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lower(F.regexp_replace("p_brand", r"\W", "")).alias("brand"))
+    other = p.select(F.col("k").alias("b_k"), F.col("brand").alias("b_brand"))
+    pairs = part_pairs(spark, sf_dir).join(other, F.col("b") == F.col("b_k"))
+    says = lambda templates: cased(F.col("style"), [fill(t, b="b_brand", k="b") for t in templates])
+    each = pairs.select("a", "style", says(IMPORTS).alias("first"), says(USES).alias("then"))
+    # A function's import stands with its use.
+    line = F.when(F.col("style") == 6, F.concat("first", F.lit("\n"), "then"))
+    lines = each.groupBy("a").agg(F.array_sort(F.collect_set(F.when(line.isNull(), F.col("first")))).alias("imports"), F.array_sort(F.collect_set(F.coalesce(line, "then"))).alias("uses"))
+    path = F.concat("brand", F.lit("/p"), F.col("k").cast("string"), F.lit(".py"))
+    text = F.concat(fill(MODULE, k="k"), F.array_join(F.coalesce("imports", F.array().cast("array<string>")), "\n"), F.lit("\n"), F.array_join(F.coalesce("uses", F.array().cast("array<string>")), "\n"))
+    modules = p.join(lines, F.col("k") == F.col("a"), "left").select(path.alias("path"), text.alias("content"))
+    packages = p.select("brand").distinct().select(F.concat("brand", F.lit("/__init__.py")).alias("path"), F.lit("").alias("content"))
+    return modules.unionByName(packages)
+
+
+PYTHON = """
+p AS (SELECT p_partkey AS k, lower(regexp_replace(p_brand, '\\W', '', 'g')) AS brand FROM part),
+pair AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b, (a.l_partkey + b.l_partkey) % 7 AS style FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey <> b.l_partkey),
+uses AS (SELECT pa.brand || '/p' || a || '.py' AS path, b AS k, pb.brand AS b, style, pb.brand || '/p' || b || '.py' AS file, pb.brand || '/__init__.py' AS package FROM pair JOIN p pa ON pa.k = a JOIN p pb ON pb.k = b)
+"""
+
+
+@query(f"""WITH {PYTHON} SELECT DISTINCT path, CASE style WHEN 0 THEN b || '.p' || k WHEN 1 THEN 'm' || k WHEN 2 THEN 'f' || k WHEN 3 THEN 'p' || k WHEN 4 THEN 'C' || k ELSE b END AS scope,
+CASE WHEN style IN (3, 5) THEN package ELSE file END AS dst FROM uses WHERE style < 6""")
+def py_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = python_files(spark, sf_dir)
+    return scopes.import_scopes(scopes.imported(files), files)
+
+
+@query(f"""WITH {PYTHON} SELECT DISTINCT path, CASE style WHEN 0 THEN b || '.p' || k || '.f' || k WHEN 1 THEN 'm' || k || '.f' || k WHEN 2 THEN 'f' || k WHEN 3 THEN 'p' || k || '.f' || k WHEN 4 THEN 'C' || k ELSE b || '.other.thing' END AS name,
+CASE WHEN style IN (3, 5) THEN package ELSE file END AS dst, CASE style WHEN 0 THEN 'f' || k WHEN 1 THEN 'f' || k WHEN 3 THEN 'f' || k WHEN 5 THEN 'other.thing' ELSE '' END AS rest FROM uses WHERE style < 6""")
+def py_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dotted names of calls, bases and types, by the longest prefix that the file imports."""
+    files = python_files(spark, sf_dir)
+    used = symbols.python_symbols(files).where("kind IN ('call', 'base', 'type')")
+    return scopes.resolve_names(used.select("path", "name"), scopes.import_scopes(scopes.imported(files), files))
+
+
+SYMBOLS = f"""{PYTHON},
+n AS (SELECT path, style, count(*) AS n FROM uses WHERE style <> 5 GROUP BY ALL UNION ALL SELECT path, 5, count(DISTINCT b) FROM uses WHERE style = 5 GROUP BY ALL),
+own AS (SELECT brand || '/p' || k || '.py' AS path, k FROM p)
+"""
+
+
+@query(f"""WITH {SYMBOLS} SELECT path, kind, sum(n)::BIGINT AS n FROM (
+SELECT path, kind, n FROM n JOIN (VALUES (0, 'import'), (1, 'import'), (2, 'import'), (3, 'import'), (4, 'import'), (5, 'import'), (6, 'import'), (0, 'call'), (1, 'call'), (2, 'call'), (3, 'call'), (5, 'call'), (6, 'call'), (4, 'class'), (4, 'base'), (4, 'type'), (6, 'function')) t(style, kind) USING (style)
+UNION ALL SELECT path, unnest(['class', 'method', 'method', 'function', 'global']), 1 FROM own) GROUP BY path, kind""")
+def py_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many symbols and references of each kind the files hold."""
+    return symbols.python_symbols(python_files(spark, sf_dir)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+EDGES = f"{PYTHON}, edge AS (SELECT DISTINCT path AS src, CASE WHEN style = 5 THEN package ELSE file END AS dst FROM uses WHERE style < 6)"
+
+
+@query(f"WITH {EDGES} SELECT src, dst, '<' AS ch FROM edge")
+def py_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = python_files(spark, sf_dir)
+    return symbols.import_edges(symbols.python_symbols(f), f)
+
+
+@query(f"WITH {PYTHON} SELECT path AS src, file AS dst, '<' AS ch, CASE WHEN style = 4 THEN 'base,type' ELSE 'call' END AS reasons FROM uses WHERE style < 5")
+def py_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = python_files(spark, sf_dir)
+    s = symbols.python_symbols(f)
+    return symbols.reference_edges(s, symbols.import_edges(s, f)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(f"WITH {EDGES} SELECT dst AS path, string_agg(src, ',' ORDER BY src) AS callers FROM edge GROUP BY dst")
+def called_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = python_files(spark, sf_dir)
+    s = symbols.python_symbols(f)
+    return symbols.called_by(s, symbols.import_edges(s, f)).withColumn("callers", F.array_join("callers", ","))
+
+
+@query(f"""WITH {EDGES}, called AS (SELECT dst AS path, string_agg(src, ', ' ORDER BY src) AS callers FROM edge GROUP BY dst),
+named AS (SELECT path, 'class' AS kind, 'C' || k AS name FROM (SELECT brand || '/p' || k || '.py' AS path, k FROM p) UNION SELECT path, 'class', 'D' || k FROM uses WHERE style = 4
+ UNION SELECT brand || '/p' || k || '.py', 'function', 'f' || k FROM p UNION SELECT path, 'function', 'g' || k FROM uses WHERE style = 6
+ UNION SELECT brand || '/p' || k || '.py', 'method', unnest(['__init__', 'run']) FROM p
+ UNION SELECT path, 'import', CASE style WHEN 0 THEN b || '.p' || k WHEN 1 THEN b || '.p' || k WHEN 2 THEN b || '.p' || k || '.f' || k WHEN 3 THEN '..' || b || '.p' || k WHEN 4 THEN '..' || b || '.p' || k || '.C' || k WHEN 5 THEN b ELSE 'missing.m' || k END FROM uses
+ UNION SELECT path, 'call', CASE style WHEN 0 THEN b || '.p' || k || '.f' || k WHEN 1 THEN 'm' || k || '.f' || k WHEN 2 THEN 'f' || k WHEN 3 THEN 'p' || k || '.f' || k WHEN 5 THEN b || '.other.thing' ELSE 'missing.m' || k || '.x' END FROM uses WHERE style <> 4),
+line AS (SELECT path, kind, string_agg(name, ', ' ORDER BY name) AS names FROM named GROUP BY ALL),
+g AS (SELECT path, concat_ws(chr(10), 'FILE: ' || path, 'CLASSES: ' || max(names) FILTER (kind = 'class'), 'FUNCTIONS: ' || max(names) FILTER (kind = 'function'), 'METHODS: ' || max(names) FILTER (kind = 'method'), 'IMPORTS: ' || max(names) FILTER (kind = 'import'), 'CALLS: ' || max(names) FILTER (kind = 'call')) AS t FROM line GROUP BY path),
+whole AS (SELECT path, concat_ws(chr(10), t, 'CALLED_BY: ' || callers) AS t FROM g LEFT JOIN called USING (path))
+SELECT path, CASE WHEN length(t) > 12288 THEN t[:12288] || '...' ELSE t END AS essence FROM whole""")
+def symbol_essence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = python_files(spark, sf_dir)
+    s = symbols.python_symbols(f)
+    return symbols.essence(s, symbols.import_edges(s, f))

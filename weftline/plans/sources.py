@@ -10,15 +10,6 @@ from weftline.plans import lift, links
 from weftline.plans.registry import query
 from weftline.sources import logs, sinks, trackers
 
-PYTHON = [
-    ("app/__init__.py", "from .core import Engine\n"),
-    ("app/core.py", "import os\nfrom app import util\nfrom app.util import helper, Base\n\nLIMIT = 3\n\nclass Engine(Base):\n    def run(self):\n        return helper(LIMIT)\n\n    def todo(self):\n        pass\n"),
-    ("app/util.py", "class Base:\n    pass\n\ndef helper(x: int) -> int:\n    return x\n\ndef _unused():\n    ...\n"),
-    ("app/sub/__init__.py", ""),
-    ("app/sub/deep.py", "from ..core import Engine\nfrom . import other\n\ntry:\n    Engine().run()\nexcept ValueError:\n    raise\n"),
-    ("app/sub/other.py", "with open('x') as f:\n    print(f)\n"),
-    ("bad.py", "def broken(:\n"),
-]
 SQL_FILES = [
     ("schema.sql", "-- tables\nCREATE TABLE IF NOT EXISTS main.Users (id INT);\ncreate table \"Orders\" (id int references users);"),
     ("report.sql", "SELECT * FROM users u JOIN main.orders o ON o.id = u.id /* FROM nothing */"),
@@ -26,42 +17,6 @@ SQL_FILES = [
 ]
 
 
-def python_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PYTHON, "path string, content string")
-
-
-@query()
-def py_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.python_symbols(python_files(spark))
-
-
-@query("SELECT * FROM (VALUES ('app/__init__.py', 'app/core.py', '<'), ('app/core.py', 'app/util.py', '<'), ('app/sub/deep.py', 'app/core.py', '<'), ('app/sub/deep.py', 'app/sub/other.py', '<')) t(src, dst, ch)")
-def py_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = python_files(spark)
-    return symbols.import_edges(symbols.python_symbols(f), f)
-
-
-@query("SELECT * FROM (VALUES ('app/core.py', 'app/util.py', '<', 'base,call'), ('app/sub/deep.py', 'app/core.py', '<', 'call')) t(src, dst, ch, reasons)")
-def py_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = python_files(spark)
-    s = symbols.python_symbols(f)
-    return symbols.reference_edges(s, symbols.import_edges(s, f)).withColumn("reasons", F.array_join("reasons", ","))
-
-
-@query("SELECT * FROM (VALUES ('app/core.py', 'app/__init__.py,app/sub/deep.py'), ('app/util.py', 'app/core.py'), ('app/sub/other.py', 'app/sub/deep.py')) t(path, callers)")
-def called_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = python_files(spark)
-    s = symbols.python_symbols(f)
-    return symbols.called_by(s, symbols.import_edges(s, f)).withColumn("callers", F.array_join("callers", ","))
-
-
-@query()
-def symbol_essence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = python_files(spark)
-    s = symbols.python_symbols(f)
-    return symbols.essence(s, symbols.import_edges(s, f))
-
-
 @query("SELECT * FROM (VALUES ('report.sql', 'schema.sql', '<'), ('schema.sql', 'report.sql', '>'), ('views.sql', 'schema.sql', '<'), ('schema.sql', 'views.sql', '>')) t(src, dst, ch)")
 def sql_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.sql_lineage(extract.sql_tables(spark.createDataFrame(SQL_FILES, "path string, content string")))
