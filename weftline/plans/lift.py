@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import chars
@@ -43,33 +43,31 @@ nodes AS (
 """
 
 
-def edge_char() -> Column:
-    return F.expr(
-        "CASE WHEN l_linenumber % 7 = 0 THEN 'n' WHEN l_returnflag = 'R' THEN '<' WHEN l_returnflag = 'A' THEN '>' "
-        "WHEN l_linestatus = 'O' THEN CASE WHEN l_quantity > 45 THEN 'x' ELSE 'd' END WHEN l_linenumber % 2 = 0 THEN 'S' ELSE 's' END"
-    )
+#: What edges between two regions say; each pair of regions has a tone of its own, so that no character wins everywhere.
+TONES = ["nnss", "<<ds", ">>SS", "<>ss", "ssss", "ddSS", "xsss", "n<ss", "pSsn"]
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tracker, src, dst, ch, seq: suggestions between nations, with repeats and ties."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, sf_dir, "nation")  # 25 rows
+    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", F.col("n_regionkey").alias("c_region"))
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", F.col("n_regionkey").alias("s_region"))
     joined = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, l["l_suppkey"] == s["s_suppkey"])
-    return joined.where("c_nationkey <> s_nationkey").select(
-        F.col("o_orderpriority").alias("tracker"), F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), edge_char().alias("ch"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")
-    )
+    tone = F.array(*map(F.lit, TONES))[(F.col("c_region") * 2 + F.col("s_region") * 3) % len(TONES)]
+    ch = F.substr(tone, ((F.col("l_linenumber") + F.col("l_quantity").cast("int")) % 4 + 1).cast("int"), F.lit(1))
+    return joined.where("c_nationkey <> s_nationkey").select(F.col("o_orderpriority").alias("tracker"), F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), ch.alias("ch"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
 
 
 PRIO = "CASE {c} WHEN 'x' THEN 6 WHEN '<' THEN 5 WHEN '>' THEN 5 WHEN 'n' THEN 5 WHEN 'd' THEN 4 WHEN 'S' THEN 3 WHEN 's' THEN 2 WHEN 'p' THEN 1 WHEN 'o' THEN 1 ELSE 0 END"
-EDGES = """
+EDGES = f"""
 edges AS (
   SELECT o_orderpriority AS tracker, c_nationkey AS src, s_nationkey AS dst,
-         CASE WHEN l_linenumber % 7 = 0 THEN 'n' WHEN l_returnflag = 'R' THEN '<' WHEN l_returnflag = 'A' THEN '>'
-              WHEN l_linestatus = 'O' THEN CASE WHEN l_quantity > 45 THEN 'x' ELSE 'd' END WHEN l_linenumber % 2 = 0 THEN 'S' ELSE 's' END AS ch,
+         substr(({TONES})[1 + (a.n_regionkey * 2 + b.n_regionkey * 3) % {len(TONES)}], CAST((l_linenumber + CAST(l_quantity AS INT)) % 4 + 1 AS INT), 1) AS ch,
          l_orderkey * 8 + l_linenumber AS seq
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey
   WHERE c_nationkey <> s_nationkey
 )
 """
