@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.rounds import spool
+
 
 def assign_keys(paths: DataFrame, levels: int) -> DataFrame:
     """path, parent_path, is_dir -> key, path, parent_path, tier, is_dir, level by level.
@@ -66,6 +68,34 @@ def closure(nodes: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def deep_closure(nodes: DataFrame) -> DataFrame:
+    """ancestor, node, distance >= 1 for a tree of any depth, in about log2(depth) rounds.
+
+    After a round every node knows its ancestors up to a distance, and the one exactly there; the next round adds what
+    those know. Parents that are no node count as ancestors; a cycle of parents fails.
+    """
+    step = nodes.where("parent_path IS NOT NULL").select(F.col("path").alias("node"), F.col("parent_path").alias("ancestor"))
+    known = spool(step.select("node", "ancestor", F.lit(1).cast("long").alias("distance")), "closure")
+    most, reach = known.count(), 1
+    parts = [known]
+    while True:
+        far = parts[-1].where(F.col("distance") == reach).select("node", F.col("ancestor").alias("via"))
+        near = parts[0]
+        for p in parts[1:]:
+            near = near.unionByName(p)
+        new = spool(far.join(near.withColumnRenamed("node", "at"), F.col("via") == F.col("at")).select("node", "ancestor", (F.col("distance") + reach).alias("distance")), "closure")
+        reach *= 2
+        if new.isEmpty():
+            break
+        parts.append(new)
+        if reach > most and not new.where(F.col("distance") > most).isEmpty():  # longer than all steps together
+            raise ValueError("parents form a cycle")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("ancestor", "node", F.col("distance").cast("int").alias("distance"))
+
+
 def resolve(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """want, context -> want, context, path, status: exact key, else base key; several are told apart by their parent.
 

@@ -83,7 +83,7 @@ WITH {DIRS}, up AS (SELECT src, dst, ch FROM pe UNION ALL SELECT ancestor, dst,
 SELECT src, dst, {LATTICE} AS ch FROM up GROUP BY 1, 2 HAVING {LATTICE} <> 'p'
 """)
 def module_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = tree.closure(directories(spark, sf_dir), depth=2).select("ancestor", "node")
+    up = tree.deep_closure(directories(spark, sf_dir)).select("ancestor", "node")
     return merge.roll_up(path_edges(spark, sf_dir).select("src", "dst", "ch"), up)
 
 
@@ -96,7 +96,7 @@ SELECT sdir, tdir, CASE WHEN top IS NULL THEN 'n' WHEN lt AND gt THEN 'x' WHEN t
 def dir_pair_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = directories(spark, sf_dir).where("parent_path IS NULL").select("path")  # the project's top-level directories, 26 at most
     pairs = roots.select(F.col("path").alias("sdir")).join(F.broadcast(roots.select(F.col("path").alias("tdir"))), F.expr("sdir <> tdir"))
-    up = tree.closure(directories(spark, sf_dir), depth=2).select("ancestor", "node")
+    up = tree.deep_closure(directories(spark, sf_dir)).select("ancestor", "node")
     return merge.directory_pairs(pairs, path_edges(spark, sf_dir).select("src", "dst", "ch"), up)
 
 
@@ -149,7 +149,7 @@ WITH {NODES}, d AS (SELECT path, parent_path FROM nodes WHERE is_dir) SELECT pat
 """)
 def structural_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ancestors and descendants depend on each other where nothing else is known."""
-    up = tree.closure(directories(spark, sf_dir), depth=2)
+    up = tree.deep_closure(directories(spark, sf_dir))
     x = F.lit("x").alias("ch")
     return up.select(F.col("node").alias("src"), F.col("ancestor").alias("dst"), x).unionByName(up.select(F.col("ancestor").alias("src"), F.col("node").alias("dst"), x))
 

@@ -140,10 +140,28 @@ WITH RECURSIVE {NODES}, up AS (SELECT parent_path AS ancestor, path AS node, 1 A
 SELECT ancestor, count(*) AS descendants, count(*) FILTER (distance = 1) AS children, max(distance) AS depth FROM up GROUP BY ancestor
 """)
 def tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = tree.closure(lift.paths(spark, sf_dir), depth=3)
+    up = tree.deep_closure(lift.paths(spark, sf_dir))
     return up.groupBy("ancestor").agg(F.count(F.lit(1)).alias("descendants"), F.count_if(F.col("distance") == 1).alias("children"), F.max("distance").alias("depth"))
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT event_id AS node, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent FROM events),
+up AS (SELECT node, parent AS ancestor, 1 AS distance FROM e WHERE parent IS NOT NULL UNION ALL SELECT up.node, e.parent, up.distance + 1 FROM up JOIN e ON e.node = up.ancestor WHERE e.parent IS NOT NULL),
+above AS (SELECT node, count(*) AS ancestors, arg_max(ancestor, distance) AS root FROM up GROUP BY node), below AS (SELECT ancestor AS node, count(*) AS descendants FROM up GROUP BY ancestor)
+SELECT CAST(e.node AS VARCHAR) AS path, coalesce(ancestors, 0) AS ancestors, coalesce(descendants, 0) AS descendants, CAST(coalesce(root, e.node) AS VARCHAR) AS root FROM e LEFT JOIN above USING (node) LEFT JOIN below USING (node)
+""")
+def chain_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a chain, whose depth grows with the table: how many lie above and below each."""
+    e = lift.table(spark, sf_dir, "events")
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    nodes = e.select(F.col("event_id").cast("string").alias("path"), before.cast("string").alias("parent_path"))
+    up = tree.deep_closure(nodes)
+    above = up.groupBy(F.col("node").alias("a")).agg(F.count(F.lit(1)).alias("ancestors"), F.max_by("ancestor", "distance").alias("root"))
+    below = up.groupBy(F.col("ancestor").alias("b")).agg(F.count(F.lit(1)).alias("descendants"))
+    joined = nodes.join(above, F.col("path") == F.col("a"), "left").join(below, F.col("path") == F.col("b"), "left")
+    return joined.select("path", F.coalesce("ancestors", F.lit(0)).alias("ancestors"), F.coalesce("descendants", F.lit(0)).alias("descendants"), F.coalesce("root", "path").alias("root"))
+
+
 @query(f"WITH {NODES} SELECT path, parent_path AS module FROM nodes WHERE NOT is_dir")
 def file_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lift.paths(spark, sf_dir).where("NOT is_dir").select("path", F.col("parent_path").alias("module"))
