@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import scopes, scripts, symbols
+from weftline.operators import ddl, extract, scopes, scripts, symbols
+from weftline.operators.rounds import spool
 from weftline.plans import lift
 from weftline.plans.registry import query
 
@@ -260,3 +261,61 @@ def symbol_essence(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = python_files(spark, sf_dir)
     s = symbols.python_symbols(f)
     return symbols.essence(s, symbols.import_edges(s, f))
+
+
+#: By style: how a supplier's SQL file names another's table: inside the table's parentheses, and behind.
+INSIDE = ["r{b} BIGINT UNSIGNED NOT NULL DEFAULT (1 + (2)) REFERENCES s{b} (id) ON DELETE CASCADE,", 'k{b} INT CHECK (k{b} < 3 AND 2 > 1), "L{b}" map<string,decimal(5,2)>, CONSTRAINT fk{b} FOREIGN KEY (k{b}, "L{b}") REFERENCES [S{b}](id, other),', "", ""]
+BEHIND = ["", "", "ALTER TABLE ONLY main.S{a} ADD CONSTRAINT f{b} FOREIGN KEY (other) REFERENCES \"main\".\"S{b}\" (id), ADD COLUMN z{b} DECIMAL(3, 1);", "CREATE OR REPLACE VIEW v{a}_{b} AS WITH c AS (SELECT EXTRACT(year FROM d) FROM main.S{b}) SELECT * FROM c JOIN `S{b}` x ON c.id = x.id;"]
+TABLE = """/* create table no (id int); */ -- create table never (x int references s1)
+CREATE TABLE IF NOT EXISTS "main"."S{a}" (
+  id INT PRIMARY KEY, "the name, (x" VARCHAR(10) NOT NULL DEFAULT 'a, (b',
+  tags array<struct<k:int, v:map<string,decimal(5,2)>>>,
+{inside}
+  other double precision, PRIMARY KEY (id, other) -- last
+);
+{behind}
+INSERT INTO s{a} VALUES (1, 'from s1; join s2', $q$references s3 (id)$q$);
+"""
+
+
+def sql_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a table for each supplier, which names the suppliers of the next lines of its orders."""
+    suppliers = lift.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"))
+    l = lift.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("from"))
+    after = l.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - 1).alias("n"), F.col("from").alias("b"))
+    pairs = l.join(after, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n"))).where("from <> b").select("from", "b").distinct()
+    style = (F.col("from") + F.col("b")) % len(INSIDE)
+    text = lambda choices: F.filter(F.array_sort(F.collect_list(cased(style, [fill(c, a="from", b="b") if c else F.lit("") for c in choices]))), lambda x: x != "")
+    said = pairs.groupBy("from").agg(text(INSIDE).alias("inside"), text(BEHIND).alias("behind"))
+    joined = suppliers.join(said, F.col("a") == F.col("from"), "left")
+    lines = lambda c: F.coalesce(F.array_join(c, "\n"), F.lit(""))
+    return joined.select(F.concat(F.lit("/sql/s"), F.col("a").cast("string"), F.lit(".sql")).alias("path"), fill(TABLE, a="a", inside=lines("inside"), behind=lines("behind")).alias("content"))
+
+
+SQL = """
+pair AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b, (x.l_suppkey + y.l_suppkey) % 4 AS style FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber WHERE x.l_suppkey <> y.l_suppkey),
+file AS (SELECT s_suppkey AS a, '/sql/s' || s_suppkey || '.sql' AS path FROM supplier)
+"""
+
+
+@query(f"""WITH {SQL} SELECT path, 's' || a AS "table", unnest([{{'name': 'id', 'type': 'int', 'is_key': true}}, {{'name': 'the name, (x', 'type': 'varchar(10)', 'is_key': false}}, {{'name': 'tags', 'type': 'array<struct<k:int,v:map<string,decimal(5,2)>>>', 'is_key': false}}, {{'name': 'other', 'type': 'double precision', 'is_key': true}}], recursive := true) FROM file
+UNION ALL SELECT path, 's' || a, 'r' || b, 'bigint unsigned', false FROM pair JOIN file USING (a) WHERE style = 0
+UNION ALL SELECT path, 's' || a, 'k' || b, 'int', false FROM pair JOIN file USING (a) WHERE style = 1 UNION ALL SELECT path, 's' || a, 'l' || b, 'map<string,decimal(5,2)>', false FROM pair JOIN file USING (a) WHERE style = 1
+UNION ALL SELECT path, 's' || a, 'z' || b, 'decimal(3,1)', false FROM pair JOIN file USING (a) WHERE style = 2""")
+def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spool(ddl.facts(sql_files(spark, sf_dir)), "ddl")
+    keys = found.where("kind = 'key'").select(F.col("path").alias("p"), F.col("table").alias("t"), F.col("name").alias("n")).distinct()
+    columns = found.where("kind = 'column'").join(keys, (F.col("path") == F.col("p")) & (F.col("table") == F.col("t")) & (F.col("name") == F.col("n")), "left")
+    return columns.select("path", "table", "name", "type", F.col("p").isNotNull().alias("is_key"))
+
+
+@query(f"""WITH {SQL}, f AS (SELECT a, b, unnest(CASE style WHEN 0 THEN ['r' || b] WHEN 1 THEN ['k' || b, 'l' || b] WHEN 2 THEN ['other'] ELSE [] END) AS c FROM pair)
+SELECT s.path AS src, d.path AS dst, '<' AS ch, string_agg('s' || f.a || '.' || c, ',' ORDER BY c) AS columns FROM f JOIN file s ON s.a = f.a JOIN file d ON d.a = f.b GROUP BY s.path, d.path""")
+def ddl_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ddl.foreign_edges(spool(ddl.facts(sql_files(spark, sf_dir)), "ddl")).withColumn("columns", F.array_join("columns", ","))
+
+
+@query(f"""WITH {SQL}, e AS (SELECT s.path AS src, d.path AS dst FROM pair JOIN file s ON s.a = pair.a JOIN file d ON d.a = pair.b)
+SELECT src, dst, '<' AS ch FROM e UNION ALL SELECT dst, src, '>' FROM e""")
+def sql_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.sql_lineage(spool(ddl.tables(ddl.facts(sql_files(spark, sf_dir))), "ddl"))

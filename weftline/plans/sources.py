@@ -1,38 +1,37 @@
-"""Queries on source code, logs and trackers, over small inline inputs: the tables hold none of these."""
+"""Queries on connection maps, logs and trackers, written from the tables as their tools write them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import extract, symbols
+from weftline.operators import symbols
 from weftline.plans import lift, links
 from weftline.plans.registry import query
 from weftline.sources import logs, sinks, trackers
 
-SQL_FILES = [
-    ("schema.sql", "-- tables\nCREATE TABLE IF NOT EXISTS main.Users (id INT);\ncreate table \"Orders\" (id int references users);"),
-    ("report.sql", "SELECT * FROM users u JOIN main.orders o ON o.id = u.id /* FROM nothing */"),
-    ("views.sql", "CREATE OR REPLACE VIEW recent AS SELECT * FROM Orders"),
-]
+def rails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line, content: a line for each order, a rail for each of its suppliers, in text of other brackets."""
+    l = lift.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("s"), F.col("l_partkey").cast("string").alias("p"), F.col("l_quantity").cast("int").cast("string").alias("q"))
+    o = lift.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("path"))
+    target = F.concat(F.lit("f"), "p", F.lit(".x:"), F.when(F.col("q").cast("int") % 3 == 0, "?").otherwise(F.col("q")))
+    each = l.groupBy("l_orderkey", "s").agg(F.array_join(F.array_sort(F.collect_list(target)), "|").alias("targets"))
+    rail = F.concat(F.lit("[g"), "s", F.lit(" -> 2A"), "s", F.lit("#1:"), "targets", F.lit("]"))
+    said = each.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(rail)), " [no rail] ").alias("rails"))
+    joined = o.join(said, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select("path", F.col("o_orderkey").cast("int").alias("line"), F.concat(F.lit("see [this] "), F.coalesce("rails", F.lit("-> none"))).alias("content"))
 
 
-@query("SELECT * FROM (VALUES ('report.sql', 'schema.sql', '<'), ('schema.sql', 'report.sql', '>'), ('views.sql', 'schema.sql', '<'), ('schema.sql', 'views.sql', '>')) t(src, dst, ch)")
-def sql_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.sql_lineage(extract.sql_tables(spark.createDataFrame(SQL_FILES, "path string, content string")))
-
-
-RAILS = [("1A1", 3, "[run -> 2A1:helper:10|Base:?] text [stop -> 1A2:end:7]"), ("1A1", 9, "no rails"), ("1A2", 1, "[go -> 3X1#1:x.y:4]")]
-
-
-@query("SELECT path, CAST(line AS INT) AS line, source_symbol, target_key, target_symbol, CAST(target_line AS INT) AS target_line FROM (VALUES ('1A1', 3, 'run', '2A1', 'helper', 10), ('1A1', 3, 'run', '2A1', 'Base', NULL), ('1A1', 3, 'stop', '1A2', 'end', 7), ('1A2', 1, 'go', '3X1#1', 'x.y', 4)) t(path, line, source_symbol, target_key, target_symbol, target_line)")
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(o_orderkey AS INT) AS line, 'g' || l_suppkey AS source_symbol, '2A' || l_suppkey || '#1' AS target_key, 'f' || l_partkey || '.x' AS target_symbol,
+CASE WHEN CAST(l_quantity AS INT) % 3 <> 0 THEN CAST(l_quantity AS INT) END AS target_line FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.connection_edges(spark.createDataFrame(RAILS, "path string, line int, content string"))
+    return symbols.connection_edges(rails(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('run', '2A1', 'Base:?|helper:10'), ('stop', '1A2', 'end:7'), ('go', '3X1#1', 'x.y:4')) t(source_symbol, target_key, label)")
+@query("""SELECT 'g' || l_suppkey AS source_symbol, '2A' || l_suppkey || '#1' AS target_key, string_agg(DISTINCT t, '|' ORDER BY t) AS label
+FROM (SELECT l_suppkey, 'f' || l_partkey || '.x:' || CASE WHEN CAST(l_quantity AS INT) % 3 = 0 THEN '?' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY l_suppkey""")
 def symbol_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.connection_labels(symbols.connection_edges(spark.createDataFrame(RAILS, "path string, line int, content string")))
+    return symbols.connection_labels(symbols.connection_edges(rails(spark, sf_dir)))
 
 
 @query("""
@@ -62,18 +61,35 @@ def runtime_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.runtime_findings(s, refs)
 
 
-LOG = ["Suggesting '<' from /p/a.py to /p/b.py (confidence: 0.91)", "noise", "/p/c.md -> /p/d.py [d] score=0.5", "Suggesting 'x' from C:/p/e.py to C:/p/f.py (confidence: 0.75)"]
-SCANS = ['{"source": "/a", "target": "/b", "confidence": 0.5, "cycle": 1}', '{"source": "/a", "target": "/c", "confidence": 0.25, "cycle": 2', "garbage", '{"source": "/a"}']
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """value: what a run logs of each event, in both of its forms, between lines that say nothing."""
+    e = lift.table(spark, sf_dir, "events")
+    user, event, share = (F.col("user_id").cast("string"), F.col("event_id").cast("string"), (F.col("event_id") % 100).cast("int"))
+    score = F.concat(F.lit("0."), F.lpad(share.cast("string"), 2, "0"))
+    first = F.concat(F.lit("Suggesting '<' from C:/p/u"), user, F.lit(".py to /p/e"), event, F.lit(".py (confidence: "), score, F.lit(")"))
+    second = F.concat(F.lit("/p/u"), user, F.lit(".md -> /p/e"), event, F.lit(".py [d] score="), score)
+    return e.select(F.when(F.col("event_id") % 3 == 0, first).when(F.col("event_id") % 3 == 1, second).otherwise(F.concat(F.lit("nothing of "), event)).alias("value"))
 
 
-@query("SELECT source, target, ch, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('/p/a.py', '/p/b.py', '<', 0.91), ('/p/c.md', '/p/d.py', 'd', 0.5), ('C:/p/e.py', 'C:/p/f.py', 'x', 0.75)) t(source, target, ch, confidence)")
+@query("""SELECT CASE WHEN event_id % 3 = 0 THEN 'C:/p/u' || user_id || '.py' ELSE '/p/u' || user_id || '.md' END AS source, '/p/e' || event_id || '.py' AS target, CASE WHEN event_id % 3 = 0 THEN '<' ELSE 'd' END AS ch, CAST('0.' || lpad(CAST(event_id % 100 AS VARCHAR), 2, '0') AS DOUBLE) AS confidence
+FROM events WHERE event_id % 3 < 2""")
 def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.suggestions(spark.createDataFrame([(x,) for x in LOG], "value string"))
+    return logs.suggestions(log_lines(spark, sf_dir))
+
+
+def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """value: a JSON record for each event; some were cut before their end, some lack a field, some are no JSON."""
+    e = lift.table(spark, sf_dir, "events")
+    event = F.col("event_id").cast("string")
+    whole = F.concat(F.lit('{"source": "/u'), F.col("user_id").cast("string"), F.lit('", "target": "/e'), event, F.lit('", "confidence": 0.'), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"), F.lit(', "cycle": '), F.dayofmonth("ts").cast("string"))
+    kind = F.col("event_id") % 4
+    return e.select(F.when(kind == 0, F.concat(whole, F.lit("}"))).when(kind == 1, whole).when(kind == 2, F.concat(F.lit("garbage "), event)).otherwise(F.lit('{"source": "/a"}')).alias("value"))
 
 
-@query("SELECT source, target, CAST(confidence AS DOUBLE) AS confidence, CAST(cycle AS INT) AS cycle, state FROM (VALUES ('/a', '/b', 0.5, 1, 'ok'), ('/a', '/c', 0.25, 2, 'repaired'), (NULL, NULL, NULL, NULL, 'skipped'), (NULL, NULL, NULL, NULL, 'skipped')) t(source, target, confidence, cycle, state)")
+@query("""SELECT CASE WHEN k < 2 THEN '/u' || user_id END AS source, CASE WHEN k < 2 THEN '/e' || event_id END AS target, CASE WHEN k < 2 THEN CAST('0.' || lpad(CAST(event_id % 100 AS VARCHAR), 2, '0') AS DOUBLE) END AS confidence,
+CASE WHEN k < 2 THEN CAST(day(ts) AS INT) END AS cycle, (['ok', 'repaired', 'skipped', 'skipped'])[1 + k] AS state FROM (SELECT *, event_id % 4 AS k FROM events)""")
 def log_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.scans(spark.createDataFrame([(x,) for x in SCANS], "value string"))
+    return logs.scans(scan_lines(spark, sf_dir))
 
 
 @query(f"WITH {links.GRID} SELECT tracker, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, ch FROM full_grid WHERE src <> dst AND src > 0")
