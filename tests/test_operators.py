@@ -101,12 +101,6 @@ def test_roll_up_keeps_inside(spark):
     assert {(r.src, r.dst): r.ch for r in got} == {("/a/1", "/a/2"): "<", ("/a/1", "/b/1"): "<", ("/a/2", "/b/1"): ">", ("/a", "/b/1"): "x"}
 
 
-def test_stock_line_patterns(spark):
-    lines = spark.createDataFrame([(1, "# TODO x FIXME"), (2, "x = WIP TODO"), (3, "    pass"), (4, "fine")], "line int, content string")
-    got = {(r.line, r.label) for r in extract.scan_lines(lines).collect()}
-    assert got == {(1, "TODO"), (1, "FIXME"), (2, "WIP"), (3, "pass")}
-
-
 def test_trackers_round_trip(spark, tmp_path):
     d = spark.createDataFrame([("t", 0, "1A", "/a"), ("t", 1, "1B", "/b"), ("t", 2, "1C", "/c")], "tracker string, ord int, key string, path string")
     rows = spark.createDataFrame([("t", "1A", "o<d"), ("t", "1B", ">op"), ("t", "1C", "ppo")], "tracker string, key string, row string")

@@ -7,15 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import text
+
 # Attributes that refer to other files, by element.
 HTML_REFERENCES = (("a", "href", "link"), ("link", "href", "stylesheet"), ("script", "src", "script"), ("img", "src", "image"))
-#: Line patterns of the static scan: label, pattern. Parameters of ``scan_lines``.
+# Line patterns of the static scan (label, pattern), those that look at comments only, those that silence
+# all others of a comment, what is no placeholder, and the marks of comments by extension.
 LINE_PATTERNS = (
     ("TODO", r"(?i)TODO"), ("FIXME", r"(?i)FIXME"), ("WIP", r"(?i)WIP"), ("pass", r"^\s*pass\s*$"), ("NotImplementedError", r"NotImplementedError"),
     ("in a real", r"(?i)in a real"), ("for now", r"(?i)for now"), ("simplified", r"(?i)simplified"), ("placeholder", r"(?i)placeholder"),
 )
-#: A line that shows one of these says only that.
-ALONE = ("WIP", "wip")
+COMMENT_LABELS = ("TODO", "FIXME", "WIP", "in a real", "for now", "simplified", "placeholder")
+ALONE = ("WIP",)
+NO_PLACEHOLDER = r'(?i)_placeholder|placeholder_|sql\.Placeholder|placeholders\s*=|placeholder\s*=|placeholder\s*:|Placeholder\(\)|\.placeholder\.|"placeholder"'
+COMMENT_MARKS = {
+    ".py": "#", ".pyw": "#", ".js": "//", ".jsx": "//", ".ts": "//", ".tsx": "//", ".cs": "//", ".java": "//", ".cpp": "//", ".c": "//", ".h": "//", ".rs": "//", ".go": "//", ".swift": "//", ".kt": "//", ".sql": "--", ".lua": "--", ".rb": "#",
+    ".sh": "#", ".bash": "#", ".zsh": "#", ".yaml": "#", ".yml": "#", ".toml": "#", ".ini": "#;", ".cfg": "#;", ".r": "#", ".glsl": "//", ".hlsl": "//", ".md": "<!--", ".txt": "#",
+}
 # Tags of comments in any letter case, first match wins, with their tier.
 COMMENT_TAGS = (
     ("TODO", "incomplete"), ("FIXME", "incomplete"), ("WIP", "incomplete"), ("HACK", "incomplete"), ("XXX", "incomplete"), ("STUB", "incomplete"),
@@ -82,11 +90,30 @@ def sql_lineage(tables: DataFrame) -> DataFrame:
     return uses.select("src", "dst", F.lit("<").alias("ch")).unionByName(uses.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(">").alias("ch")))
 
 
-def scan_lines(rows: DataFrame, patterns: tuple = LINE_PATTERNS) -> DataFrame:
-    """id columns and line, content -> the same with ``label`` for each pattern that a line shows; one of ALONE says only that."""
-    hits = F.filter(F.array(*(F.when(F.col("content").rlike(p), F.lit(label)) for label, p in patterns)), lambda x: x.isNotNull())
-    only = F.coalesce(*(F.when(F.array_contains(hits, label), F.array(F.lit(label))) for label in ALONE), hits)
-    return rows.select("*", F.explode(only).alias("label"))
+def scan_lines(rows: DataFrame, path: Column, parsed: tuple[str, ...] = ()) -> DataFrame:
+    """id columns and line, content -> the same with type and subtype for each finding of a line.
+
+    Patterns of COMMENT_LABELS look at comment lines, the others at code. A comment that shows one of ALONE says only
+    that, as a Worklog. Files whose extension is in ``parsed`` leave stubs to their parser: no ``pass``, no
+    NotImplementedError, no one-line stubs here.
+    """
+    content, ext = F.col("content"), text.extension(path)
+    marks = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in COMMENT_MARKS.items() for x in kv)), F.regexp_extract(path, r"[^/]+(\.[^./]*)$", 1)), F.lit("#"))
+    bare = F.regexp_replace(content, r"^\s+", "")
+    comment = F.when(marks == "#;", bare.rlike("^[#;]")).otherwise(F.startswith(bare, marks))
+    left = ext.isin(*parsed) if parsed else F.lit(False)
+    alone = lambda label: F.when(F.lit(label in ALONE), F.lit(True)).otherwise(~content.rlike("|".join(f"(?:{p})" for name, p in LINE_PATTERNS if name in ALONE)))
+
+    def holds(label: str, pattern: str) -> Column:
+        hit = content.rlike(pattern) & (comment & alone(label) if label in COMMENT_LABELS else ~comment)
+        if label in ("pass", "NotImplementedError"):
+            hit = hit & ~left
+        return hit & ~content.rlike(NO_PLACEHOLDER) if label == "placeholder" else hit
+
+    found = lambda hit, kind, label: F.when(hit, F.struct(F.lit(kind).alias("type"), F.lit(label).alias("subtype")))
+    every = [found(holds(label, p), "Worklog" if label in ALONE else "Incomplete/Improper", label) for label, p in LINE_PATTERNS]
+    every.append(found(content.contains("def ") & content.contains("pass") & ~left, "Improper Implementation", "One-line stub"))
+    return rows.select("*", F.explode(F.filter(F.array(*every), lambda x: x.isNotNull())).alias("f")).select("*", "f.type", "f.subtype").drop("f")
 
 
 def comments(rows: DataFrame, mark: str, path_col: str) -> DataFrame:
@@ -149,3 +176,22 @@ def recover_lines(records: DataFrame, points: DataFrame, id_col: str = "doc_id")
     between = shift_p + (shift_q - shift_p) * (line - p["line"]) / F.greatest(q["line"] - p["line"], F.lit(1))
     shift = F.when(p.isNull() & q.isNull(), 0.0).when(p.isNull(), shift_q).when(q.isNull(), shift_p).otherwise(between)
     return j.select(id_col, "line", (line + F.bround(shift)).cast("int").alias("new_line"))
+
+
+def nearest_anchors(records: DataFrame, lines_: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """records (id, line, anchor) -> found: the line that holds the anchor nearest to the recorded one; the later of two as near.
+
+    White space around lines and anchors does not count; an empty anchor is nowhere. Each record meets the last line
+    of its text up to it and the first from it on, in one pass over the lines that hold the same.
+    """
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    asked = records.select(id_col, F.col("line").alias("at"), bare(F.col("anchor")).alias("said"), "anchor", F.lit(None).cast("int").alias("here"))
+    held = lines_.select(id_col, F.col("line").alias("at"), bare(F.col("content")).alias("said"), F.lit(None).cast("string").alias("anchor"), F.col("line").cast("int").alias("here"))
+    wanted = asked.where("said <> ''").select(F.col(id_col).alias("w_id"), F.col("said").alias("w_said")).distinct()
+    held = held.join(wanted, (held[id_col] == wanted["w_id"]) & (held["said"] == wanted["w_said"]), "left_semi")
+    w = Window.partitionBy(id_col, "said").orderBy("at")
+    both = asked.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False)))
+    both = both.withColumn("p", F.last("here", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("q", F.first("here", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    p, q, at = F.col("p"), F.col("q"), F.col("at")
+    found = F.when(F.col("said") == "", None).when(q.isNull(), p).when(p.isNull() | (q - at <= at - p), q).otherwise(p)
+    return both.where("asks").select(id_col, at.alias("line"), "anchor", found.alias("found"))

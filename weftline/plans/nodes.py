@@ -213,16 +213,56 @@ def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lift.table(spark, sf_dir, "pages").select("url", F.when(raw.isin("", "/"), "").otherwise(text.normal_path(messy)).alias("path"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), text.relative(F.col("url"), scheme).alias("tail"))
 
 
-@query("""
-WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x, ' '), '^(#+|//+)[ \\t]*', '\\1 ')), lambda x: x <> '') AS lines FROM documents)
-SELECT doc_id, sha256(array_to_string(lines, chr(10))) AS hash, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM l
+EXTENSIONS, PREFIXES = [".py", ".js", ".sql", ".md"], ["#", "//", "--", "<!--"]
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, content: documents as files of four kinds, between a tool's header, a tagged comment, and marks in code and strings."""
+    d = lift.table(spark, sf_dir, "documents")
+    kind = (F.col("doc_id") % 4).cast("int")
+    p = F.array(*map(F.lit, PREFIXES))[kind]
+    html = p == "<!--"
+    head = F.when(html, F.lit("<!-- --- STATION_HEADER_START --- [AUTO]\nROLE: x\n--- STATION_HEADER_END --- [AUTO] -->\r\n")).otherwise(F.concat(p, F.lit(" --- STATION_HEADER_START --- [AUTO]\n"), p, F.lit(" ROLE: x\n"), p, F.lit(" --- STATION_HEADER_END --- [AUTO]\r\n")))
+    content = F.concat(head, F.lit("   x = 1"), p, F.lit("note"), F.when(html, "-->").otherwise(""), F.lit("\r\n"), "text", F.lit('\n\ts = "a '), p, F.lit(' b"\n  '), p, F.lit(" map [AUTO]\n"))
+    return d.select("doc_id", F.concat(F.lit("src.d/f"), F.col("doc_id").cast("string"), F.array(*map(F.lit, EXTENSIONS))[kind]).alias("path"), content.alias("content"))
+
+
+def normal_lines(text_: str, p: str) -> str:
+    """DuckDB: the list of normalised lines of a text under a comment mark."""
+    bare = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    code, said = f"x[:strpos(x, {p}) - 1]", f"x[strpos(x, {p}) + length({p}):]"
+    closed = f"({p} = '<!--' AND regexp_matches({said}, '-->\\s*$'))"
+    even = lambda q: f"(length({code}) - length(replace({code}, '{q}', ''))) % 2 = 0"
+    inner = bare(f"CASE WHEN {closed} THEN regexp_replace({said}, '-->\\s*$', '') ELSE {said} END")
+    mended = f"CASE WHEN {bare(code)} = '' THEN {p} ELSE {bare(code)} || ' ' || {p} END || ' ' || {inner} || CASE WHEN {closed} THEN ' -->' ELSE '' END"
+    touched = f"strpos(x, {p}) > 0 AND ({p} = '<!--' OR {even(chr(39) * 2)} AND {even(chr(34))})"
+    lines = f"list_filter(list_transform(regexp_split_to_array({text_}, '\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {bare('x')}), lambda x: x <> '')"
+    return f"list_filter(list_transform({lines}, lambda x: {bare(f'CASE WHEN {touched} THEN {mended} ELSE x END')}), lambda x: x <> '')"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, text, ({PREFIXES})[1 + doc_id % 4] AS p FROM documents),
+l AS (SELECT doc_id, text, p, {normal_lines('text', 'p')} AS lines FROM d)
+SELECT doc_id, sha256(array_to_string(list_concat(['x = 1 ' || p || ' note' || CASE WHEN p = '<!--' THEN ' -->' ELSE '' END], lines, ['s = "a ' || p || ' b"']), chr(10))) AS hash, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM l
 """)
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lift.table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"), text.tokens(F.col("text")).alias("tokens"))
+    """Hashes of files by their kind's comment mark, without what tools wrote."""
+    files = source_files(spark, sf_dir).join(lift.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return files.select("doc_id", text.content_hash(F.col("content"), F.col("path")).alias("hash"), text.tokens(F.col("text")).alias("tokens"))
 
 
-@query("""
-WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x, ' '), '^(#+|//+)[ \\t]*', '\\1 ')), lambda x: x <> '') AS lines FROM documents)
+@query(f"""
+WITH d AS (SELECT doc_id, '   x = 1' || p || 'note' || CASE WHEN p = '<!--' THEN '-->' ELSE '' END || chr(13) || chr(10) || text || chr(10) || chr(9) || 's = "a ' || p || ' b"' || chr(10) AS rest FROM (SELECT doc_id, text, ({PREFIXES})[1 + doc_id % 4] AS p FROM documents))
+SELECT doc_id, sha256(repeat(chr(10), 3) || rest || chr(10)) AS with_lines, sha256(rest) AS without_lines FROM d
+""")
+def auto_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a tool's blocks, once with their line numbers kept."""
+    told = lambda keep: F.sha2(text.strip_auto(F.col("content"), F.col("path"), keep), 256)
+    return source_files(spark, sf_dir).select("doc_id", told(True).alias("with_lines"), told(False).alias("without_lines"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, {normal_lines('text', "'#'")} AS lines FROM documents)
 SELECT sha256(array_to_string(lines, chr(10))) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM l GROUP BY 1 HAVING count(*) > 1
 """)
 def hash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import extract
+from weftline.functions import text
+from weftline.operators import batches, extract
 from weftline.plans import lift
 from weftline.plans.registry import query
 
@@ -85,17 +86,36 @@ def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.json_keys(lift.table(spark, sf_dir, "events"), "event_id", "props")
 
 
-SCAN = (("article", r"^(The|Le|Der|El|La) "), ("short", r"^.{1,30}$"), ("table", r" \| "), ("symbols", r"[#%*$&]{3}"), ("wip", r"^Von\.?$"))
+MARKS = ["#", "//", "--", "<!--"]
+SOURCE = """
+k AS (SELECT doc_id, line, p, ext, CASE line % 8 WHEN 1 THEN '  ' || p || ' TODO ' || content WHEN 2 THEN 'x = 1 ' || p || ' FIXME ' || content WHEN 3 THEN p || ' wip placeholder' WHEN 4 THEN '  pass' WHEN 5 THEN 'raise NotImplementedError(1)' WHEN 6 THEN p || ' a placeholder_x, Simplified for now'
+  WHEN 7 THEN 'def f(): pass' ELSE content END AS content FROM (SELECT *, (['#', '//', '--', '<!--'])[1 + doc_id % 4] AS p, (['.py', '.js', '.sql', '.md'])[1 + doc_id % 4] AS ext FROM l)),
+m AS (SELECT *, starts_with(regexp_replace(content, '^\\s+', ''), p) AS c, regexp_matches(content, '(?i)WIP') AS wip FROM k)
+"""
+EXCLUDED = r'(?i)_placeholder|placeholder_|sql\.Placeholder|placeholders\s*=|placeholder\s*=|placeholder\s*:|Placeholder\(\)|\.placeholder\.|"placeholder"'
 
 
 @query(f"""
-WITH {LINES}, m AS (SELECT *, list_filter([CASE WHEN regexp_matches(content, '^(The|Le|Der|El|La) ') THEN 'article' END, CASE WHEN length(content) BETWEEN 1 AND 30 THEN 'short' END, CASE WHEN contains(content, ' | ') THEN 'table' END,
-  CASE WHEN regexp_matches(content, '[#%*$&]{{3}}') THEN 'symbols' END, CASE WHEN regexp_matches(content, '^Von\\.?$') THEN 'wip' END], lambda x: x IS NOT NULL) AS hits FROM l)
-SELECT doc_id, line, unnest(CASE WHEN list_contains(hits, 'wip') THEN ['wip'] ELSE hits END) AS label FROM m
+WITH {LINES}, {SOURCE}, t AS (SELECT doc_id, line, unnest(list_filter([
+  CASE WHEN c AND NOT wip AND regexp_matches(content, '(?i)TODO') THEN 'TODO' END, CASE WHEN c AND NOT wip AND regexp_matches(content, '(?i)FIXME') THEN 'FIXME' END, CASE WHEN c AND wip THEN 'WIP' END,
+  CASE WHEN NOT c AND ext <> '.js' AND regexp_matches(content, '^\\s*pass\\s*$') THEN 'pass' END, CASE WHEN NOT c AND ext <> '.js' AND contains(content, 'NotImplementedError') THEN 'NotImplementedError' END,
+  CASE WHEN c AND NOT wip AND regexp_matches(content, '(?i)in a real') THEN 'in a real' END, CASE WHEN c AND NOT wip AND regexp_matches(content, '(?i)for now') THEN 'for now' END, CASE WHEN c AND NOT wip AND regexp_matches(content, '(?i)simplified') THEN 'simplified' END,
+  CASE WHEN c AND NOT wip AND regexp_matches(content, '(?i)placeholder') AND NOT regexp_matches(content, '{EXCLUDED}') THEN 'placeholder' END,
+  CASE WHEN ext <> '.js' AND contains(content, 'def ') AND contains(content, 'pass') THEN 'One-line stub' END], lambda x: x IS NOT NULL)) AS subtype FROM m)
+SELECT doc_id, line, CASE subtype WHEN 'WIP' THEN 'Worklog' WHEN 'One-line stub' THEN 'Improper Implementation' ELSE 'Incomplete/Improper' END AS type, subtype FROM t
 """)
 def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The static scan with patterns that these documents do show."""
-    return extract.scan_lines(doc_lines(spark, sf_dir), SCAN).drop("content")
+    """The static scan of documents as files of four kinds, one of which has a parser for stubs."""
+    m, c = F.col("line") % 8, F.col("content")
+    kind = (F.col("doc_id") % 4).cast("int")
+    p = F.array(*map(F.lit, MARKS))[kind]
+    said = (
+        F.when(m == 1, F.concat(F.lit("  "), p, F.lit(" TODO "), c)).when(m == 2, F.concat(F.lit("x = 1 "), p, F.lit(" FIXME "), c)).when(m == 3, F.concat(p, F.lit(" wip placeholder"))).when(m == 4, "  pass")
+        .when(m == 5, "raise NotImplementedError(1)").when(m == 6, F.concat(p, F.lit(" a placeholder_x, Simplified for now"))).when(m == 7, "def f(): pass").otherwise(c)
+    )
+    rows = doc_lines(spark, sf_dir).select("doc_id", "line", said.alias("content"))
+    path = F.concat(F.lit("f"), F.array(*map(F.lit, [".py", ".js", ".sql", ".md"]))[kind])
+    return extract.scan_lines(rows, path, parsed=(".js",)).drop("content")
 
 
 @query(f"""
@@ -161,3 +181,39 @@ def top_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent names of each module, by count then name."""
     n = lift.table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lang")).cast("long")).where("rank <= 3")
+
+
+@query(f"""
+WITH {LINES}, r AS (SELECT doc_id, CAST(line + (line * 7 + doc_id) % 11 - 5 AS INT) AS line, '  ' || content AS anchor FROM l WHERE line % 3 = 0 UNION ALL SELECT doc_id, 5, 'nowhere at all' FROM documents UNION ALL SELECT doc_id, 3, ' ' FROM documents),
+near AS (SELECT r.doc_id, r.line, r.anchor, arg_min(l.line, {{'d': abs(l.line - r.line), 'l': -l.line}}) AS found FROM r JOIN l ON l.doc_id = r.doc_id AND regexp_replace(l.content, '^\\s+|\\s+$', '', 'g') = regexp_replace(r.anchor, '^\\s+|\\s+$', '', 'g') WHERE regexp_replace(r.anchor, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY ALL)
+SELECT r.doc_id, r.line, r.anchor, CAST(found AS INT) AS found FROM r LEFT JOIN near ON near.doc_id = r.doc_id AND near.line = r.line AND near.anchor = r.anchor
+""")
+def anchor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third line looked for from where it does not stand; lines that documents repeat are found nearest."""
+    lines = doc_lines(spark, sf_dir)
+    moved = (F.col("line") + (F.col("line") * 7 + F.col("doc_id")) % 11 - 5).cast("int")
+    records = lines.where("line % 3 = 0").select("doc_id", moved.alias("line"), F.concat(F.lit("  "), "content").alias("anchor"))
+    d = lift.table(spark, sf_dir, "documents")
+    records = records.unionByName(d.select("doc_id", F.lit(5).alias("line"), F.lit("nowhere at all").alias("anchor"))).unionByName(d.select("doc_id", F.lit(3).alias("line"), F.lit(" ").alias("anchor")))
+    return extract.nearest_anchors(records, lines)
+
+
+def rerank_cap(length: int) -> int:
+    """Texts of a length that 4 GB hold at once, 50 at most."""
+    return max(1, min(50, int((4.0 - 0.5) // ((30 + length / 1000 * 120) / 1024))))
+
+
+CAP = "CAST(greatest(1, least(50, floor(3.5 / ((30 + {x} / 1000 * 120) / 1024)))) AS BIGINT)"
+
+
+@query(f"""
+WITH RECURSIVE i AS (SELECT source AS grp, doc_id AS id, CAST(floor(length(text) / 4) AS BIGINT) AS length, row_number() OVER (PARTITION BY source ORDER BY floor(length(text) / 4), doc_id) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM documents),
+t AS (SELECT i.grp, i.rank AS s, least(i.rank + {CAP.format(x='i.length')}, i.n) AS e FROM i),
+step AS (SELECT t.grp, s, least(e, s + {CAP.format(x='last.length')}) AS e FROM t JOIN i last ON last.grp = t.grp AND last.rank = t.e - 1),
+b AS (SELECT grp, 0::BIGINT AS batch, s, e FROM step WHERE s = 0 UNION ALL SELECT step.grp, b.batch + 1, step.s, step.e FROM b JOIN step ON step.grp = b.grp AND step.s = b.e)
+SELECT i.grp, i.id, i.length, b.batch FROM i JOIN b ON b.grp = i.grp AND i.rank >= b.s AND i.rank < b.e
+""")
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source in batches for a model of 4 GB."""
+    d = lift.table(spark, sf_dir, "documents")
+    return batches.pack_by_length(d.select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), text.tokens(F.col("text")).cast("long").alias("length")), rerank_cap)
