@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IMPORTED = "path string, scope string, module string, level int, place int"
+IMPORTED = "path string, scope string, module string, item string, level int, place int"
 
 
 def imported_names(path: str, content: str | None) -> list[tuple]:
@@ -21,9 +21,9 @@ def imported_names(path: str, content: str | None) -> list[tuple]:
     rows: list[tuple] = []
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
-            rows += [(path, a.asname or a.name, a.name, 0, len(rows) + i) for i, a in enumerate(node.names)]
+            rows += [(path, a.asname or a.name, a.name, "", 0, len(rows) + i) for i, a in enumerate(node.names)]
         elif isinstance(node, ast.ImportFrom):
-            rows += [(path, a.asname or a.name, node.module or "", node.level, len(rows) + i) for i, a in enumerate(node.names)]
+            rows += [(path, a.asname or a.name, node.module or "", a.name, node.level, len(rows) + i) for i, a in enumerate(node.names)]
     return rows
 
 
@@ -44,7 +44,7 @@ def _joined(*parts: Column) -> Column:
 
 
 def import_scopes(names: DataFrame, files: DataFrame, roots: Sequence[str] = ("",)) -> DataFrame:
-    """path, scope, dst: the file of the module that each imported name of a file leads to.
+    """path, scope, dst, item: the file of the module that each imported name of a file leads to, and what is taken from it ('' for the module).
 
     ``from m import x`` binds x to the file of m, whether x is a name in it or a module below. A relative module starts
     at the importing file's folder, one folder higher for each dot after the first; dots that climb above the project
@@ -55,15 +55,15 @@ def import_scopes(names: DataFrame, files: DataFrame, roots: Sequence[str] = (""
     parts = F.filter(F.split(folder, "/"), lambda x: x != "")
     depth = F.size(parts) - F.col("level") + 1
     inside = F.regexp_replace("module", r"\.", "/")
-    near = names.where("level > 0").where(depth >= 0).select("path", "scope", "place", "module", F.array(F.struct(F.lit(0).alias("k"), _joined(F.array_join(F.slice(parts, 1, depth), "/"), inside).alias("base"))).alias("bases"))
-    far = names.where("level = 0 AND module <> ''").select("path", "scope", "place", "module", F.array(*(F.struct(F.lit(i).alias("k"), _joined(F.lit(r), inside).alias("base")) for i, r in enumerate(roots))).alias("bases"))
-    based = near.unionByName(far).select("path", "scope", "place", "module", F.explode("bases").alias("b"))
+    near = names.where("level > 0").where(depth >= 0).select("path", "scope", "place", "module", "item", F.array(F.struct(F.lit(0).alias("k"), _joined(F.array_join(F.slice(parts, 1, depth), "/"), inside).alias("base"))).alias("bases"))
+    far = names.where("level = 0 AND module <> ''").select("path", "scope", "place", "module", "item", F.array(*(F.struct(F.lit(i).alias("k"), _joined(F.lit(r), inside).alias("base")) for i, r in enumerate(roots))).alias("bases"))
+    based = near.unionByName(far).select("path", "scope", "place", "module", "item", F.explode("bases").alias("b"))
     module, package = F.when(F.col("module") != "", F.concat("b.base", F.lit(".py"))), F.when(F.col("b.base") == "", "__init__.py").otherwise(F.concat("b.base", F.lit("/__init__.py")))
-    tried = based.select("path", "scope", "place", "b.k", F.posexplode(F.array(module, package)).alias("j", "dst"))
+    tried = based.select("path", "scope", "place", "item", "b.k", F.posexplode(F.array(module, package)).alias("j", "dst"))
     known = files.select(F.col("path").alias("file")).distinct()
     hit = tried.join(known, tried["dst"] == known["file"])
-    first = hit.groupBy("path", "scope", "place").agg(F.min_by("dst", F.struct("k", "j")).alias("dst"))
-    return first.groupBy("path", "scope").agg(F.max_by("dst", "place").alias("dst"))
+    first = hit.groupBy("path", "scope", "place", "item").agg(F.min_by("dst", F.struct("k", "j")).alias("dst"))
+    return first.groupBy("path", "scope").agg(F.max_by(F.struct("dst", "item"), "place").alias("d")).select("path", "scope", "d.dst", "d.item")
 
 
 def prefixes(name: Column) -> Column:
@@ -73,9 +73,9 @@ def prefixes(name: Column) -> Column:
 
 
 def resolve_names(refs: DataFrame, scopes: DataFrame) -> DataFrame:
-    """refs (path, name) -> path, name, dst, rest: the file that the longest imported prefix stands for, and what follows the prefix."""
+    """refs (path, name) -> path, name, dst, item, rest: what the longest imported prefix stands for, and what follows the prefix."""
     tried = refs.where("name <> ''").select("path", "name").distinct().select("path", "name", F.explode(prefixes(F.col("name"))).alias("prefix"))
-    s = scopes.select(F.col("path").alias("s_path"), F.col("scope").alias("s_scope"), "dst")
+    s = scopes.select(F.col("path").alias("s_path"), F.col("scope").alias("s_scope"), "dst", F.col("item") if "item" in scopes.columns else F.lit("").alias("item"))
     hit = tried.join(s, (F.col("path") == F.col("s_path")) & (F.col("prefix") == F.col("s_scope")))
-    best = hit.groupBy("path", "name").agg(F.max_by(F.struct("dst", "prefix"), F.length("prefix")).alias("h"))
-    return best.select("path", "name", "h.dst", F.expr("substring(name, length(h.prefix) + 2)").alias("rest"))
+    best = hit.groupBy("path", "name").agg(F.max_by(F.struct("dst", "item", "prefix"), F.length("prefix")).alias("h"))
+    return best.select("path", "name", "h.dst", "h.item", F.expr("substring(name, length(h.prefix) + 2)").alias("rest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import ddl, extract, scopes, scripts, symbols
+from weftline.operators import ddl, extract, members, scopes, scripts, symbols
 from weftline.operators.rounds import spool
 from weftline.plans import lift
 from weftline.plans.registry import query
@@ -198,7 +198,7 @@ uses AS (SELECT pa.brand || '/p' || a || '.py' AS path, b AS k, pb.brand AS b, s
 CASE WHEN style IN (3, 5) THEN package ELSE file END AS dst FROM uses WHERE style < 6""")
 def py_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = python_files(spark, sf_dir)
-    return scopes.import_scopes(scopes.imported(files), files)
+    return scopes.import_scopes(scopes.imported(files), files).drop("item")
 
 
 @query(f"""WITH {PYTHON} SELECT DISTINCT path, CASE style WHEN 0 THEN b || '.p' || k || '.f' || k WHEN 1 THEN 'm' || k || '.f' || k WHEN 2 THEN 'f' || k WHEN 3 THEN 'p' || k || '.f' || k WHEN 4 THEN 'C' || k ELSE b || '.other.thing' END AS name,
@@ -207,7 +207,7 @@ def py_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dotted names of calls, bases and types, by the longest prefix that the file imports."""
     files = python_files(spark, sf_dir)
     used = symbols.python_symbols(files).where("kind IN ('call', 'base', 'type')")
-    return scopes.resolve_names(used.select("path", "name"), scopes.import_scopes(scopes.imported(files), files))
+    return scopes.resolve_names(used.select("path", "name"), scopes.import_scopes(scopes.imported(files), files)).drop("item")
 
 
 SYMBOLS = f"""{PYTHON},
@@ -319,3 +319,42 @@ def ddl_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT src, dst, '<' AS ch FROM e UNION ALL SELECT dst, src, '>' FROM e""")
 def sql_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.sql_lineage(spool(ddl.tables(ddl.facts(sql_files(spark, sf_dir))), "ddl"))
+
+
+def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a class for each part, which extends that of the least part below it on a neighbouring line."""
+    p = lift.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lower(F.regexp_replace("p_brand", r"\W", "")).alias("brand"))
+    parent = part_pairs(spark, sf_dir).where("b < a").groupBy("a").agg(F.min("b").alias("b"))
+    other = p.select(F.col("k").alias("b_k"), F.col("brand").alias("b_brand"))
+    joined = p.join(parent.join(other, F.col("b") == F.col("b_k")), F.col("k") == F.col("a"), "left")
+    first = cased(F.col("k") % 3, [fill(t, b="b_brand", k="b") for t in ("from {b}.p{k} import C{k} as Base", "import {b}.p{k} as Base", "from ..{b} import p{k} as Base")])
+    base = cased(F.col("k") % 3, [F.lit("Base"), fill("Base.C{k}", k="b"), fill("Base.C{k}", k="b")])
+    body = fill("\n    def run{m}(self):\n        pass\n    def __init__(self):\n        self.at{n}: int = 1\n", m=F.col("k") % 7, n=F.col("k") % 5)
+    text = F.when(F.col("a").isNull(), F.concat(fill("class C{k}:", k="k"), body)).otherwise(F.concat(first, fill("\nclass C{k}(", k="k"), base, F.lit("):"), body))
+    modules = joined.select(F.concat("brand", F.lit("/p"), F.col("k").cast("string"), F.lit(".py")).alias("path"), text.alias("content"))
+    return modules.unionByName(p.select("brand").distinct().select(F.concat("brand", F.lit("/__init__.py")).alias("path"), F.lit("").alias("content")))
+
+
+CLASSES = f"""{PYTHON}, parent AS (SELECT a, min(b) AS b FROM pair WHERE b < a GROUP BY a),
+up AS (SELECT k AS node, k AS anc, 0 AS d FROM p UNION ALL SELECT up.node, parent.b, d + 1 FROM up JOIN parent ON parent.a = up.anc),
+named AS (SELECT p.k, brand || '/p' || p.k || '.py' AS path FROM p)
+"""
+
+
+@query(f"""WITH RECURSIVE {CLASSES} SELECT n.path, 'C' || node AS class, string_agg(a.path || ':C' || anc, ' ' ORDER BY d) AS mro FROM up JOIN named n ON n.k = node JOIN named a ON a.k = anc GROUP BY n.path, node""")
+def class_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which each class is searched for members, across files."""
+    orders = members.orders(members.classes(class_files(spark, sf_dir)), class_files(spark, sf_dir))
+    return orders.select("path", "class", F.array_join("mro", " ").alias("mro"))
+
+
+@query(f"""WITH RECURSIVE {CLASSES}, asked AS (SELECT k, unnest(['run' || (k + 1) % 7, 'at' || (k + 2) % 5, '__init__']) AS member FROM p),
+hit AS (SELECT asked.k, asked.member, arg_min(a.path || ':C' || anc, d) AS owner FROM asked JOIN up ON up.node = asked.k JOIN named a ON a.k = anc WHERE asked.member IN ('run' || anc % 7, 'at' || anc % 5, '__init__') GROUP BY ALL)
+SELECT n.path, 'C' || asked.k AS class, asked.member, CASE WHEN owner IS NULL THEN 'absent' ELSE 'member' END AS status, owner FROM asked JOIN named n ON n.k = asked.k LEFT JOIN hit ON hit.k = asked.k AND hit.member = asked.member""")
+def class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which class each member of a class comes from."""
+    found = members.classes(class_files(spark, sf_dir))
+    p = lift.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lower(F.regexp_replace("p_brand", r"\W", "")).alias("brand"))
+    asked = F.explode(F.array(fill("run{m}", m=(F.col("k") + 1) % 7), fill("at{m}", m=(F.col("k") + 2) % 5), F.lit("__init__")))
+    refs = p.select(F.concat("brand", F.lit("/p"), F.col("k").cast("string"), F.lit(".py")).alias("path"), fill("C{k}", k="k").alias("class"), asked.alias("member"))
+    return members.lookup(refs, found, members.orders(found, class_files(spark, sf_dir)))
