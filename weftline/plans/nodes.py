@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import chars, keys, text
-from weftline.operators import tree
+from weftline.operators import layout, tree
 from weftline.plans import lift
 from weftline.plans.lift import NODES
 from weftline.plans.registry import query
@@ -274,3 +274,37 @@ def hash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("p_size") * 977
     return lift.table(spark, sf_dir, "part").select("p_partkey", s.alias("seconds"), text.duration(s).alias("took"))
+
+
+def _up(level: str, of: str, name: str) -> str:
+    """DuckDB: sizes of the parents of one level's boxes (``of``: path, parent, col, w, h)."""
+    return f"""{level}c AS (SELECT parent, col, max(w) AS w, sum(h) + (count(*) - 1) * 28.0 AS h FROM {of} GROUP BY ALL),
+{name} AS (SELECT parent AS path, sum(w) + 40.0 + (count(*) - 1) * 100.0 AS w, max(h + (col % 2) * 34.0) + 60.0 AS h FROM {level}c GROUP BY parent)"""
+
+
+def _off(of: str, name: str) -> str:
+    """DuckDB: places inside their parents."""
+    return f"""{name}w AS (SELECT parent, col, max(w) AS cw FROM {of} GROUP BY ALL),
+{name}l AS (SELECT *, coalesce(sum(cw + 100.0) OVER (PARTITION BY parent ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM {name}w),
+{name} AS (SELECT b.*, CASE WHEN parent IS NULL THEN 32.0 + l + (max(w) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - w) / 2 ELSE 20.0 + l + (cw - w) / 2 END AS dx,
+  CASE WHEN parent IS NULL THEN 32.0 ELSE 44.0 END + (col % 2) * 34.0 + coalesce(sum(h + CASE WHEN parent IS NULL THEN 80.0 ELSE 28.0 END) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dy
+  FROM (SELECT b.*, l, cw FROM {of} b JOIN {name}l ON b.parent IS NOT DISTINCT FROM {name}l.parent AND b.col = {name}l.col) b WINDOW q AS (PARTITION BY parent, col ORDER BY pos))"""
+
+
+@query(f"""
+WITH {NODES}, s AS (SELECT path, parent_path AS parent, is_dir, key, regexp_extract(key, '^[0-9]+([A-Z])', 1) AS letter, regexp_extract(path, '[^/]+$') AS label FROM nodes),
+i AS (SELECT *, row_number() OVER (PARTITION BY parent, letter ORDER BY key, path) - 1 AS i, count(*) OVER (PARTITION BY parent, letter) AS n FROM s),
+sub AS (SELECT *, CASE WHEN n > 9 THEN CAST(floor(i / ceil(n / ceil(n / 9))) AS INT) ELSE 0 END AS sub FROM i),
+c AS (SELECT path, parent, is_dir, greatest(120.0, length(label) * 7.0 + 24.0) AS w0, row_number() OVER (PARTITION BY parent, letter, sub ORDER BY key, path) - 1 AS pos, dense_rank() OVER (PARTITION BY parent ORDER BY letter, sub) - 1 AS col FROM sub),
+files AS (SELECT path, parent, is_dir, pos, col, w0 AS w, 40.0 AS h FROM c WHERE NOT is_dir), {_up('f', 'files', 'fs')},
+dirs AS (SELECT c.path, parent, is_dir, pos, col, coalesce(fs.w, w0) AS w, coalesce(fs.h, 68.0) AS h FROM c LEFT JOIN fs USING (path) WHERE is_dir AND parent IS NOT NULL), {_up('d', 'dirs', 'ds')},
+roots AS (SELECT c.path, parent, is_dir, pos, col, coalesce(ds.w, w0) AS w, coalesce(ds.h, 68.0) AS h FROM c LEFT JOIN ds USING (path) WHERE parent IS NULL),
+{_off('files', 'fo')}, {_off('dirs', 'dof')}, {_off('roots', 'ro')},
+a AS (SELECT path, parent, is_dir, dx AS x, dy AS y, w, h FROM ro), b AS (SELECT dof.path, dof.parent, dof.is_dir, a.x + dx AS x, a.y + dy AS y, dof.w, dof.h FROM dof JOIN a ON a.path = dof.parent),
+e AS (SELECT fo.path, fo.parent, fo.is_dir, b.x + dx AS x, b.y + dy AS y, fo.w, fo.h FROM fo JOIN b ON b.path = fo.parent)
+SELECT path, parent, is_dir, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(w AS DOUBLE) AS width, CAST(h AS DOUBLE) AS height FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM e)
+""")
+def diagram_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the whole tree, files in columns of nine."""
+    n = lift.nodes(spark, sf_dir)
+    return layout.layout(n.select("path", F.col("parent_path").alias("parent"), "is_dir", "key", F.regexp_extract("path", "([^/]+)$", 1).alias("label")))
