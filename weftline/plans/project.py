@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import ddl, extract, members, scopes, scripts, symbols
+from weftline.operators import analyse, ddl, extract, members, scopes, scripts, symbols
 from weftline.operators.rounds import spool
 from weftline.plans import lift
 from weftline.plans.registry import query
@@ -358,3 +358,36 @@ def class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.explode(F.array(fill("run{m}", m=(F.col("k") + 1) % 7), fill("at{m}", m=(F.col("k") + 2) % 5), F.lit("__init__")))
     refs = p.select(F.concat("brand", F.lit("/p"), F.col("k").cast("string"), F.lit(".py")).alias("path"), fill("C{k}", k="k").alias("class"), asked.alias("member"))
     return members.lookup(refs, found, members.orders(found, class_files(spark, sf_dir)))
+
+
+def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scripts, Python modules and SQL files."""
+    return script_files(spark, sf_dir).unionByName(python_files(spark, sf_dir)).unionByName(sql_files(spark, sf_dir))
+
+
+PROJECT = f"""{SCRIPTS}, {PYTHON.replace("uses AS", "py AS")}, {SQL},
+found AS (SELECT src, dst FROM used WHERE style < 5 OR style = 6
+  UNION SELECT path, CASE WHEN style = 5 THEN package ELSE py.file END FROM py WHERE style < 6
+  UNION SELECT s.path, d.path FROM link JOIN file s ON s.a = link.a JOIN file d ON d.a = link.b),
+both_ways AS (SELECT src, dst, '<' AS ch FROM found UNION SELECT dst, src, '>' FROM found),
+cell AS (SELECT src, dst, CASE WHEN count(*) = 2 THEN 'x' ELSE min(ch) END AS ch FROM both_ways GROUP BY src, dst)
+""".replace("pair AS (SELECT DISTINCT x.l_suppkey", "link AS (SELECT DISTINCT x.l_suppkey")
+
+
+@query(f"WITH {PROJECT} SELECT regexp_replace(src, '/[^/]*$', '') AS tracker, src, dst, ch FROM cell")
+def analyze_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files of all languages to the cells of each folder's tracker."""
+    return analyse.cells(analyse.edges(spool(project_files(spark, sf_dir), "files"), configs(spark, sf_dir)))
+
+
+@query("""SELECT '/java/Part' || p_partkey || '.java' AS path, 13 AS n_lines, 'call=2,class=3,constructor=1,import=2,method=2,package=1' AS facts FROM part
+UNION ALL SELECT 'brand' || regexp_replace(p_brand, '\\D', '', 'g') || '/__init__.py', 1, '' FROM part GROUP BY p_brand""")
+def analyze_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of single files: Java classes, and packages that hold nothing."""
+    p = lift.table(spark, sf_dir, "part")
+    brand = F.regexp_replace("p_brand", r"\W", "")
+    java = p.select(F.concat(F.lit("/java/Part"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("path"), fill(JAVA, brand=brand, size="p_size", k="p_partkey").alias("content"))
+    packages = p.select(F.concat(F.lower(brand), F.lit("/__init__.py")).alias("path"), F.lit("").alias("content")).distinct()
+    s = analyse.summary(java.unionByName(packages))
+    wanted = F.filter(F.map_entries("facts"), lambda e: ~e["key"].isin("comment", "literal"))
+    return s.select("path", "n_lines", F.array_join(F.transform(wanted, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("facts"))
