@@ -185,6 +185,25 @@ def test_hostile_media(spark):
     assert b"uncC" in good and b"cmpd" in good
 
 
+def test_key_frames_tracks_and_fragments():
+    good = media.mux(media.padded(b"x" * 1000))
+    at = good.index(b"stss") + 12
+    for bad in (0, 7, 1 << 31):
+        with pytest.raises(ValueError, match="key frames"):
+            media.tracks(good[:at] + bad.to_bytes(4, "big") + good[at + 4 :])
+    start = good.index(b"trak") - 4
+    size = int.from_bytes(good[start : start + 4], "big")
+    track = good[start : start + size]
+    sound = track.replace(b"vide", b"soun").replace(b"uncv", b"twos")
+    moov = good.index(b"moov") - 4
+    whole = int.from_bytes(good[moov : moov + 4], "big")
+    both = good[:moov] + (whole + size).to_bytes(4, "big") + good[moov + 4 : start] + sound + good[start:]
+    found = media.tracks(both)
+    assert [t.codec for t in found] == ["twos", "uncv"] and media.shown(found).codec == "uncv" and media.shown(found[:1]).codec == "twos"
+    with pytest.raises(ValueError, match="fragments"):
+        media.tracks(good + (8).to_bytes(4, "big") + b"moof")
+
+
 def invented(r: random.Random, syllables: str, n: int) -> str:
     s = syllables.split()
     return " ".join("".join(r.choice(s) for _ in range(r.randint(1, 4))) for _ in range(n))

@@ -119,6 +119,7 @@ def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
 
 @dataclass
 class Track:
+    handler: bytes = b""
     codec: str = ""
     timescale: int = 0
     duration: int = 0
@@ -169,6 +170,8 @@ def tracks(data: bytes) -> list[Track]:
         if b"stss" in tables:
             at, end = tables[b"stss"]
             t.keys = _numbers(data, at + 8, end, u(">I", data, at + 4)[0], ">u4") - 1
+            if len(t.keys) and (t.keys.min() < 0 or t.keys.max() >= n):
+                raise ValueError("key frames beyond the samples")
         else:
             t.keys = np.arange(n)
         at, end = tables[b"stts"]
@@ -177,6 +180,8 @@ def tracks(data: bytes) -> list[Track]:
 
     for path, at, end in walk(data):
         kind = path[-1]
+        if kind == b"moof":
+            raise ValueError("samples in fragments are not read")
         if kind == b"trak":
             close()
             tables = {}
@@ -187,6 +192,8 @@ def tracks(data: bytes) -> list[Track]:
             elif kind == b"tkhd":
                 w, h = struct.unpack_from(">II", data, end - 8)
                 out[-1].width, out[-1].height = w >> 16, h >> 16
+            elif kind == b"hdlr" and path[-2] == b"mdia":
+                out[-1].handler = data[at + 8 : at + 12]
             elif kind == b"stsd":
                 out[-1].codec = data[at + 12 : at + 16].decode("latin-1")
             elif path[-2] == b"stbl":
@@ -195,6 +202,11 @@ def tracks(data: bytes) -> list[Track]:
     return out
 
 
+def shown(found: list[Track]) -> Track:
+    """The first picture track, or the first of a file without one."""
+    return next((t for t in found if t.handler == b"vide"), found[0])
+
+
 def read(data: bytes, t: Track) -> bytes:
     """The samples' bytes in order; neighbouring samples are read as one range."""
     if not len(t.starts):
@@ -222,7 +234,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def probe(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row per file: its first track's codec, duration, size and key-frame byte ranges; no payload is decoded."""
+    """A row per file: its first picture track's (or else first track's) codec, duration, size and key-frame byte ranges; no payload is decoded."""
     spec = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +242,7 @@ def probe(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
             rows = []
             for x in b.column(1).to_pylist():
                 try:
-                    t = tracks(x)[0]
+                    t = shown(tracks(x))
                     rows.append((t.codec, t.duration / t.timescale, t.width, t.height, len(t.sizes), [{"first": int(i), "end": int(i + n)} for i, n in zip(t.starts[t.keys], t.sizes[t.keys], strict=True)], None))
                 except (TypeError, ValueError, IndexError, KeyError, struct.error, ZeroDivisionError) as e:
                     rows.append((None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
@@ -248,7 +260,7 @@ def digests(media: DataFrame) -> DataFrame:
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for x in b.column(2).to_pylist():
-                t = tracks(x)[0]
+                t = shown(tracks(x))
                 payload = read(x, t)
                 for o, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(x), hashlib.sha256(x).hexdigest(), described(t)), strict=True):
                     o.append(v)
