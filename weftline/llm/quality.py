@@ -228,6 +228,8 @@ class Pieces:
 
 
 MARK = "\u2581"
+#: Characters that ``keep`` measures at once.
+KEEP_CHARS = 500_000
 
 
 @lru_cache(1)
@@ -307,21 +309,26 @@ def _lang(docs: DataFrame, lang_col: str | None) -> Column:
 def keep(
     docs: DataFrame, byte_vocabulary: str, piece_model: str, bands: dict[str, Band] | None = None, min_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang"
 ) -> DataFrame:
-    """The rows of ``docs`` whose document passes, with all their columns, in one pass; a null id never passes."""
+    """The rows of ``docs`` whose document passes, with all their columns, in one pass; a null id never passes.
+
+    Texts travel to the workers once, inside their rows, and are measured in smaller pieces than elsewhere: a pipeline's
+    workers share their memory with the stages that follow.
+    """
     chosen = dict(bands or BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = bpe.rank_cache(byte_vocabulary), _fallback(piece_model)
         for whole in batches:
-            langs, at = whole.column(2).to_pylist(), 0
-            for keys, texts in text_batches(iter([whole]), bpe.ENCODE_CHARS, bpe.ENCODE_ROWS):
+            langs, at = whole.column(1).to_pylist(), 0
+            texts_of = pa.RecordBatch.from_arrays([whole.column(0), whole.column(2).field(text_col).cast(pa.string())], ["id", "text"])
+            for keys, texts in text_batches(iter([texts_of]), KEEP_CHARS, bpe.ENCODE_ROWS):
                 rows = _measured([x or "" for x in texts], langs[at : at + len(texts)], chosen, *tools, min_words, max_repeat_percent)
                 good = [k is not None and r[6] for k, r in zip(keys, rows, strict=True)]
                 part = whole.slice(at, len(texts))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(3).filter(pa.array(good, pa.bool_()))], ["row"])
+                yield pa.RecordBatch.from_arrays([part.column(2).filter(pa.array(good, pa.bool_()))], ["row"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), _lang(docs, lang_col).alias("lang"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _lang(docs, lang_col).alias("lang"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return rows.mapInArrow(run, StructType([rows.schema["row"]])).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
