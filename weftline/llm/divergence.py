@@ -42,7 +42,7 @@ BEST_TERMS = 200
 #: Terms of a chunk.
 CHUNK = 1024
 #: Characters whose terms are counted at once.
-COUNT_CHARS = 2_000_000
+COUNT_CHARS = 8_000_000
 ONE = 1_000_000_000
 
 
@@ -131,20 +131,26 @@ def shares(count: np.ndarray, total: int) -> np.ndarray:
 def compared(dealt: DataFrame, best: int) -> DataFrame:
     """lang, source, part, item, value: sums over a chunk for each pair, and the best terms of a chunk.
 
-    ``dealt`` holds, for each (lang, part) and in this order, a row for each source (role 0: source, n the source's
-    total, total the language's, terms kept) and one for each count (role 1: source, term, id, n, total of the term).
+    ``dealt`` holds lang, part, role, source, term, id, n, total, kept: for each (lang, part) and in this order, a row
+    for each source (role 0: n the source's total, total the language's, kept terms) and one for each count (role 1: n
+    of the term there, total of the term).
     """
 
-    def finish(lang: str, heads: list[tuple], cells: list[tuple[np.ndarray, ...]], words: dict[int, str], totals: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    def finish(lang: str, heads: list[tuple], cells: list[pa.RecordBatch]) -> pa.RecordBatch:
         sources = [h[0] for h in heads]
         raw = np.array([s.encode() for s in sources], object)
         kept = heads[0][3]
-        width = max(words) + 1
-        dense = np.zeros((len(sources), width), np.int64)
-        for names, ids, n in cells:
-            dense[np.searchsorted(raw, names), ids] = n
+        width = 1 + max(int(np.asarray(c.column("id")).max()) for c in cells)
+        dense, totals, words = np.zeros((len(sources), width), np.int64), np.zeros(width, np.int64), np.empty(width, object)
+        for c in cells:
+            ids, named = np.asarray(c.column("id")), c.column("source").dictionary_encode()
+            row = np.searchsorted(raw, np.array([s.encode() for s in named.dictionary.to_pylist()], object))
+            dense[row[np.asarray(named.indices)], ids] = np.asarray(c.column("n"))
+            totals[ids] = np.asarray(c.column("total"))
+            some, first = np.unique(ids, return_index=True)
+            words[some] = c.column("term").take(pa.array(first)).to_pylist()
         p = np.stack([shares(row, h[1] + kept) for row, h in zip(dense, heads, strict=True)])
-        q = shares(np.array([totals[i] for i in range(width)], np.int64), heads[0][2] + kept)
+        q = shares(totals, heads[0][2] + kept)
         out: list[tuple[str, str, str, int]] = []
         for a, own in enumerate(p):
             away = ((own - p) ** 2 // p).sum(1).tolist()
@@ -152,36 +158,31 @@ def compared(dealt: DataFrame, best: int) -> DataFrame:
             at = np.flatnonzero((dense[a] > 0) & (own > q))
             value = (own[at] - q[at]) ** 2 // q[at]
             first = np.lexsort((at, -value))[:best]
-            out += [(sources[a], "term", words[int(at[i])], int(value[i])) for i in first]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), *(pa.array([x[k] for x in out], pa.string()) for k in range(3)), pa.array([x[3] for x in out], pa.int64())], ["lang", "source", "part", "item", "value"])
+            out += zip([sources[a]] * len(first), ["term"] * len(first), words[at[first]].tolist(), value[first].tolist(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), *(pa.array([x[k] for x in out], pa.string()) for k in range(3)), pa.array([x[3] for x in out], pa.int64())], ["lang", "source", "part", "item", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, heads, cells, words, totals = None, [], [], {}, {}
+        now: tuple[str, int] | None = None
+        heads: list[tuple] = []
+        cells: list[pa.RecordBatch] = []
         for b in batches:
-            langs, parts, roles, sources = (b.column(i).to_pylist() for i in range(4))
-            terms, ids, n, total, kept = (b.column(i).to_pylist() for i in range(4, 9))
-            rows = list(zip(langs, parts, strict=True))
-            at = 0
-            while at < len(rows):
-                until = at
-                while until < len(rows) and rows[until] == rows[at]:
-                    until += 1
-                if rows[at] != now:
-                    if now:
-                        yield from finish(now[0], heads, cells, words, totals)
-                    now, heads, cells, words, totals = rows[at], [], [], {}, {}
-                split = at
-                while split < until and roles[split] == 0:
-                    heads.append((sources[split], n[split], total[split], kept[split]))
-                    split += 1
-                if split < until:
-                    cells.append((np.array([s.encode() for s in sources[split:until]], object), np.array(ids[split:until]), np.array(n[split:until], np.int64)))
-                    for i in range(split, until):
-                        words[ids[i]] = terms[i]
-                        totals[ids[i]] = total[i]
-                at = until
-        if now:
-            yield from finish(now[0], heads, cells, words, totals)
+            langs, parts, roles = np.asarray(b.column(0).dictionary_encode().indices), np.asarray(b.column(1)), np.asarray(b.column(2))
+            cut = np.flatnonzero((np.diff(parts) != 0) | (np.diff(langs) != 0) | (np.diff(roles) != 0)) + 1
+            for at, until in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
+                if at == until:
+                    continue
+                here = (b.column(0)[at].as_py(), int(parts[at]))
+                if here != now:
+                    if now and cells:
+                        yield finish(now[0], heads, cells)
+                    now, heads, cells = here, [], []
+                some = b.slice(at, until - at)
+                if roles[at] == 0:
+                    heads += zip(*(some.column(c).to_pylist() for c in ("source", "n", "total", "kept")), strict=True)
+                else:
+                    cells.append(some)
+        if now and cells:
+            yield finish(now[0], heads, cells)
 
     return dealt.mapInArrow(run, "lang string, source string, part string, item string, value long")
 
