@@ -60,8 +60,8 @@ def dedupe(issues: DataFrame) -> DataFrame:
 
 
 def rollups(issues: DataFrame) -> DataFrame:
-    """Counts by severity, by subtype, by file, and in all, from one pass."""
-    return issues.groupingSets([["severity"], ["subtype"], ["component"], []], "severity", "subtype", "component").agg(F.count(F.lit(1)).alias("n"))
+    """Counts by severity, by subtype, by component, by file, and in all, from one pass."""
+    return issues.groupingSets([["severity"], ["subtype"], ["component"], ["file"], []], "severity", "subtype", "component", "file").agg(F.count(F.lit(1)).alias("n"))
 
 
 def component(path: Column) -> Column:

@@ -92,7 +92,7 @@ def issue_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.dedupe(k)
 
 
-@query(f"WITH {ENRICHED}, k AS (SELECT severity, subtype, CASE WHEN file % 3 = 0 THEN 'Core Engine' ELSE 'Web Ui' END AS component FROM shown) SELECT severity, subtype, component, count(*) AS n FROM k GROUP BY GROUPING SETS ((severity), (subtype), (component), ())")
+@query(f"WITH {ENRICHED}, k AS (SELECT severity, subtype, CASE WHEN file % 3 = 0 THEN 'Core Engine' ELSE 'Web Ui' END AS component, file FROM shown) SELECT severity, subtype, component, file, count(*) AS n FROM k GROUP BY GROUPING SETS ((severity), (subtype), (component), (file), ())")
 def issue_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("file") % 3 == 0, "core_engine/a.py").otherwise("web-ui/b.py")
     return issues.rollups(enriched(spark, sf_dir).withColumn("component", issues.component(path)))
