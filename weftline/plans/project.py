@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import analyse, ddl, extract, members, scopes, scripts, symbols
+from weftline.operators import analyse, ddl, extract, members, references, scopes, scripts, symbols
 from weftline.operators.rounds import spool
 from weftline.plans import lift
 from weftline.plans.registry import query
@@ -391,3 +391,31 @@ def analyze_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = analyse.summary(java.unionByName(packages))
     wanted = F.filter(F.map_entries("facts"), lambda e: ~e["key"].isin("comment", "literal"))
     return s.select("path", "n_lines", F.array_join(F.transform(wanted, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("facts"))
+
+
+#: By style: how a customer's page names a supplier's.
+LINKS = ["[a](../../s{s})", "[a](../../s{s}#p{p})", "[a](../../s{s}.md?x=1)", "![no](../../s{s}) [b](https://x.org/s{s})", "[a](/docs/s{s}.md)", "[a](../../../../docs/s{s})", "[a](mailto:s{s}) [b](#p{p})", "[a](./s{s})"]
+PAGES = [".md", ".rst", "/index.md", "/README.md"]
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a page for each supplier under one of four names, one for each customer that links to them, a site of HTML and style sheets beside it."""
+    o = orders(spark, sf_dir)
+    links = o.groupBy("c", "nation").agg(F.array_join(F.array_sort(F.collect_list(cased(F.col("style"), [fill(x, s="s", p="p") for x in LINKS]))), "\n").alias("content"))
+    pages = links.select(F.concat(F.lit("/docs/c/"), F.col("nation").cast("string"), F.lit("/c"), F.col("c").cast("string"), F.lit(".md")).alias("path"), "content")
+    s = lift.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").cast("string").alias("n"))
+    own = s.select(fill("/docs/s{s}{e}", s="s", e=cased(F.col("s") % 4, [F.lit(x) for x in PAGES])).alias("path"), F.lit("# page").alias("content"))
+    html = s.select(fill("/site/{n}/s{s}.html", s="s", n="n").alias("path"), fill('<link rel="stylesheet" href="/css/n{n}.css"><a class="x" href="../{n}/s{t}.html#top">t</a><script src="/js/a.js"></script><a href="//cdn/x.html">no</a>', n="n", t=F.col("s") + 1).alias("content"))
+    css = s.select("n").distinct().select(fill("/site/css/n{n}.css", n="n").alias("path"), F.lit('@import "base.css"; @import url(\'../css/more.css?v=2\'); @import "https://x.org/no.css";').alias("content"))
+    fixed = spark.range(3).select(F.array(F.lit("/site/css/base.css"), F.lit("/site/css/more.css"), F.lit("/other/js/a.js"))[F.col("id").cast("int")].alias("path"), F.lit("").alias("content"))
+    return pages.unionByName(own).unionByName(html).unionByName(css).unionByName(fixed)
+
+
+@query(f"""WITH {SCRIPTS}, page AS (SELECT s_suppkey AS s, '/docs/s' || s_suppkey || (['.md', '.rst', '/index.md', '/README.md'])[1 + s_suppkey % 4] AS path FROM supplier),
+site AS (SELECT s_suppkey AS s, CAST(s_nationkey AS VARCHAR) AS n, '/site/' || s_nationkey || '/s' || s_suppkey || '.html' AS path FROM supplier), sheet AS (SELECT DISTINCT '/site/css/n' || n || '.css' AS path FROM site)
+SELECT DISTINCT replace(replace(src, '/web/src/app/', '/docs/c/'), '.ts', '.md') AS src, page.path AS dst, 'd' AS ch FROM ordered JOIN page USING (s) WHERE style IN (0, 1, 5) OR style = 2 AND s % 4 = 0
+UNION ALL SELECT path, '/site/css/n' || n || '.css', 'd' FROM site UNION ALL SELECT a.path, b.path, 'd' FROM site a JOIN site b ON b.s = a.s + 1 AND b.n = a.n UNION ALL SELECT path, '/other/js/a.js', 'd' FROM site
+UNION ALL SELECT path, unnest(['/site/css/base.css', '/site/css/more.css']), '<' FROM sheet""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of documents, pages and style sheets."""
+    return references.edges(spool(page_files(spark, sf_dir), "pages"), roots=["/site", "/other"])
