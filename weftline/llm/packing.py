@@ -4,7 +4,9 @@ A text becomes token ids and an end id; one longer than a sequence is cut into
 full pieces, its short rest first. Each task packs its pieces best-fit,
 largest first. Bins that are nearly full are finished; the others go up as
 single items to fewer, mixed tasks, which pack them again, and so on until one
-task holds all that is left or merging no longer helps.
+task holds all that is left, or a round leaves more than 95 per cent of its open
+bins open and they are more than one task packs, or after twelve rounds. These
+ends can leave bins that further rounds would have merged; no piece is lost.
 
 Rounds move (bin, size) pairs only. Piece rows stay where they were packed and
 learn their final place from the bins' moves at the end.
@@ -29,7 +31,7 @@ from weftline.llm.common import id_text, partitions, spool, table, text_batches
 
 #: A bin with less room than this is finished at once.
 SLACK = 8
-#: Items that one task packs at most, in every round.
+#: Items that are packed together, in every round: a task packs as it collects so many.
 TASK_ITEMS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
 
@@ -70,7 +72,17 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, cols = bpe.rank_cache(vocabulary), [[] for _ in range(5)]
+        cache, task, given = bpe.rank_cache(vocabulary), TaskContext.get().partitionId(), 0
+        cols: list[list] = [[] for _ in range(5)]
+
+        def packed() -> pa.RecordBatch:
+            nonlocal given
+            bins, at, loads = best_fit(np.array(cols[3], np.int64), capacity)
+            ids = _bin_ids(task, given + len(loads), 0)[given:]
+            given += len(loads)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(ids[bins]), pa.array(at)], [x.split()[0] for x in PIECES.split(", ")])
+
         for keys, texts in text_batches(batches, bpe.ENCODE_CHARS, bpe.ENCODE_ROWS):
             for key, ids in zip(keys, bpe.encode_texts([x or "" for x in texts], cache), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")
@@ -79,13 +91,11 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     for c, v in zip(cols, (key, k, a, b - a, zlib.crc32(ids[a:b].tobytes())), strict=True):
                         c.append(v)
-        sizes = np.array(cols[3], np.int64)
-        for part in range(0, len(sizes), TASK_ITEMS):
-            rows = slice(part, part + TASK_ITEMS)
-            bins, at, loads = best_fit(sizes[rows], capacity)
-            ids = _bin_ids(TaskContext.get().partitionId(), part + len(loads), 0)[part:]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[rows], k) for c, k in zip(cols, kinds, strict=True)), pa.array(ids[bins]), pa.array(at)], [x.split()[0] for x in PIECES.split(", ")])
+            if len(cols[0]) >= TASK_ITEMS:
+                yield packed()
+                cols = [[] for _ in range(5)]
+        if cols[0]:
+            yield packed()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, PIECES)
 
