@@ -103,6 +103,13 @@ def test_links_make_the_components_of_all_pairs(spark, crowd):
     assert {p: root(p) for p in prints} == plain_components(prints)
 
 
+def test_simhash_broadcasts_no_keys(spark):
+    """The keys are 65 times the fingerprints that their size is estimated by."""
+    prints = spark.range(50).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("crowd", [3, simhash.CROWD])
 def test_simhash_components(spark, docs, texts, crowd):
     rows = {r.doc_id: r for r in simhash.components(docs, crowd=crowd).collect()}

@@ -33,6 +33,14 @@ def spool(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never sent to the driver and broadcast.
+
+    Estimates of rows that Python or an explode multiplies follow their input, and can be too low by any factor.
+    """
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

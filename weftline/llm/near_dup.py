@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_bytes, id_text, mixed, spool, table, text_batches
+from weftline.llm.common import as_bytes, id_text, mixed, shuffled, spool, table, text_batches
 
 COORDINATES, LEAST = 32, 18
 #: Members compared with one copy of their hub's set by one task.
@@ -213,10 +213,10 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     both = spool(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))), "edges")
     labels = spool(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), "labels")
     while True:
-        told = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("comp").alias("near"))
-        next_ = labels.join(told, labels["node"] == told["u"], "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("new"))
+        told = both.join(shuffled(labels), both["v"] == labels["node"]).groupBy("u").agg(F.min("comp").alias("near"))
+        next_ = labels.join(shuffled(told), labels["node"] == told["u"], "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("new"))
         goal = labels.select(F.col("node").alias("at"), F.col("comp").alias("beyond"))
-        step = spool(next_.join(goal, next_["new"] == goal["at"], "left").select("node", F.least("new", F.coalesce("beyond", "new")).alias("comp"), (F.least("new", F.coalesce("beyond", "new")) < F.col("comp")).alias("moved")), "labels")
+        step = spool(next_.join(shuffled(goal), next_["new"] == goal["at"], "left").select("node", F.least("new", F.coalesce("beyond", "new")).alias("comp"), (F.least("new", F.coalesce("beyond", "new")) < F.col("comp")).alias("moved")), "labels")
         labels = step.select("node", "comp")
         if step.where("moved").isEmpty():
             return labels

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import id_text, spool, table, text_batches
+from weftline.llm.common import id_text, shuffled, spool, table, text_batches
 from weftline.llm.near_dup import connected
 
 SEED = 42
@@ -183,7 +183,7 @@ def midpoint_links(prints: DataFrame) -> DataFrame:
     words = lambda masks: F.explode(F.transform(F.array(*(F.lit(signed64(m)) for m in masks)), lambda m: m.bitwiseXOR(F.col("fp"))))
     hubs = spool(prints.select(words(once).alias("word"), "fp").groupBy("word").agg(F.min("fp").alias("u")), "hubs")
     members = prints.select(words(once + twice).alias("at"), F.col("fp").alias("v"))
-    return members.join(hubs, members["at"] == hubs["word"]).where("u <> v").select("u", "v").distinct()
+    return members.join(shuffled(hubs), members["at"] == hubs["word"]).where("u <> v").select("u", "v").distinct()
 
 
 def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -199,7 +199,7 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     posts = keys.where("NOT probe").select(F.col("key").alias("k"), F.col("fp").alias("u"))
     probes = keys.where("probe").select("key", F.col("fp").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE
-    met = posts.join(probes, (posts["k"] == probes["key"]) & (F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    met = posts.join(shuffled(probes), (posts["k"] == probes["key"]) & (F.col("u") < F.col("v")) & near).select("u", "v").distinct()
     return met if more is None else met.unionByName(more)
 
 
@@ -209,11 +209,11 @@ def components(docs: DataFrame, width: int = 3, crowd: int = CROWD, id_col: str
     classes = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     edges = spool(links(classes, crowd), "links")
     comps = connected(edges, "u", "v")
-    joined = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "rep", "n", "comp")
+    joined = classes.join(shuffled(comps), classes["fp"] == comps["node"], "left").select("fp", "rep", "n", "comp")
     roots = joined.where("comp IS NOT NULL").groupBy(F.col("comp").alias("root")).agg(F.min("rep").alias("least"))
-    told = joined.join(roots, joined["comp"] == roots["root"], "left").where("n > 1 OR comp IS NOT NULL")
+    told = joined.join(shuffled(roots), joined["comp"] == roots["root"], "left").where("n > 1 OR comp IS NOT NULL")
     told = spool(told.select(F.col("fp").alias("print"), F.coalesce("least", "rep").alias("component"), "n"), "told")
-    out = rows.join(told, rows["fp"] == told["print"], "left")
+    out = rows.join(shuffled(told), rows["fp"] == told["print"], "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n", F.lit(1)).alias("n_equal"))
 
 
