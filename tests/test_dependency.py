@@ -97,3 +97,10 @@ def test_home_trackers_and_pruning(spark):
     assert {(r.src, r.dst): (r.ch, r.origins) for r in told} == {("/a", "/b"): ("<", ["h2"]), ("/b", "/a"): ("n", ["h1", "h2"])}
     kept, below = migrate.pruned(cells, defs, make([("/d",), ("/a",)], "root string"))
     assert sorted((r.tracker, r.src, r.dst) for r in kept.collect()) == [("in", "/a", "/d/c")] and {r.path for r in below.collect()} == {"/a", "/d/c"}
+
+
+def test_wide_rows_are_stepped_over(spark):
+    """Runs of two thousand million placeholders are neither written out nor split."""
+    row = "p2000000000<3p40x"
+    rows = spark.createDataFrame([("t", 0, row)], "tracker string, ord int, row string")
+    assert [(x.tracker, x.row_ord, x.col, x.ch) for x in migrate.said(rows).collect()] == [("t", 0, 2000000000 + i, "<") for i in range(3)] + [("t", 0, 2000000043, "x")]
