@@ -104,3 +104,9 @@ def test_wide_rows_are_stepped_over(spark):
     row = "p2000000000<3p40x"
     rows = spark.createDataFrame([("t", 0, row)], "tracker string, ord int, row string")
     assert [(x.tracker, x.row_ord, x.col, x.ch) for x in migrate.said(rows).collect()] == [("t", 0, 2000000000 + i, "<") for i in range(3)] + [("t", 0, 2000000043, "x")]
+
+
+def test_damage_is_told_without_writing_rows_out(spark):
+    rows = spark.createDataFrame([("t", 0, "op"), ("t", 1, "p2000000000o"), ("t", 2, "po"), ("u", 0, "o")], "tracker string, ord int, row string")
+    defs = spark.createDataFrame([("t", 0, "/a"), ("t", 1, "/b")], "tracker string, ord int, path string")
+    assert {tuple(x) for x in migrate.damaged(rows, defs).collect()} == {("t", 1, "wrong length"), ("t", 2, "no definition"), ("u", 0, "no definition")}
