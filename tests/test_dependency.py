@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from weftline.operators import dependency, grid, migrate
 
 REQUEST = "request int, source string, target string, dep string, tracker string"
@@ -110,3 +111,13 @@ def test_damage_is_told_without_writing_rows_out(spark):
     rows = spark.createDataFrame([("t", 0, "op"), ("t", 1, "p2000000000o"), ("t", 2, "po"), ("u", 0, "o")], "tracker string, ord int, row string")
     defs = spark.createDataFrame([("t", 0, "/a"), ("t", 1, "/b")], "tracker string, ord int, path string")
     assert {tuple(x) for x in migrate.damaged(rows, defs).collect()} == {("t", 1, "wrong length"), ("t", 2, "no definition"), ("u", 0, "no definition")}
+
+
+def test_new_grids_write_no_placeholders(spark):
+    """Only what the new grid says is written out: no list of a tracker's paths, no pair that says nothing."""
+    from weftline.plans import moves
+
+    cells = moves.sure_cells(spark, DATA)
+    now = [tuple(x) for x in moves.current(spark, DATA).select("tracker", "path", "c").collect()]
+    assert sorted(tuple(x) for x in cells.collect()) == sorted((t, p, q) for t, p, c in now for u, q, d in now if t == u and p != q and (c + d) % 5 == 0)
+    assert "collect_list" not in cells._jdf.queryExecution().optimizedPlan().toString()
