@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import scopes
+from weftline.operators.readers import rows_of
 from weftline.operators.rounds import spool
 
 CLASSES = "path string, class string, kind string, name string, place int"
@@ -47,14 +47,7 @@ def read_classes(path: str, content: str | None) -> list[tuple]:
 
 def classes(files: DataFrame) -> DataFrame:
     """path, content -> CLASSES."""
-    names = [x.split()[0] for x in CLASSES.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [r for p, c in zip(b.path, b.content, strict=True) for r in read_classes(p, c)]
-            yield pd.DataFrame(rows, columns=names).astype({"place": "int32"})
-
-    return files.where(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, CLASSES)
+    return rows_of(files.where(F.col("path").endswith(".py")), read_classes, CLASSES)
 
 
 def _id(path: Column, name: Column) -> Column:
