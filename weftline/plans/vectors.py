@@ -19,9 +19,12 @@ pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, greatest(0.0, least(1.0, list_dot
 """
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.when(F.col("label") % 3 == 0, "doc").otherwise("code").alias("role"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = lift.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return similarity.cosine_pairs(e, PRE)
+    return similarity.cosine_pairs(vectors(spark, sf_dir), PRE)
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score FROM pairs")
