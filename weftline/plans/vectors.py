@@ -55,7 +55,7 @@ top AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score DESC
 
 @query(f"WITH {PAIRS}, {TOP} SELECT src, dst, CAST(rank AS INT) AS rank FROM top")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.top_k(similarity.both_ways(pairs(spark, sf_dir)), 10).select("src", "dst", "rank")
+    return similarity.cosine_top(vectors(spark, sf_dir), PRE, 10).select("src", "dst", "rank")
 
 
 @query(f"WITH {PAIRS}, {TOP}, n AS (SELECT src, sum(count(*)) OVER (ORDER BY src) AS upto FROM top GROUP BY src) SELECT src, dst, CAST(rank AS INT) AS rank FROM top WHERE src IN (SELECT src FROM n WHERE upto <= 1500)")
