@@ -61,7 +61,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAIRS}, {TOP}, n AS (SELECT src, sum(count(*)) OVER (ORDER BY src) AS upto FROM top GROUP BY src) SELECT src, dst, CAST(rank AS INT) AS rank FROM top WHERE src IN (SELECT src FROM n WHERE upto <= 1500)")
 def cosine_topk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top candidates under one budget for all sources."""
-    return similarity.top_k(similarity.both_ways(pairs(spark, sf_dir)), 10, budget=1500).select("src", "dst", "rank")
+    return similarity.cosine_top_budget(vectors(spark, sf_dir), PRE, 10, budget=1500).select("src", "dst", "rank")
 
 
 @query(f"""
