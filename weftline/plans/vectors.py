@@ -72,7 +72,7 @@ def rerank_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates without verified and without recently scored pairs, either way round."""
     known = lift.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % 500).alias("src"), (F.col("o_orderkey") % 500).alias("dst"))
     past = lift.table(spark, sf_dir, "events").where(F.dayofmonth("ts") > 20).select((F.col("user_id") % 500).alias("src"), (F.col("event_id") % 500).alias("dst"))
-    left = similarity.without(similarity.without(pairs(spark, sf_dir), known), past)
+    left = similarity.cosine_pairs(vectors(spark, sf_dir), PRE, excluded=known.unionByName(past))
     return left.withColumn("score", F.round("score", 10))
 
 
