@@ -41,10 +41,8 @@ SELECT a, b, CASE WHEN score >= 0.45 THEN CASE WHEN ra = 'doc' AND rb = 'code' T
 """)
 def cosine_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters that similarities earn, with bands that these vectors reach."""
-    roles = lift.table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") % 3 == 0, "doc").otherwise("code").alias("role"))
-    a, b = roles.select(F.col("vec_id").alias("a"), F.col("role").alias("ra")), roles.select(F.col("vec_id").alias("b"), F.col("role").alias("rb"))
-    joined = pairs(spark, sf_dir).join(a, "a").join(b, "b")
-    return joined.select("a", "b", chars.band(F.col("score"), F.col("ra"), F.col("rb"), 0.45, 0.40, 0.30).alias("ch")).where("ch IS NOT NULL")
+    found = similarity.cosine_pairs(vectors(spark, sf_dir), 0.30, carried="role")  # the lowest band; the pre-filter lies below it
+    return found.select("a", "b", chars.band(F.col("score"), F.col("a_role"), F.col("b_role"), 0.45, 0.40, 0.30).alias("ch")).where("ch IS NOT NULL")
 
 
 TOP = """
