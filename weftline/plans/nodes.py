@@ -155,11 +155,7 @@ def chain_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lift.table(spark, sf_dir, "events")
     before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     nodes = e.select(F.col("event_id").cast("string").alias("path"), before.cast("string").alias("parent_path"))
-    up = tree.deep_closure(nodes)
-    above = up.groupBy(F.col("node").alias("a")).agg(F.count(F.lit(1)).alias("ancestors"), F.max_by("ancestor", "distance").alias("root"))
-    below = up.groupBy(F.col("ancestor").alias("b")).agg(F.count(F.lit(1)).alias("descendants"))
-    joined = nodes.join(above, F.col("path") == F.col("a"), "left").join(below, F.col("path") == F.col("b"), "left")
-    return joined.select("path", F.coalesce("ancestors", F.lit(0)).alias("ancestors"), F.coalesce("descendants", F.lit(0)).alias("descendants"), F.coalesce("root", "path").alias("root"))
+    return tree.extents(nodes).select("path", "ancestors", "descendants", "root")
 
 
 @query(f"WITH {NODES} SELECT path, parent_path AS module FROM nodes WHERE NOT is_dir")
