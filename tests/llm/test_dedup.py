@@ -33,6 +33,14 @@ def test_line_runs_are_maximal(spark):
     assert {k: (r.text, r.n_runs, r.longest_run) for k, r in got.items()} == expected
 
 
+def test_line_runs_are_planned_by_level(spark):
+    """The driver holds the plan of one level, not of all."""
+    given = spark.createDataFrame([(i, "\n".join(map(str, range(9)))) for i in range(3)], "doc_id long, text string")
+    found = line_runs.later_runs(given, 2, 200)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc, r.ord, r.size) for r in found.collect()} == {(1, 0, 9), (2, 0, 9)}
+
+
 def test_line_runs_edges(spark, docs, empty, texts):
     assert line_runs.dedup(empty).count() == 0
     cleaned = line_runs.clean(docs)

@@ -101,7 +101,8 @@ def later_runs(docs: DataFrame, min_lines: int, long_line: int) -> DataFrame:
         runs = runs.join(here, F.col("doc").eqNullSafe(F.col("h_doc")) & (F.col("version") == F.col("h_version")) & (F.col("ord") + F.col("size") == F.col("h_ord")), "left")
         same = (F.col("h_name") == F.col("t_name")) & F.col("name.doc").eqNullSafe(F.col("t_doc")) & (F.col("name.version") == F.col("t_version")) & (F.col("name.ord") + F.col("size") == F.col("t_ord"))
         runs = runs.join(there, same, "left").select(*PLACE, F.when(F.col("t_version").isNotNull(), F.col("size") + depth).otherwise(F.col("size")).alias("size"), "name", "long")
-        runs = runs.unionByName(starts.where(F.col("size") == depth))
+        # A plan for each level: one of all levels, planned anew after each exchange, is held by the driver again and again.
+        runs = spool(runs.unionByName(starts.where(F.col("size") == depth)), "runs")
     return runs.where((F.col("size") >= min_lines) | F.col("long")).select(*PLACE, "size")
 
 
