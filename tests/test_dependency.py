@@ -38,6 +38,17 @@ def test_one_tracker_some_and_all(spark):
     ])
 
 
+def test_requests_are_resolved_once(spark):
+    """No branch of the outcomes reads the requests anew; rows of one request and target count their trackers together."""
+    nodes = spark.createDataFrame([("1A1", "/a"), ("1A2", "/b")], "key string, path string")
+    defs = spark.createDataFrame([("t1", "/a"), ("t1", "/b"), ("t2", "/a"), ("t2", "/a"), (None, "/a"), (None, "/b")], "tracker string, path string")
+    asked = spark.range(5).select(F.expr("if(id = 4, null, cast(id / 2 as int))").alias("request"), F.lit("1A1").alias("source"), F.lit("1A2").alias("target"), F.expr("if(id = 3, '?', '<')").alias("dep"), F.expr("if(id = 0, 't2', null)").alias("tracker"))
+    told, writes = dependency.outcomes(asked, nodes, defs)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {(r.request, r.status, r.trackers) for r in told.collect()} == {(0, "ok", 2), (1, "ok", 1), (1, "bad type", 1), (None, "no tracker", 0)}
+    assert writes.count() == 8
+
+
 def test_writes_win_and_the_last_counts(spark):
     cells = spark.createDataFrame([("t", "a", "b", "x"), ("t", "b", "a", "p")], "tracker string, src string, dst string, ch string")
     writes = spark.createDataFrame([("t", "a", "b", "s", 1), ("t", "a", "b", "p", 2), ("u", "a", "b", "<", 1)], "tracker string, src string, dst string, ch string, request int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from weftline.functions import chars
 
@@ -19,17 +20,19 @@ def _asked(want: Column) -> tuple[Column, Column, Column]:
 
 
 def resolve(requests: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
-    """requests with <side>_path and <side>_why: null, or ``bad instance``, ``unknown`` or ``ambiguous``.
+    """requests with <side>_path and <side>_why: null, or ``bad instance``, ``unknown`` or ``ambiguous``; and <side>_trackers, where nodes have trackers.
 
-    Paths that share a key are its instances, numbered in order of path; a key alone means its only path.
+    Paths that share a key are its instances, numbered in order of path; a key alone means its only path. Each request
+    meets one node: the instance it names, or the first, which says how many there are.
     """
-    numbered = nodes.select(F.col("key").alias("n_key"), F.col("path").alias("n_path"), F.row_number().over(Window.partitionBy("key").orderBy("path")).alias("nth"))
-    count = nodes.groupBy(F.col("key").alias("c_key")).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("key")
+    more = [c for c in ("trackers",) if c in nodes.columns]
+    numbered = nodes.select(F.col("key").alias("n_key"), F.col("path").alias("n_path"), F.row_number().over(own.orderBy("path")).alias("nth"), F.count(F.lit(1)).over(own).alias("n"), *(F.col(c).alias(f"{side}_{c}") for c in more))
     key, instance, number = _asked(F.col(side))
-    r = requests.withColumns({"w_key": key, "w_instance": instance, "w_number": number}).join(count, F.col("w_key") == F.col("c_key"), "left")
-    r = r.withColumn("w_nth", F.coalesce("w_instance", F.when(F.col("n") == 1, 1))).join(numbered, (F.col("w_key") == F.col("n_key")) & (F.col("w_nth") == F.col("nth")), "left")
-    why = F.when(~F.col("w_number"), "bad instance").when(F.col("n").isNull(), "unknown").when(F.col("w_instance").isNull() & (F.col("n") > 1), "ambiguous").when(F.col("n_path").isNull(), "unknown")
-    return r.withColumns({f"{side}_path": F.when(why.isNull(), F.col("n_path")), f"{side}_why": why}).drop("w_key", "w_instance", "w_number", "c_key", "n", "w_nth", "n_key", "n_path", "nth")
+    r = requests.withColumns({"w_key": key, "w_instance": instance, "w_number": number})
+    r = r.join(numbered, (F.col("w_key") == F.col("n_key")) & (F.coalesce("w_instance", F.lit(1)) == F.col("nth")), "left")
+    why = F.when(~F.col("w_number"), "bad instance").when(F.col("w_instance").isNull() & (F.col("n") > 1), "ambiguous").when(F.col("n_path").isNull(), "unknown")
+    return r.withColumns({f"{side}_path": F.when(why.isNull(), F.col("n_path")), f"{side}_why": why}).drop("w_key", "w_instance", "w_number", "n", "n_key", "n_path", "nth")
 
 
 def outcomes(requests: DataFrame, nodes: DataFrame, defs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,27 +44,28 @@ def outcomes(requests: DataFrame, nodes: DataFrame, defs: DataFrame) -> tuple[Da
     request. Writes are tracker, src, dst, ch, request, with the opposite cell for directed and mutual characters; in a
     tracker found by itself, only where it knows both ends.
     """
-    r = resolve(resolve(requests, nodes, "source"), nodes, "target")
+    d = defs.select(F.col("tracker").alias("t"), F.col("path").alias("p"))
+    # The trackers that know a path travel with it, so that both ends of a request are settled in one row.
+    known = d.groupBy("p").agg(F.collect_set("t").alias("trackers"))
+    at = nodes.join(known, F.col("path") == F.col("p"), "left").select("key", "path", "trackers")
+    r = resolve(resolve(requests, at, "source"), at, "target")
     why = (
         F.when(~F.col("dep").isin(*ALLOWED), "bad type")
         .when(F.col("source_why").isNotNull(), F.concat(F.lit("source "), "source_why"))
         .when(F.col("target_why").isNotNull(), F.concat(F.lit("target "), "target_why"))
         .when(F.col("source_path") == F.col("target_path"), "self")
     )
-    r = r.withColumn("why", why)
-    good = r.where("why IS NULL").select("request", "target", "tracker", F.col("source_path").alias("src"), F.col("target_path").alias("dst"), F.col("dep").alias("ch"))
-    d = defs.select(F.col("tracker").alias("t"), F.col("path").alias("p")).distinct()
-    named = good.where("tracker IS NOT NULL").join(d.select("t").distinct(), F.col("tracker") == F.col("t"), "left_semi")
-    free = good.where("tracker IS NULL").drop("tracker")
-    knows_src = free.join(d, F.col("src") == F.col("p")).drop("p")
-    both = knows_src.join(d.select(F.col("t").alias("t2"), F.col("p").alias("p2")), (F.col("t") == F.col("t2")) & (F.col("dst") == F.col("p2"))).select("request", "target", F.col("t").alias("tracker"), "src", "dst", "ch")
-    writes = named.select("request", "target", "tracker", "src", "dst", "ch").unionByName(both)
-    taken = writes.groupBy(F.col("request").alias("w_request"), F.col("target").alias("w_target")).agg(F.countDistinct("tracker").alias("trackers"))
+    names = d.where("t IS NOT NULL").select("t").distinct()  # as many rows as trackers
+    r = r.join(F.broadcast(names), F.col("tracker") == F.col("t"), "left")
+    takers = F.when(why.isNotNull(), None).when(F.col("t").isNotNull(), F.array("t")).when(F.col("tracker").isNull(), F.array_intersect("source_trackers", "target_trackers"))
+    r = r.select("request", "source", "target", "dep", "source_path", "target_path", why.alias("why"), F.coalesce(takers, F.array().cast(ArrayType(d.schema["t"].dataType))).alias("takers"))
     # A request is heard where any of its targets is.
-    heard = writes.select(F.col("request").alias("h_request")).distinct()
-    j = r.join(taken, (F.col("request") == F.col("w_request")) & (F.col("target") == F.col("w_target")), "left").join(heard, F.col("request") == F.col("h_request"), "left")
-    status = F.coalesce("why", F.when(F.col("h_request").isNull(), "no tracker").otherwise("ok"))
-    told = j.select("request", "source", "target", status.alias("status"), F.coalesce("trackers", F.lit(0)).alias("trackers"))
+    heard = F.col("request").isNotNull() & F.max(F.size("takers") > 0).over(Window.partitionBy("request"))
+    each = F.array_distinct(F.flatten(F.collect_list("takers").over(Window.partitionBy("request", "target"))))
+    told = r.withColumn("heard", heard).withColumn("trackers", F.when(F.col("request").isNull(), 0).otherwise(F.size(each)).cast("long"))
+    status = F.coalesce("why", F.when(F.col("heard"), "ok").otherwise("no tracker"))
+    told = told.select("request", "source", "target", status.alias("status"), "trackers")
+    writes = r.select("request", "target", F.explode("takers").alias("tracker"), F.col("source_path").alias("src"), F.col("target_path").alias("dst"), F.col("dep").alias("ch"))
     back = writes.select("request", "target", "tracker", F.col("dst").alias("src"), F.col("src").alias("dst"), chars.reciprocal(F.col("ch")).alias("ch")).where("ch IS NOT NULL")
     return told, writes.unionByName(back).select("tracker", "src", "dst", "ch", "request")
 
