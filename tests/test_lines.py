@@ -6,8 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from weftline.functions import text
 from weftline.operators import batches, extract
+from weftline.plans import nodes
 from weftline.plans.texts import rerank_cap
 
 
@@ -148,3 +150,11 @@ def test_batches_of_groups(spark):
     for g in ("x", "y", "one"):
         mine = sorted((b.length, b.id, b.batch) for b in got if b.grp == g)
         assert [b for *_, b in mine] == [i for i, n in enumerate(plain_batches([n for h, _, n in rows if h == g], lambda n: 40 // (n + 1))) for _ in range(n)]
+
+
+def test_files_are_cut_into_lines_once(spark):
+    """Both tellings of a file share its marked lines."""
+    plan = nodes.auto_blocks(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(content") == 1
+    files = spark.createDataFrame([("a.py", "x\n# [AUTO]\r\ny"), ("a.py", ""), ("a.py", None)], "path string, content string")
+    assert [r[0] for r in files.select(text.strip_auto(F.col("content"), F.col("path"), True)).collect()] == ["x\n\ny", "", None]

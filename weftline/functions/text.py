@@ -57,23 +57,35 @@ def auto_mask(lines: Column, prefix: Column) -> Column:
     """
     html = prefix == "<!--"
     lead = F.concat(F.lit(r"\Q"), prefix, F.lit(r"\E\s*(?:---\s*)?"))
-    opens = lambda x: F.regexp_like(x, F.concat(lead, F.lit(f"{HEADER}_START")))
-    closes = lambda x: F.when(html, x.rlike(rf"{HEADER}_END\s*(?:---\s*)?(?:\[AUTO\]\s*)?-->")).otherwise(F.regexp_like(x, F.concat(lead, F.lit(f"{HEADER}_END"))))
-    tagged = lambda x: F.startswith(F.regexp_replace(x, r"^\s+", ""), prefix) & F.contains(x, F.lit(AUTO_TAG))
+    # Few lines hold a tool's word; patterns that follow the mark are compiled for each line that asks them.
+    word = lambda x: F.contains(x, F.lit(HEADER))
+    opens = lambda x: word(x) & F.regexp_like(x, F.concat(lead, F.lit(f"{HEADER}_START")))
+    closes = lambda x: word(x) & F.when(html, x.rlike(rf"{HEADER}_END\s*(?:---\s*)?(?:\[AUTO\]\s*)?-->")).otherwise(F.regexp_like(x, F.concat(lead, F.lit(f"{HEADER}_END"))))
+    tagged = lambda x: F.contains(x, F.lit(AUTO_TAG)) & F.startswith(F.regexp_replace(x, r"^\s+", ""), prefix)
     digits = F.array_join(F.transform(lines, lambda x: F.when(opens(x), "1").when(closes(x), "2").when(tagged(x), "3").otherwise("0")), "")
     parts = F.regexp_extract_all(digits, F.lit("(1[013]*2?|[23]|0+)"), F.lit(1))
     mask = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("0"), p).otherwise(F.call_function("repeat", F.lit("1"), F.length(p)))), "")
     return F.transform(F.split(mask, ""), lambda c: c == "1")
 
 
-def strip_auto(text: Column, path: Column, preserve_lines: bool = True) -> Column:
-    """The text without what tools wrote; the lines go, or with ``preserve_lines`` become empty, so that numbers stay."""
+def auto_lines(text: Column, path: Column) -> Column:
+    """array<struct<line,auto>>: the lines with their ends, and whether a tool wrote them. The text is cut once."""
     lines = F.regexp_extract_all(text, F.lit(rf"([^\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]*(?:{LINE_END})|[^\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]+)"), F.lit(1))
-    zipped = F.arrays_zip(lines.alias("line"), auto_mask(lines, comment_prefix(path)).alias("auto"))
-    told = F.transform(zipped, lambda z: F.when(z["auto"], "\n").otherwise(z["line"])) if preserve_lines else F.transform(F.filter(zipped, lambda z: ~z["auto"]), lambda z: z["line"])
+    zipped = lambda x: F.arrays_zip(x.alias("line"), auto_mask(x, comment_prefix(path)).alias("auto"))
+    return F.get(F.transform(F.array(lines), zipped), 0)
+
+
+def without_auto(marked: Column, text: Column, preserve_lines: bool = True) -> Column:
+    """The text of marked lines (see ``auto_lines``) without those that a tool wrote."""
+    told = F.transform(marked, lambda z: F.when(z["auto"], "\n").otherwise(z["line"])) if preserve_lines else F.transform(F.filter(marked, lambda z: ~z["auto"]), lambda z: z["line"])
     return F.when(F.length(text) == 0, "").otherwise(F.array_join(told, ""))
 
 
+def strip_auto(text: Column, path: Column, preserve_lines: bool = True) -> Column:
+    """The text without what tools wrote; the lines go, or with ``preserve_lines`` become empty, so that numbers stay."""
+    return without_auto(auto_lines(text, path), text, preserve_lines)
+
+
 def _bare(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 

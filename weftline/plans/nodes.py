@@ -253,8 +253,8 @@ SELECT doc_id, sha256(repeat(chr(10), 3) || rest || chr(10)) AS with_lines, sha2
 """)
 def auto_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files without a tool's blocks, once with their line numbers kept."""
-    told = lambda keep: F.sha2(text.strip_auto(F.col("content"), F.col("path"), keep), 256)
-    return source_files(spark, sf_dir).select("doc_id", told(True).alias("with_lines"), told(False).alias("without_lines"))
+    told = lambda keep: F.sha2(text.without_auto(F.col("marked"), F.col("content"), keep), 256)
+    return source_files(spark, sf_dir).withColumn("marked", text.auto_lines(F.col("content"), F.col("path"))).select("doc_id", told(True).alias("with_lines"), told(False).alias("without_lines"))
 
 
 @query(f"""
