@@ -10,6 +10,7 @@ import pytest
 
 from tests.llm import brute
 from weftline.llm import line_runs, near_dup, suffix_dups
+from weftline.llm.common import spool
 
 
 @pytest.mark.parametrize(("least", "long_line"), [(1, 10**9), (2, 200), (3, 60), (5, 40)])
@@ -41,6 +42,15 @@ def test_line_runs_are_planned_by_level(spark):
     assert {(r.doc, r.ord, r.size) for r in found.collect()} == {(1, 0, 9), (2, 0, 9)}
 
 
+def test_line_runs_broadcast_nothing(spark, docs, monkeypatch):
+    """Small and large tables are joined alike: texts meet their runs in one shuffle, whatever the size."""
+    plans = []
+    monkeypatch.setattr(line_runs, "spool", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or spool(df, label))
+    plans.append(line_runs.clean(docs)._jdf.queryExecution().executedPlan().toString())
+    assert "SortMergeJoin" in plans[-1]
+    assert not [x for x in plans if "Broadcast" in x]
+
+
 def test_line_runs_edges(spark, docs, empty, texts):
     assert line_runs.dedup(empty).count() == 0
     cleaned = line_runs.clean(docs)

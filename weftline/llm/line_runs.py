@@ -6,7 +6,7 @@ place (document, ordinal) of the earliest. Doubling names pairs of names d
 apart and so covers 2d lines, until no name is shared; a suffix that shares its
 name with none drops out, since nothing longer can be shared. Naming needs one
 aggregation that combines on the map side and one join whose hot keys Spark can
-split. Suffixes with equal names at depth d are a longest-common-prefix
+split. No join is broadcast: what stands on either side grows with the input. Suffixes with equal names at depth d are a longest-common-prefix
 interval of value d or more; names nest from depth to depth, so they order the
 suffixes as a suffix array does, under first occurrence instead of collation.
 
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import spool, table
+from weftline.llm.common import shuffled, spool, table
 
 #: Runs of so many lines go, and single lines of so many characters.
 MIN_LINES, LONG_LINE = 2, 200
@@ -56,7 +56,7 @@ def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     groups = rows.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # As a table of its own, so that the join is one of two plain exchanges, whose hot keys can be split.
     groups = spool(groups.select(*(F.col(k).alias(f"g_{k}") for k in keys), "name"), "names")
-    return rows.join(groups, [rows[k] == groups[f"g_{k}"] for k in keys]).select(*PLACE, groups["name"], *(["long"] if "long" in rows.columns else []))
+    return rows.join(shuffled(groups), [rows[k] == groups[f"g_{k}"] for k in keys]).select(*PLACE, groups["name"], *(["long"] if "long" in rows.columns else []))
 
 
 def deepened(names: DataFrame, step: int) -> DataFrame:
@@ -98,9 +98,9 @@ def later_runs(docs: DataFrame, min_lines: int, long_line: int) -> DataFrame:
     runs = starts.where(F.col("size") == levels[-1][0])
     for depth, names in reversed(levels[:-1]):  # a row joins in at the depth below its own
         here, there = _at(names, "h"), _at(names, "t")
-        runs = runs.join(here, F.col("doc").eqNullSafe(F.col("h_doc")) & (F.col("version") == F.col("h_version")) & (F.col("ord") + F.col("size") == F.col("h_ord")), "left")
+        runs = runs.join(shuffled(here), F.col("doc").eqNullSafe(F.col("h_doc")) & (F.col("version") == F.col("h_version")) & (F.col("ord") + F.col("size") == F.col("h_ord")), "left")
         same = (F.col("h_name") == F.col("t_name")) & F.col("name.doc").eqNullSafe(F.col("t_doc")) & (F.col("name.version") == F.col("t_version")) & (F.col("name.ord") + F.col("size") == F.col("t_ord"))
-        runs = runs.join(there, same, "left").select(*PLACE, F.when(F.col("t_version").isNotNull(), F.col("size") + depth).otherwise(F.col("size")).alias("size"), "name", "long")
+        runs = runs.join(shuffled(there), same, "left").select(*PLACE, F.when(F.col("t_version").isNotNull(), F.col("size") + depth).otherwise(F.col("size")).alias("size"), "name", "long")
         # A plan for each level: one of all levels, planned anew after each exchange, is held by the driver again and again.
         runs = spool(runs.unionByName(starts.where(F.col("size") == depth)), "runs")
     return runs.where((F.col("size") >= min_lines) | F.col("long")).select(*PLACE, "size")
@@ -127,7 +127,7 @@ def _marked(docs: DataFrame, min_lines: int, long_line: int, id_col: str, text_c
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest"))
     found = runs(rows.select("doc_id", "text"), min_lines, long_line)
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["r_doc"]) & (rows["version"] == found["r_version"]), "left")
+    joined = rows.join(shuffled(found), rows["doc_id"].eqNullSafe(found["r_doc"]) & (rows["version"] == found["r_version"]), "left")
     # All lines, and the places among them of those that hold a word.
     lines = F.split("text", "\n", -1)
     places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())

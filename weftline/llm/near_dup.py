@@ -142,7 +142,7 @@ def rarest_first(posts: DataFrame, prefix: str) -> DataFrame:
     ``n`` (of the set) and ``size`` (of the keys); ``rest`` counts the keys that follow one.
     """
     counts = spool(posts.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select(F.col("key").alias("key_"), "f"), "counts")
-    per_doc = posts.join(counts, posts["key"] == counts["key_"]).groupBy("doc", "n", "size").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("keys"))
+    per_doc = posts.join(shuffled(counts), posts["key"] == counts["key_"]).groupBy("doc", "n", "size").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("keys"))
     kept = per_doc.withColumn("shared", F.size("keys")).withColumn("keep", F.expr(f"({prefix}) - (size - shared)")).where("keep > 0")
     placed = kept.select("doc", "n", "shared", F.posexplode(F.expr("slice(keys, 1, keep)")).alias("at", "p"))
     return placed.select("p.key", "doc", "n", "shared", (F.col("shared") - F.col("at") - 1).alias("rest"))
@@ -258,13 +258,13 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, coordinates:
     classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = spool(classes.where("rep IS NOT NULL").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep"), "classes")
     # One row for each distinct set.
-    reps = rows.join(classes, (rows["k1"] == classes["c1"]) & (rows["k2"] == classes["c2"]) & (rows["doc_id"] == classes["rep"])).dropDuplicates(["k1", "k2"])
+    reps = rows.join(shuffled(classes), (rows["k1"] == classes["c1"]) & (rows["k2"] == classes["c2"]) & (rows["doc_id"] == classes["rep"])).dropDuplicates(["k1", "k2"])
     reps = spool(reps.select("doc_id", "n", "sig"), "reps")
     posts = reps.select(F.col("doc_id").alias("doc"), "n", F.lit(coordinates).alias("size"), F.explode("sig").alias("key"))
     posts = spool(rarest_first(posts, f"{coordinates - least + 1}"), "posts")
     stars = spool(hub_pairs(posts, percent), "stars")
     wanted = posts.select(F.col("doc").alias("wanted")).distinct()
-    candidates = texts.where("doc_id IS NOT NULL").join(wanted, texts["doc_id"] == F.col("wanted"), "left_semi")
+    candidates = texts.where("doc_id IS NOT NULL").join(shuffled(wanted), texts["doc_id"] == F.col("wanted"), "left_semi")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, some in text_batches(batches):
@@ -287,7 +287,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, coordinates:
         first = hub_pairs(_spread(exact, comps), percent, exact=True)
         comps = _merge(comps, spool(confirm(first, sets, percent, 0), "links"))
         comps = _merge(comps, spool(confirm(_across(_spread(exact, comps), percent), sets, percent, 0), "links"))
-    own = rows.join(classes, (rows["k1"] == classes["c1"]) & (rows["k2"] == classes["c2"]) & (rows["n"] > 0), "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    own = rows.join(shuffled(classes), (rows["k1"] == classes["c1"]) & (rows["k2"] == classes["c2"]) & (rows["n"] > 0), "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     final = comps.withColumnRenamed("comp", "comp_")
     out = own.join(final, own["rep"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp_", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from weftline.llm.common import as_bytes, chunks, mixed, partitions, spool, table
+from weftline.llm.common import as_bytes, chunks, mixed, partitions, spool, table, trim
 from weftline.llm.near_dup import _byte_values, powers
 
 WINDOW, GRAM = 200, 32
@@ -206,6 +206,8 @@ def merge_parts(routed: DataFrame, parts: int, reducer: Callable[[Iterator[tuple
                 held.setdefault(r, []).append(blob)
         if held:
             yield from reducer(merged([_stream(x) for x in held.values()]))
+        held = {}
+        trim()
 
     return routed.repartition(parts, "part").sortWithinPartitions("part", "run", "seq").mapInArrow(run, schema)
 
@@ -509,6 +511,7 @@ def settle(open_: DataFrame, mirrored: DataFrame, window: int, gram: int, parts:
                 if len(held) > RUN:
                     yield from flush()
         yield from flush()
+        trim()
 
     found = spool(rows.mapInArrow(strings, "key binary, data binary"), "strings")
     splitters = [s[:window] for s in drawn(found, parts)]
@@ -529,6 +532,7 @@ def routed(blocks_: DataFrame, splitters: list[bytes]) -> DataFrame:
                 n += 1
             if rows:
                 yield _routed(rows)
+        trim()
 
     return blocks_.select("data").mapInArrow(run, ROUTED)
 
@@ -552,6 +556,7 @@ def spans(texts: DataFrame, packed: DataFrame, window: int, gram: int) -> DataFr
                         a, e = int(starts[doc[k]]), int(starts[doc[k] + 1]) - 1
                         keys[k] = key_at(flat[a:e], int(place[k]), window, gram, _tie(int(own[k]), int(version[k]), int(place[k])))
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(version), pa.array(place.astype(np.int32)), pa.array(keys, pa.binary())], ["h", "doc", "version", "pos", "key"])
+        trim()
 
     found = spool(texts.mapInArrow(find, "h long, doc long, version long, pos int, key binary"), "grams")
     # As a table of its own, so that the join is one of two plain exchanges, whose hot keys can be split.
@@ -582,6 +587,7 @@ def spans(texts: DataFrame, packed: DataFrame, window: int, gram: int) -> DataFr
                         n += 1
         if held:
             yield flush()
+        trim()
 
     one = spool(merge_parts(wanted.mapInArrow(records, ROUTED), parts, forward(window, gram), FOUND), "forward")
     mirrored = one.where(F.col("kind") == SORTED)
